@@ -9,6 +9,7 @@ MODULES = {
     "op1_nnls_packing": "packing",
     "op6_token_counts": "tokens",
     "op7_entropy_mixing": "mixing",
+    "op9_minhash_neardup": "minhash",
 }
 
 
