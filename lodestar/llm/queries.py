@@ -11,6 +11,7 @@ MODULES = {
     "op4_suffix_tree_scores": "suffixtree",
     "op6_token_counts": "tokens",
     "op7_entropy_mixing": "mixing",
+    "op8_segmentation_langid": "langid",
     "op9_minhash_neardup": "minhash",
 }
 
