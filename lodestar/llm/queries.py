@@ -7,6 +7,7 @@ import importlib
 #: Query name -> module; each module has a function of that name.
 MODULES = {
     "op1_nnls_packing": "packing",
+    "op10_imatch_fingerprints": "fingerprint",
     "op2_isolation_rules": "quality",
     "op4_suffix_tree_scores": "suffixtree",
     "op6_token_counts": "tokens",
