@@ -10,6 +10,7 @@ MODULES = {
     "op10_imatch_fingerprints": "fingerprint",
     "op2_isolation_rules": "quality",
     "op4_suffix_tree_scores": "suffixtree",
+    "op5_suffix_array_repeats": "repeats",
     "op6_token_counts": "tokens",
     "op7_entropy_mixing": "mixing",
     "op8_segmentation_langid": "langid",
