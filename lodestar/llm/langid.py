@@ -188,14 +188,16 @@ def learn(docs: DataFrame, id_col: str, text_col: str, lang_col: str, pieces_pat
 
 
 def identify(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", pieces_path: str | None = None) -> DataFrame:
-    """(id, lang_pred, score) and all other columns named in docs of every row; ``train``
-    tells the rows that may be learnt from."""
+    """Every row with lang_pred and score (columns of these names in docs are replaced);
+    ``train`` tells the rows that may be learnt from."""
     if pieces_path is None:
         import public_tokenizers
 
         pieces_path = public_tokenizers.path("piece_bpe_32k.model")
-    langs, p = learn(docs.where(train), id_col, text_col, lang_col, pieces_path)
+    docs = docs.select(*[column(c) for c in docs.columns if c not in ("lang_pred", "score")], train.alias("__train"))
+    langs, p = learn(docs.where("__train"), id_col, text_col, lang_col, pieces_path)
     shared = docs.sparkSession.sparkContext.broadcast(p)
+    docs = docs.drop("__train")
     schema = docs.schema
     at = docs.columns.index(text_col)
 

@@ -1,19 +1,21 @@
 """Near-duplicate documents by MinHash with tensored banding.
 
 Two collections of SKETCHES small sketches (BAND minima each) are computed once;
-every pair of one sketch of each collection is a table key. 2 * 10 sketches, 40
-minima, so stand for 100 tables of 4 minima, which would need 400. Two documents of
+every pair of one sketch of each collection is a table key. 2 * 12 sketches, 72
+minima, so stand for 144 tables of 6 minima, which would need 864. Two documents of
 similarity s share a table unless all sketches of a collection differ: at s = 0.85
-that happens in 6 of a million pairs, at 0.9 in less than 1 of ten million.
+that happens to 2 pairs in 100,000, at 0.9 to 1 in 10 million.
 
 Documents with equal shingle sets are one class from the start. Classes whose
 sketches are all alone drop out before any pair of sketches is formed; buckets with
-the same members are one bucket. Within a bucket nobody compares all pairs: members
-are compared with the bucket's smallest member on full shingle sets, linked ones
-are one component, and only buckets still holding members of several components
-take further rounds, in which members of the smaller components are compared with
-the rest, until no two members of different components in a bucket are
-uncompared. So every link the tables can show is found or already implied.
+the same members are one bucket. Classes that buckets chain together are a cluster,
+and links are looked for, on full shingle sets, inside clusters only, by blocks of
+at most BLOCK classes: a block's intersections are one matrix product, and it gives
+back only links that join components. In a cluster of several blocks, members are
+first compared with their buckets' smallest member; what that already joins to the
+cluster's largest component is never compared with itself, only with the rest. No
+group is held by one task, no list of a group's pairs is ever made, and nothing
+that the tables show is lost.
 
 Defined results: null or white-only text has an empty set, is linked with nothing
 and is its own component; fewer than five words form one shingle; repeated rows are
@@ -23,6 +25,8 @@ only has a null id and its rows are kept); an empty table gives an empty table.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, column, drop, mix64, save, signed, slices, splitmix, table, text_buffers, word_hashes, word_spans
 
-SHINGLE, SKETCHES, BAND = 5, 10, 2
+SHINGLE, SKETCHES, BAND, BLOCK = 5, 12, 3, 128
 _STEP = splitmix(SHINGLE, 77)
 _FACTORS, _SALTS = splitmix(2 * SKETCHES * BAND, 1) | np.uint64(1), splitmix(2 * SKETCHES * BAND, 2)
 
@@ -95,7 +99,8 @@ def components(edges: DataFrame) -> DataFrame:
         now = new.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first()
         e, path = new, p2
         if tuple(now) == mark:
-            return e.select(F.col("a").alias("c"), F.col("b").alias("root"))
+            tops = e.select(F.col("b").alias("c"), F.col("b").alias("root")).distinct()
+            return e.select(F.col("a").alias("c"), F.col("b").alias("root")).union(tops)
         mark = tuple(now)
 
 
@@ -118,6 +123,57 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(test, "a binary, b binary")
 
 
+def joins(sets: list[np.ndarray], roots: list[bytes], percent: int) -> list[tuple[int, int]]:
+    """Pairs of rows that are linked and join components of different roots; a spanning choice."""
+    n = len(sets)
+    size = np.fromiter(map(len, sets), np.int64, n)
+    order: dict[bytes, int] = {}
+    comp = np.array([order.setdefault(r, len(order)) for r in roots])
+    if len(order) < 2:
+        return []
+    row = np.repeat(np.arange(n), size)
+    values, inverse, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = np.cumsum(df > 1) - 1
+    keep = df[inverse] > 1
+    row, col = row[keep], shared[inverse[keep]]
+    by = np.argsort(col, kind="stable")
+    row, col = row[by], col[by]
+    both, width, last = np.zeros((n, n), np.float32), 8192, int(col[-1]) + 1 if len(col) else 0
+    for c in range(0, last, width):
+        lo, hi = np.searchsorted(col, [c, c + width])
+        x = np.zeros((n, min(width, last - c)), np.float32)
+        x[row[lo:hi], col[lo:hi] - c] = 1
+        both += x @ x.T
+    ok = 100 * both.astype(np.int64) >= percent * (size[:, None] + size[None, :] - both.astype(np.int64))
+    i, j = np.nonzero(np.triu(ok, 1) & (comp[:, None] != comp[None, :]))
+    found = []
+    for a, b in zip(i.tolist(), j.tolist(), strict=True):
+        if comp[a] != comp[b]:
+            found.append((a, b))
+            comp[comp == comp[b]] = comp[a]
+    return found
+
+
+def _link_blocks(batches, percent: int):
+    """Rows (block, class, root, set) in block order to links (a, b)."""
+    held: list[tuple] = []
+
+    def flush():
+        found = joins([np.frombuffer(x[3], np.uint64) for x in held], [x[2] for x in held], percent)
+        return pa.RecordBatch.from_arrays([pa.array([held[i][1] for i, _ in found], pa.binary()), pa.array([held[j][1] for _, j in found], pa.binary())], ["a", "b"])
+
+    for batch in batches:
+        for x in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            if held and x[0] != held[-1][0]:
+                if len(held) > 1:
+                    yield flush()
+                held = []
+            if not held or held[-1][1] != x[1]:
+                held.append(x)
+    if len(held) > 1:
+        yield flush()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
     """(id, n_shingles, component_id, kept, text_hash) of every row."""
     spark = docs.sparkSession
@@ -170,35 +226,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if sets.groupBy("c").count().where("count > 1").take(1):
         sets, p_sets = save(sets.groupBy("c").agg(F.first("s").alias("s")), "sets")
 
-    near = lambda x, y: 100 * F.least(F.col(x), F.col(y)) >= percent * F.greatest(F.col(x), F.col(y))
+    # clusters of several blocks: members against their buckets' smallest
+    parts = components(buckets.select(F.col("c").alias("a"), F.col("center").alias("b"))).withColumnRenamed("root", "g")
+    parts, p_parts = save(parts, "clusters")
+    large = parts.groupBy("g").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK)
     sizes = classes.select(F.col("c").alias("b"), F.col("n").alias("nb"))
-    pairs = buckets.where("c <> center").select(F.col("c").alias("a"), F.col("center").alias("b"), "n").distinct().join(sizes, "b").where(near("n", "nb")).select("a", "b")
-    edges, _ = save(verified(pairs, sets, percent), "links")
-    state, p_state = save(buckets.select("t", "c", "n", (F.col("c") == F.col("center")).alias("done")), "state")
+    star = buckets.where("c <> center").select(F.col("c").alias("a"), F.col("center").alias("b"), "n").distinct()
+    star = star.join(parts.join(large, "g").select(F.col("c").alias("a")), "a").join(sizes, "b").where(100 * F.least("n", "nb") >= percent * F.greatest("n", "nb")).select("a", "b")
+    edges, _ = save(verified(star, sets, percent), "star")
     drop(spark, p_buckets)
-    turn = 0
-    while True:
-        roots = components(edges)
-        turn += 1
-        # buckets with uncompared members of several components
-        now = state.join(roots, "c", "left").select("t", "c", "n", "done", F.coalesce("root", "c").alias("root"))
-        now, p_now = save(now, "now")
-        fresh = now.where(~F.col("done"))
-        mixed = fresh.groupBy("t").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("t")
-        by_root = fresh.join(mixed, "t").groupBy("t", "root").agg(F.count("*").alias("m"), F.min(F.struct("c", "n")).alias("z"))
-        many = by_root.groupBy("t").agg(F.max(F.struct("m", "root")).alias("big"), F.count("*").alias("k"))
-        spread = F.ceil(F.col("k") / 8)
-        centers = by_root.join(many, "t").where((F.col("root") != F.col("big.root")) & ((F.col("k") <= 9) | (F.pmod(F.xxhash64("root", F.lit(turn)), spread) == 0)))
-        centers, p_centers = save(centers.select("t", F.col("root").alias("rb"), F.col("z.c").alias("b"), F.col("z.n").alias("nb")), "centers")
-        if not mixed.take(1):
-            drop(spark, p_now, p_centers, p_state, p_sets)
-            break
-        pairs = now.where(~F.col("done")).join(centers, "t").where((F.col("root") != F.col("rb")) & near("n", "nb")).select(F.greatest("c", "b").alias("a"), F.least("c", "b").alias("b")).distinct()
-        more, _ = save(verified(pairs, sets, percent), "links")
-        edges = edges.union(more)
-        nxt, p_next = save(now.join(centers.select("t", F.col("b").alias("c"), F.lit(True).alias("hit")), ["t", "c"], "left").select("t", "c", "n", (F.col("done") | F.coalesce("hit", F.lit(False))).alias("done")), "state")
-        drop(spark, p_now, p_centers, p_state)
-        state, p_state = nxt, p_next
+    near, _ = save(parts.join(components(edges), "c", "left").select("g", "c", F.coalesce("root", "c").alias("root")), "roots")
+    # in large clusters, members of the largest component meet only the others
+    per = near.join(large, "g").groupBy("g", "root").agg(F.count("*").alias("k"))
+    top = per.groupBy("g").agg(F.max(F.struct("k", "root")).alias("top"), F.sum("k").alias("m")).select("g", F.col("top.root").alias("top"), F.ceil(F.col("top.k") / (BLOCK // 2)).alias("nb"), F.ceil((F.col("m") - F.col("top.k")) / (BLOCK // 2)).alias("ns"))
+    placed = near.join(top, "g", "left").withColumn("in_top", F.coalesce(F.col("root") == F.col("top"), F.lit(False)))
+    slot = F.when(F.col("top").isNull(), 0).otherwise(F.pmod(F.xxhash64("c", F.lit(3)), F.when(F.col("in_top"), F.col("nb")).otherwise(F.greatest("ns", F.lit(1)))))
+    placed = placed.withColumn("slot", slot.cast("int"))
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), (n - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
+    cell = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
+    mine = F.col("slot")
+    cells = (
+        F.when(F.col("top").isNull(), F.array(cell(0, F.lit(0), F.lit(0))))
+        .when(F.col("in_top"), F.transform(upto(F.col("ns")), lambda i: cell(1, i, mine)))
+        .otherwise(F.concat(F.transform(upto(F.col("nb")), lambda j: cell(1, mine, j)), F.transform(upto(F.col("ns")), lambda j: cell(2, F.least(mine, j), F.greatest(mine, j)))))
+    )
+    work = placed.select("g", "c", "root", F.explode(cells).alias("cell")).select(F.xxhash64("g", "cell").alias("w"), "c", "root")
+    work = work.join(sets, "c").select("w", "c", "root", "s").repartition("w").sortWithinPartitions("w", "c")
+    more, _ = save(work.mapInArrow(functools.partial(_link_blocks, percent=percent), "a binary, b binary"), "links")
+    roots = components(edges.union(more))
+    drop(spark, p_sets, p_parts)
 
     # the smallest id of a component, by way of its classes
     first = rows.where("n > 0 and id is not null").groupBy("c").agg(F.min("id").alias("low"))

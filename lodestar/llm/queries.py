@@ -9,6 +9,7 @@ MODULES = {
     "op1_nnls_packing": "packing",
     "op10_imatch_fingerprints": "fingerprint",
     "op2_isolation_rules": "quality",
+    "op3_layout_html": "html",
     "op4_suffix_tree_scores": "suffixtree",
     "op5_suffix_array_repeats": "repeats",
     "op6_token_counts": "tokens",

@@ -21,8 +21,8 @@ are out of reach, so content decides what a suffix array must see:
 
 Defined results: null text is empty; texts under LENGTH bytes keep everything;
 repeated rows are texts of their own, so both lose what is LENGTH bytes or longer;
-cut bytes may split a character, which the operator's text output replaces (the
-digests are of the exact bytes); an empty table gives an empty table.
+cut bytes may split a character, the rest of which the text output drops (the
+digests are of the exact bytes); columns named like the outputs are replaced; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -179,6 +179,7 @@ def decide(texts: list[bytes], owned: np.ndarray, weight: np.ndarray) -> tuple[n
 def remove_repeats(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs' columns with ``text_col`` cut, and n_bytes, n_removed, n_spans, kept_sha256."""
     spark = docs.sparkSession
+    docs = docs.select(*[column(c) for c in docs.columns if c not in ("n_bytes", "n_removed", "n_spans", "kept_sha256")])
     text = F.coalesce(column(text_col).cast("string"), F.lit(""))
     keyed = docs.withColumns({"__h1": F.xxhash64(text), "__h2": F.xxhash64(F.lit(1), text)})
     rows = keyed.select(F.col("__h1").alias("h1"), F.col("__h2").alias("h2"), text.alias("text"))
@@ -304,7 +305,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 removed.append(len(raw) - len(kept))
                 runs.append(n)
                 digests.append(hashlib.sha256(kept).hexdigest())
-                out.append(kept.decode("utf-8", "replace"))
+                out.append(kept.decode("utf-8", "ignore"))
             texts = pa.array(out, pa.string())
             if batch.column(where).null_count:
                 texts = pa.compute.if_else(batch.column(where).is_null(), pa.scalar(None, pa.string()), texts)
