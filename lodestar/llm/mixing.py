@@ -79,7 +79,7 @@ def balance(classes: DataFrame, goal: dict[int, tuple[float, float]], rounds: in
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, most: int = MOST, buckets: int = 1024) -> DataFrame:
     """(id, text_hash, source, size, source_size, target, rate, copies) of every row."""
-    rows = docs.select(column(id_col).alias("id"), F.xxhash64(column(id_col), column(text_col)).alias("h"), column(source_col).cast("string").alias("source"), n_words(column(text_col)).alias("size"))
+    rows = docs.select(column(id_col).alias("id"), F.xxhash64(column(id_col), column(text_col)).alias("h"), F.xxhash64(column(text_col)).alias("th"), column(source_col).cast("string").alias("source"), n_words(column(text_col)).alias("size"))
     rows, _ = save(rows, "sizes")
     classes, _ = save(rows.groupBy("source", "size").agg(F.count("*").alias("n")), "classes")
     spark = docs.sparkSession
@@ -94,25 +94,26 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         pdf = pdf.sort_values("size", ascending=False, ignore_index=True)
         rate = float(pdf.rate[0])
         base = min(most, int(rate + 1e-9))
-        extra, carry = np.zeros(len(pdf), np.int64), 0.0
+        extra, more, carry = np.zeros(len(pdf), np.int64), np.zeros(len(pdf), np.int64), 0.0
         for i, (size, n) in enumerate(zip(pdf["size"], pdf.n, strict=True)):
             if size and base < most:
                 want = n * max(0.0, rate - base) * size + carry
-                extra[i] = min(n, max(0, round(want / size)))
-                carry = want - extra[i] * size
-        return pd.DataFrame({"s": pdf.s, "size": pdf["size"], "base": base, "extra": extra})
+                total = min(n * (most - base), max(0, round(want / size)))
+                more[i], extra[i] = divmod(total, n)  # small classes may make up what large ones left
+                carry = want - total * size
+        return pd.DataFrame({"s": pdf.s, "size": pdf["size"], "base": base + more, "extra": extra})
 
     # a source's classes are its distinct sizes: as many as the longest text allows, not as many as documents
     chosen = numbered.join(F.broadcast(rates), "s").groupBy("s").applyInPandas(diffuse, "s long, size long, base long, extra long")
     chosen, _ = save(chosen, "copies")
     # rank within a class by hash, over hash buckets so that a hot class is dealt to many tasks
-    all_rows = rows.join(F.broadcast(index), rows["source"].eqNullSafe(index["source"])).select("id", "h", rows["source"], "size", "s", "source_size", "target", F.pmod(F.shiftright("h", 20), F.lit(buckets)).alias("b"))
+    all_rows = rows.join(F.broadcast(index), rows["source"].eqNullSafe(index["source"])).select("id", "h", "th", rows["source"], "size", "s", "source_size", "target", F.pmod(F.shiftright("h", 20), F.lit(buckets)).alias("b"))
     per = all_rows.groupBy("s", "size", "b").agg(F.count("*").alias("m"))
     before = Window.partitionBy("s", "size").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     per = per.withColumn("ahead", F.coalesce(F.sum("m").over(before), F.lit(0))).join(chosen, ["s", "size"]).select("s", "size", "b", "base", (F.col("extra") - F.col("ahead")).alias("quota"))
     rank = F.row_number().over(Window.partitionBy("s", "size", "b").orderBy("h"))
     out = all_rows.withColumn("k", rank).join(per, ["s", "size", "b"]).join(F.broadcast(rates), "s")
-    return out.select(F.col("id").alias(id_col), F.col("h").alias("text_hash"), F.col("source").alias(source_col), "size", "source_size", "target", "rate", (F.col("base") + (F.col("k") <= F.col("quota")).cast("long")).alias("copies"))
+    return out.select(F.col("id").alias(id_col), F.col("th").alias("text_hash"), F.col("source").alias(source_col), "size", "source_size", "target", "rate", (F.col("base") + (F.col("k") <= F.col("quota")).cast("long")).alias("copies"))
 
 
 def op7_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
