@@ -38,7 +38,7 @@ from .common import Poly, column, drop, mix64, save, signed, table, text_buffers
 
 LENGTH, WINDOW, GRAM = 400, 256, 32
 KEY = LENGTH - WINDOW + 1
-PIECE, SHARD, GROUP = 2 << 20, 1 << 20, 256
+PIECE, SHARD, GROUP = 1 << 20, 1 << 19, 256
 _A, _B = Poly(0xA11CE), Poly(0xB0B)
 
 
@@ -94,67 +94,83 @@ def anchors(buf: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
 def suffix_array(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(array, ranks) by Larsson-Sadakane refinement: doubled depths, only unsorted groups."""
     n = len(symbols)
-    bits = max(1, int(symbols.max()).bit_length())
-    depth = max(1, 62 // bits)
+    base, depth = int(symbols.max()) + 2, 1
+    while base ** (depth + 1) < 1 << 62:
+        depth += 1
     padded = np.concatenate([symbols.astype(np.int64) + 1, np.zeros(depth, np.int64)])
     key = np.zeros(n, np.int64)
-    base = int(symbols.max()) + 2
-    while base**depth >= 1 << 62:
-        depth -= 1
     for j in range(depth):
-        key = key * base + padded[j : j + n]
-    order = np.argsort(key, kind="stable")
-    sorted_key = key[order]
+        key *= base
+        key += padded[j : j + n]
+    order = np.argsort(key)
+    key = key[order]
     new = np.ones(n, bool)
-    new[1:] = sorted_key[1:] != sorted_key[:-1]
-    rank = np.empty(n, np.int64)
-    head = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    new[1:] = key[1:] != key[:-1]
+    del key, padded
+    rank = np.empty(n, np.int32)
+    head = np.maximum.accumulate(np.where(new, np.arange(n, dtype=np.int32), 0))
     rank[order] = head
-    while True:
-        alone = new & np.append(new[1:], True)
-        places = np.flatnonzero(~alone)
-        if not len(places):
-            return order, rank
-        rows = order[places]
+    places = np.flatnonzero(~(new & np.append(new[1:], True)))
+    while len(places):
+        rows, group = order[places], head[places]
         behind = rows + depth
         second = np.where(behind < n, rank[np.minimum(behind, n - 1)], -1)
-        group = head[places]
-        sub = np.lexsort((second, group))
-        rows, second, group = rows[sub], second[sub], group[sub]
+        joint = group.astype(np.int64) * (n + 1) + second + 1
+        sub = np.argsort(joint)
+        rows, joint = rows[sub], joint[sub]
         order[places] = rows
         fresh = np.ones(len(rows), bool)
-        fresh[1:] = (group[1:] != group[:-1]) | (second[1:] != second[:-1])
-        new[places] = fresh
-        head = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+        fresh[1:] = joint[1:] != joint[:-1]
+        # a group's first place is its rank; groups are runs of places
+        first = np.maximum.accumulate(np.where(fresh, np.arange(len(rows)), 0))
+        head[places] = places[first]
         rank[rows] = head[places]
+        places = places[~(fresh & np.append(fresh[1:], True))]
         depth *= 2
-
-
-def kasai(symbols: np.ndarray, order: np.ndarray, rank: np.ndarray, block: int = 64) -> np.ndarray:
-    """Common prefix of each suffix of the array with the one before it."""
-    n = len(symbols)
-    text = np.append(symbols, np.full(block, -1)).astype(np.int32)
-    raw, step = text.tobytes(), text.itemsize
-    lcp = np.zeros(n, np.int64)
-    before = np.empty(n, np.int64)
-    before[order[1:]] = order[:-1]
-    before[order[0]] = -1
-    h, out = 0, [0] * n
-    for i, j in enumerate(before.tolist()):
-        if j < 0:
-            h = 0
-            continue
-        # separators differ, so no common prefix runs past the end
-        while raw[(i + h) * step : (i + h + 1) * step] == raw[(j + h) * step : (j + h + 1) * step]:
-            if raw[(i + h) * step : (i + h + block) * step] == raw[(j + h) * step : (j + h + block) * step] and max(i, j) + h + block <= n:
-                h += block
-            else:
-                h += 1
-        out[i] = h
-        if h:
-            h -= 1
-    lcp[rank] = out
-    return lcp
+    return order, rank
+
+
+def kasai(symbols: np.ndarray, order: np.ndarray, rank: np.ndarray, starts: np.ndarray, owned: np.ndarray, block: int = 100) -> tuple[np.ndarray, np.ndarray]:
+    """Common prefixes with the suffix before and after it in the array, of the first ``owned``
+    suffixes from each start on: each is at least its left neighbour's in the text less one."""
+    n, raw, step = len(symbols), symbols.astype(np.int32).tobytes(), 4
+    one = memoryview(raw).cast("i")
+    out = []
+    for shift in (-1, 1):
+        at = np.repeat(starts, owned) + np.arange(int(owned.sum())) - np.repeat(np.cumsum(owned) - owned, owned)
+        r = rank[at] + shift
+        other = np.where((r >= 0) & (r < n), order[np.clip(r, 0, n - 1)], -1)
+        h, expected, found = 0, -1, []
+        for i, j in zip(at.tolist(), other.tolist(), strict=True):
+            if i != expected:
+                h = 0
+            expected = i + 1
+            if j < 0:
+                h = 0
+                found.append(0)
+                continue
+            # separators differ, so no common prefix runs past the end of either
+            if one[i + h] != one[j + h]:
+                found.append(h)
+                if h:
+                    h -= 1
+                continue
+            a, b = (i + h) * step, (j + h) * step
+            while raw[a : a + block * step] == raw[b : b + block * step]:
+                a, b = a + block * step, b + block * step
+            lo, hi = 0, block  # the first difference is in this block
+            while hi - lo > 1:
+                mid = (lo + hi) >> 1
+                if raw[a : a + mid * step] == raw[b : b + mid * step]:
+                    lo = mid
+                else:
+                    hi = mid
+            h = a // step - i + lo
+            found.append(h)
+            if h:
+                h -= 1
+        out.append(np.array(found, np.int64))
+    return out[0], out[1]
 
 
 def decide(texts: list[bytes], owned: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -164,16 +180,14 @@ def decide(texts: list[bytes], owned: np.ndarray, weight: np.ndarray) -> tuple[n
     symbols = np.empty(offs[-1], np.int64)
     is_end = np.zeros(offs[-1], bool)
     is_end[offs[1:] - 1] = True
-    symbols[~is_end] = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64) + len(texts)
+    _, letters = np.unique(np.frombuffer(b"".join(texts), np.uint8), return_inverse=True)
+    symbols[~is_end] = letters + len(texts)
     symbols[is_end] = np.arange(len(texts))  # every end is a symbol of its own
     order, rank = suffix_array(symbols)
-    lcp = kasai(symbols, order, rank)
-    like_previous = lcp >= LENGTH
-    like_next = np.append(like_previous[1:], False)
+    before, after = kasai(symbols, order, rank, offs[:-1], owned)
     segment = np.repeat(np.arange(len(texts)), owned)
     position = np.arange(len(segment)) - np.repeat(np.cumsum(owned) - owned, owned)
-    r = rank[offs[segment] + position]
-    return segment, position, like_previous[r] | like_next[r] | (weight[segment] > 1), ~like_previous[r]
+    return segment, position, (before >= LENGTH) | (after >= LENGTH) | (weight[segment] > 1), before < LENGTH
 
 
 def remove_repeats(docs: DataFrame, text_col: str = "text") -> DataFrame:
