@@ -120,8 +120,8 @@ def compare(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", par
 
     keys = base.groupBy("k", "h", "id").agg(F.max(F.length("text")).alias("n"), F.count("*").alias("m"))
     pairs, p_pairs = save(following(keys), "pairs")
-    texts = base.select("k", "h", "id", "text")
-    single = texts.select("k", "h", "text")
+    texts = base.select("k", "h", "text")  # both joins below read one exchange of these
+    single = texts
     if spark.read.parquet(p_pairs).count() < docs.count():  # equal rows: one of them is enough as next document
         single = single.dropDuplicates(["k", "h"])
     want = pairs.select("nk", "nh", "k", "h", F.floor(F.col("n") / part).cast("int").alias("need")).hint("shuffle_hash")
@@ -131,9 +131,9 @@ def compare(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", par
     both = texts.join(begin.hint("shuffle_hash"), ["k", "h"])
     both = both.withColumn("edited", F.concat(F.expr("substring(text, 1, length(text) - need)"), "begin"))
     terms, more = term_hashes(F.col("text")), term_hashes(F.col("edited"))
-    both = both.select("k", "h", "nk", "nh", "id", F.length("text").alias("n"), F.sha2("edited", 256).alias("edited_sha256"), F.sha2("text", 256).alias("sha"), terms.alias("x"), more.alias("y"))
+    both = both.select("k", "h", "nk", "nh", F.length("text").alias("n"), F.sha2("edited", 256).alias("edited_sha256"), F.sha2("text", 256).alias("sha"), terms.alias("x"), more.alias("y"))
     both = both.withColumn("lx", _level(F.size("x"))).withColumn("ly", _level(F.size("y")))
-    rows = both.select(F.monotonically_increasing_id().alias("rid"), "k", "h", "nk", "nh", "id", "n", "edited_sha256", "sha", "lx", "ly", _sample(F.col("x"), F.col("lx")).alias("x"), _sample(F.col("y"), F.col("ly")).alias("y"))
+    rows = both.select(F.monotonically_increasing_id().alias("rid"), "k", "h", "nk", "nh", "n", "edited_sha256", "sha", "lx", "ly", _sample(F.col("x"), F.col("lx")).alias("x"), _sample(F.col("y"), F.col("ly")).alias("y"))
     rows, _ = save(rows, "drafts")
 
     # sampled terms that are in the lexicon; a term of both texts is joined once
@@ -141,11 +141,12 @@ def compare(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", par
     none = F.array().cast("array<long>")
     prints = rows.join(found, "rid", "left").withColumn("in", F.coalesce("in", none))
     keep = lambda c: F.array_intersect(F.col(c), F.col("in"))
-    prints = prints.select("k", "h", "nk", "nh", "id", "n", "edited_sha256", fingerprint(keep("x"), F.col("lx"), F.col("sha")).alias("f"), fingerprint(keep("y"), F.col("ly"), F.col("edited_sha256")).alias("e"))
+    prints = prints.select("k", "h", "nk", "nh", "n", "edited_sha256", fingerprint(keep("x"), F.col("lx"), F.col("sha")).alias("f"), fingerprint(keep("y"), F.col("ly"), F.col("edited_sha256")).alias("e"))
     prints, _ = save(prints, "prints")
     nexts = prints.select(F.col("k").alias("nk"), F.col("h").alias("nh"), F.col("f").alias("g")).groupBy("nk", "nh").agg(F.max("g").alias("g"))
     out = prints.join(nexts, ["nk", "nh"])
-    return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_chars"), "edited_sha256", F.col("f").alias("fingerprint"), F.col("e").alias("edited_fingerprint"), likeness(F.col("f"), F.col("e")).alias("near_edited"), likeness(F.col("f"), F.col("g")).alias("near_next"))
+    id_type = docs.select(column(id_col)).schema[0].dataType
+    return out.select(F.when(F.col("k") != "\x00", F.col("k").cast(id_type)).alias(id_col), F.col("n").cast("long").alias("n_chars"), "edited_sha256", F.col("f").alias("fingerprint"), F.col("e").alias("edited_fingerprint"), likeness(F.col("f"), F.col("e")).alias("near_edited"), likeness(F.col("f"), F.col("g")).alias("near_next"))
 
 
 def op10_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
