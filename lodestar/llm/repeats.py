@@ -14,7 +14,7 @@ are out of reach, so content decides what a suffix array must see:
    (it has weight 2 in the suffix array); the others are decided by the shard's suffix
    array, sorted by Larsson-Sadakane refinement in numpy (ranks of doubled depth, only
    in groups not yet single), and Kasai's common prefixes of its neighbours.
-3. Merge. KEY bytes with more than GROUP different segments are dealt to several
+3. Merge. KEY bytes with more than GROUP different segments (2.7 MB) are dealt to several
    shards by segment. What a shard leaves undecided is merged across shards: each
    shard gives one sorted fingerprint of each distinct window, and binary search in
    the merged order finds those that another shard has.
@@ -38,7 +38,7 @@ from .common import Poly, column, drop, mix64, save, signed, table, text_buffers
 
 LENGTH, WINDOW, GRAM = 400, 256, 32
 KEY = LENGTH - WINDOW + 1
-PIECE, SHARD, GROUP = 1 << 20, 1 << 19, 256
+PIECE, SHARD, GROUP = 1 << 20, 1 << 19, 4096
 _A, _B = Poly(0xA11CE), Poly(0xB0B)
 
 
