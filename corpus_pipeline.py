@@ -20,6 +20,8 @@ from lodestar.llm.repeats import remove_repeats
 
 #: The least posterior of a document's language.
 LEAST_SCORE = 0.5
+#: Bytes of the shortest passage of more than 50 words: 51 words of one byte and what parts them.
+LEAST_REPEAT = 101
 
 
 def _by_row(docs: DataFrame, decisions: DataFrame) -> DataFrame:
@@ -46,8 +48,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Byte strings that start anywhere else too are cut out; every document stays."""
-    return remove_repeats(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """Byte strings of LEAST_REPEAT that start anywhere else too are cut out; every document stays."""
+    return remove_repeats(docs, length=LEAST_REPEAT).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

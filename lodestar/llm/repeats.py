@@ -1,26 +1,26 @@
 """Removal of repeated byte strings by suffix arrays of shards.
 
-Every byte covered by a string of LENGTH bytes that also starts anywhere else (in
-any document, the same one included) is removed. Suffix arrays over all of a corpus
-are out of reach, so content decides what a suffix array must see:
+Every byte covered by a string of ``length`` bytes (op5: LENGTH) that also starts
+anywhere else (in any document, the same one included) is removed. Suffix arrays over
+all of a corpus are out of reach, so content decides what a suffix array must see:
 
-1. Anchors. Of the gram hashes in the WINDOW positions from p on, the least one
+1. Anchors. Of the gram hashes in the window's positions from p on, the least one
    (leftmost) is the anchor of the string at p. Equal strings have equal anchors at
-   equal distances, followed by KEY equal bytes, so a string whose anchor's KEY bytes
-   occur once in the corpus is not repeated. An anchor owns a run of such positions;
+   equal distances, followed by equal bytes, the key, so a string whose anchor's key
+   occurs once in the corpus is not repeated. An anchor owns a run of such positions;
    their strings together are its segment. Equal segments are counted, not compared.
-2. Shards. Where the KEY bytes occur in several different segments, one of each goes
+2. Shards. Where a key occurs in several different segments, one of each goes
    to a shard with the others. A segment that itself occurs twice is repeated whole
    (it has weight 2 in the suffix array); the others are decided by the shard's suffix
    array, sorted by Larsson-Sadakane refinement in numpy (ranks of doubled depth, only
    in groups not yet single), and Kasai's common prefixes of its neighbours.
-3. Merge. KEY bytes with more than GROUP different segments (2.7 MB) are dealt to several
+3. Merge. Keys with more than GROUP different segments (2.7 MB) are dealt to several
    shards by segment. What a shard leaves undecided is merged across shards: each
    shard gives one sorted fingerprint of each distinct window, and binary search in
    the merged order finds those that another shard has.
 
-Defined results: null text is empty; texts under LENGTH bytes keep everything;
-repeated rows are texts of their own, so both lose what is LENGTH bytes or longer;
+Defined results: null text is empty; texts under ``length`` bytes keep everything;
+repeated rows are texts of their own, so both lose what is ``length`` bytes or longer;
 cut bytes may split a character, the rest of which the text output drops (the
 digests are of the exact bytes); columns named like the outputs are replaced; an empty table gives an empty table.
 """
@@ -36,43 +36,52 @@ from pyspark.sql import functions as F
 
 from .common import Poly, column, drop, mix64, save, signed, table, text_buffers
 
-LENGTH, WINDOW, GRAM = 400, 256, 32
-KEY = LENGTH - WINDOW + 1
+LENGTH, GRAM = 400, 32
 PIECE, SHARD, GROUP = 1 << 20, 1 << 19, 4096
 _A, _B = Poly(0xA11CE), Poly(0xB0B)
 
 
-def pieces(offs: np.ndarray, limit: int = PIECE):
+def shape(length: int) -> tuple[int, int, int]:
+    """(positions of a window, bytes of a key, bytes of a gram) for strings of ``length`` bytes."""
+    window = 1 << max((length * 16 // 25).bit_length() - 1, 0)
+    key = length - window + 1
+    return window, key, min(GRAM, key)
+
+
+def pieces(offs: np.ndarray, length: int = LENGTH, limit: int = PIECE):
     """(rows, first byte, one past the last) of slices of whole documents, or of overlapping parts of a longer one."""
     n, a = len(offs) - 1, 0
     while a < n:
         b = min(max(int(np.searchsorted(offs, offs[a] + limit, "right")) - 1, a + 1), n)
         if b == a + 1 and offs[b] - offs[a] > limit:
             for c in range(int(offs[a]), int(offs[b]), limit):
-                yield a, b, c, min(int(offs[b]), c + limit + LENGTH - 1)
+                yield a, b, c, min(int(offs[b]), c + limit + length - 1)
         else:
             yield a, b, int(offs[a]), int(offs[b])
         a = b
 
 
-def anchors(buf: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
+def anchors(buf: np.ndarray, offs: np.ndarray, length: int = LENGTH) -> dict[str, np.ndarray]:
     """Segments of the documents of a slice: document, p0, n (positions owned), each (of one
     occurrence), times, kh, sh. Adjacent equal segments are one row that counts them."""
     n = len(buf)
+    window, key, gram = shape(length)
     empty = {k: np.zeros(0, np.int64) for k in ("doc", "p0", "n", "each", "times", "kh", "sh")}
-    if n < LENGTH:
+    if n < length:
         return empty
     a, b = _A.prefix(buf), _B.prefix(buf)
-    m = n - GRAM + 1
+    m = n - gram + 1
     start = np.arange(m)
     low = np.uint64((1 << 23) - 1)  # more than a piece has
-    x = (mix64(_A.spans(a, start, start + GRAM)) & ~low) | start.astype(np.uint64)
-    for s in (1, 2, 4, 8, 16, 32, 64, 128):
+    x = (mix64(_A.spans(a, start, start + gram)) & ~low) | start.astype(np.uint64)
+    s = 1
+    while s < window:
         x = np.minimum(x[:-s], x[s:])
+        s *= 2
     at = (x & low).astype(np.int64)  # anchor of each position
     doc = np.repeat(np.arange(len(offs) - 1), np.diff(offs))
-    p = np.arange(min(len(at), n - LENGTH + 1))
-    p = p[doc[p] == doc[p + LENGTH - 1]]
+    p = np.arange(min(len(at), n - length + 1))
+    p = p[doc[p] == doc[p + length - 1]]
     if not len(p):
         return empty
     new = np.ones(len(p), bool)
@@ -80,8 +89,8 @@ def anchors(buf: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
     first = np.flatnonzero(new)
     p0, size = p[first], np.diff(np.append(first, len(p)))
     anchor = at[p0]
-    kh = mix64(_A.spans(a, anchor, anchor + KEY) ^ _B.spans(b, anchor, anchor + KEY) * np.uint64(0x9E3779B97F4A7C15))
-    end = p0 + size - 1 + LENGTH
+    kh = mix64(_A.spans(a, anchor, anchor + key) ^ _B.spans(b, anchor, anchor + key) * np.uint64(0x9E3779B97F4A7C15))
+    end = p0 + size - 1 + length
     sh = mix64(_B.spans(b, p0, end) + mix64(_A.spans(a, p0, end)) + size.astype(np.uint64))
     # periodic texts: equal segments one after another
     new = np.ones(len(p0), bool)
@@ -173,7 +182,7 @@ def kasai(symbols: np.ndarray, order: np.ndarray, rank: np.ndarray, starts: np.n
     return out[0], out[1]
 
 
-def decide(texts: list[bytes], owned: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def decide(texts: list[bytes], owned: np.ndarray, weight: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For a shard's segments: (segment, position, repeated here, first of its equals) of every owned position."""
     size = np.fromiter(map(len, texts), np.int64, len(texts))
     offs = np.concatenate([[0], np.cumsum(size + 1)])
@@ -187,11 +196,11 @@ def decide(texts: list[bytes], owned: np.ndarray, weight: np.ndarray) -> tuple[n
     before, after = kasai(symbols, order, rank, offs[:-1], owned)
     segment = np.repeat(np.arange(len(texts)), owned)
     position = np.arange(len(segment)) - np.repeat(np.cumsum(owned) - owned, owned)
-    return segment, position, (before >= LENGTH) | (after >= LENGTH) | (weight[segment] > 1), before < LENGTH
+    return segment, position, (before >= length) | (after >= length) | (weight[segment] > 1), before < length
 
 
-def remove_repeats(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs' columns with ``text_col`` cut, and n_bytes, n_removed, n_spans, kept_sha256."""
+def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH) -> DataFrame:
+    """docs' columns with ``text_col`` cut where ``length`` bytes repeat, and n_bytes, n_removed, n_spans, kept_sha256."""
     spark = docs.sparkSession
     docs = docs.select(*[column(c) for c in docs.columns if c not in ("n_bytes", "n_removed", "n_spans", "kept_sha256")])
     text = F.coalesce(column(text_col).cast("string"), F.lit(""))
@@ -202,9 +211,9 @@ def remove_repeats(docs: DataFrame, text_col: str = "text") -> DataFrame:
         for batch in batches:
             h1, h2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             buf, offs = text_buffers(batch.column(2))
-            for a, b, c, d in pieces(offs):
+            for a, b, c, d in pieces(offs, length):
                 part = np.clip(offs[a : b + 1], c, d) - c
-                s = anchors(buf[c:d], part)
+                s = anchors(buf[c:d], part, length)
                 doc = s["doc"] + a
                 p0 = s["p0"] + c - offs[doc]
                 yield pa.RecordBatch.from_arrays([pa.array(s["kh"]), pa.array(s["sh"]), pa.array(h1[doc]), pa.array(h2[doc]), *(pa.array(v.astype(np.int64)) for v in (p0, s["n"], s["each"], s["times"]))], ["kh", "sh", "h1", "h2", "p0", "n", "each", "times"])
@@ -223,7 +232,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text") -> DataFrame:
             for i, segs in enumerate(batch.column(0).to_pylist()):
                 raw, h = texts[i].as_buffer(), (batch.column(2)[i].as_py(), batch.column(3)[i].as_py())
                 for s in segs:
-                    for col, v in zip(out, (s["kh"], s["sh"], s["w"], s["d"], *h, s["p0"], s["each"], raw[s["p0"] : s["p0"] + s["each"] - 1 + LENGTH].to_pybytes()), strict=True):
+                    for col, v in zip(out, (s["kh"], s["sh"], s["w"], s["d"], *h, s["p0"], s["each"], raw[s["p0"] : s["p0"] + s["each"] - 1 + length].to_pybytes()), strict=True):
                         col.append(v)
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:8]), pa.array(out[8], pa.binary())], ["kh", "sh", "w", "d", "h1", "h2", "p0", "each", "s"])
 
@@ -239,7 +248,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text") -> DataFrame:
         def flush():
             w, d, h1, h2, p0, each = (np.array([x[i] for x in held], np.int64) for i in (2, 3, 4, 5, 6, 7))
             strings = [x[8] for x in held]
-            seg, pos, repeated, first = decide(strings, each, w)
+            seg, pos, repeated, first = decide(strings, each, w, length)
             hit = repeated & (w[seg] == 1)
             yield 0, h1[seg[hit]], h2[seg[hit]], (p0[seg] + pos)[hit], None
             more = first & (d[seg] > GROUP)
@@ -247,7 +256,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 seg, pos = seg[more], pos[more]
                 data = np.frombuffer(b"".join(strings), np.uint8)
                 at = np.concatenate([[0], np.cumsum([len(s) for s in strings])])[seg] + pos
-                prints = [signed(mix64(k.spans(k.prefix(data), at, at + LENGTH))) for k in (_A, _B)]
+                prints = [signed(mix64(k.spans(k.prefix(data), at, at + length))) for k in (_A, _B)]
                 yield 1, h1[seg], h2[seg], p0[seg] + pos, (*prints, ~repeated[more])
 
         def rows_of(found):
@@ -310,7 +319,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 else:
                     edge = np.zeros(len(raw) + 1, np.int64)
                     lo = np.array([m["p0"] for m in marks], np.int64)
-                    hi = lo + np.array([m["n"] for m in marks], np.int64) - 1 + LENGTH
+                    hi = lo + np.array([m["n"] for m in marks], np.int64) - 1 + length
                     np.add.at(edge, lo, 1)
                     np.add.at(edge, hi, -1)
                     gone = np.cumsum(edge[:-1]) > 0
