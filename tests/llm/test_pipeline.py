@@ -44,3 +44,17 @@ def test_repeats_of_other_lengths_match_brute_force(spark, length):
         want[d] = "".join(c for c, g in zip(t, gone, strict=True) if not g)
     assert {r.doc_id: r.text for r in repeats.remove_repeats(_frame(spark, texts), length=length).collect()} == want
     assert sum(map(len, want.values())) < sum(map(len, texts))
+
+
+def test_near_copies_of_four_fifths_go(spark):
+    texts = []
+    for s in range(40):  # 100 shingles; two changed words leave 90 of them and add 10
+        words = _words(200 + s, 104)
+        other = list(words)
+        other[30], other[70] = "changed", "words"
+        texts += [" ".join(words), " ".join(other)]
+    for k in (20, 50, 85):  # three of them are too many
+        words[k] = "changed"
+    texts.append(" ".join(words))
+    out = corpus_pipeline.near_dedup(spark, _frame(spark, texts), "")
+    assert sorted(r.doc_id for r in out.collect()) == [*range(0, 80, 2), 80]
