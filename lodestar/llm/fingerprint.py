@@ -3,7 +3,9 @@
 Terms are the lower-cased words of the whole text. The lexicon is the terms of one
 in 2**LEXICON_BITS hash classes whose document frequency over all documents lies in
 a band (at least LEAST documents, at most MOST of them). A document's fingerprint
-keeps the lexicon terms of its own distinct terms, sorts them, deals them to SUBSETS
+keeps the lexicon terms of its own distinct terms, made up to FEW of its sample by
+the rarest above the band and then by those below it (a group of near copies may be
+more than MOST of all documents, so that none of its terms is in the band), sorts them, deals them to SUBSETS
 randomised lexicon subsets and hashes each subset's sorted terms. A long document
 would have too many terms in each subset for any to survive an edit, so a document
 uses a hash sample of the lexicon whose rate halves as its number of distinct terms
@@ -14,7 +16,7 @@ fingerprints is the share of their non-empty subset hashes that agree.
 The document frequencies are shuffled as partial counts; only sampled terms, a few
 dozen a document whatever its length, are joined with the lexicon.
 
-Defined results: null text is empty; a text without lexicon terms has a hash of the
+Defined results: null text is empty; a text without sampled terms has a hash of the
 whole text as fingerprint, like only to itself; a null id comes last in descending
 order; equal rows have the same next document (the next different row), which for a
 single row is itself; an empty table gives an empty table.
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import column, drop, save, table
 
-LEXICON_BITS, SUBSETS, SAMPLED, LEAST, MOST = 2, 32, 32, 2, 0.05
+LEXICON_BITS, SUBSETS, SAMPLED, LEAST, MOST, FEW = 2, 32, 32, 2, 0.05, 16
 _DIGITS, _EMPTY = 4, "----"
 
 
@@ -48,10 +50,10 @@ def _level(n_terms: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, text: Column, least: int = LEAST, most: float = MOST) -> DataFrame:
-    """(term hash) of the lexicon; document frequencies are over all documents."""
+    """(term hash, document frequency over all documents, in the band) of the terms of at least ``least`` documents."""
     sampled = docs.select(F.explode(F.filter(term_hashes(text), lambda t: t.bitwiseAND(F.lit((1 << LEXICON_BITS) - 1)) == 0)).alias("t"))
     n = docs.count()
-    return sampled.groupBy("t").agg(F.count("*").alias("df")).where((F.col("df") >= least) & (F.col("df") <= max(float(least), most * n))).select("t")
+    return sampled.groupBy("t").agg(F.count("*").alias("df")).where(F.col("df") >= least).select("t", "df", (F.col("df") <= max(float(least), most * n)).alias("band"))
 
 
 def _block(terms: Column) -> Column:
@@ -65,10 +67,18 @@ def _block(terms: Column) -> Column:
     return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), one), "")
 
 
-def fingerprint(terms: Column, level: Column, text_hash: Column) -> Column:
-    """From the lexicon terms sampled at the document's level."""
-    terms = F.sort_array(terms)
-    parts = F.concat(F.lpad(level.cast("string"), 2, "0"), _block(terms), _block(_sample(terms, level + 1)))
+def chosen(terms: Column, found: Column, few: int = FEW) -> Column:
+    """Those of the terms that are in the band by ``found`` (df, t, band), ascending; made up to ``few``
+    by the rarest above the band, then by those below it."""
+    mine = F.filter(found, lambda s: F.array_contains(terms, s["t"]))  # found is in order of df
+    kept = F.filter(mine, lambda s, i: s["band"] | (i < few))["t"]
+    below = F.sort_array(F.array_except(terms, found["t"]))
+    return F.sort_array(F.concat(kept, F.slice(below, F.lit(1), F.greatest(few - F.size(kept), F.lit(0)))))
+
+
+def fingerprint(terms: Column, more: Column, level: Column, text_hash: Column) -> Column:
+    """From the terms chosen of the samples of the document's level and of the next one."""
+    parts = F.concat(F.lpad(level.cast("string"), 2, "0"), _block(terms), _block(more))
     return F.when(F.coalesce(F.size(terms), F.lit(0)) <= 0, F.concat(F.lit("text"), text_hash)).otherwise(parts)
 
 
@@ -136,12 +146,13 @@ def compare(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", par
     rows = both.select(F.monotonically_increasing_id().alias("rid"), "k", "h", "nk", "nh", "n", "edited_sha256", "sha", "lx", "ly", _sample(F.col("x"), F.col("lx")).alias("x"), _sample(F.col("y"), F.col("ly")).alias("y"))
     rows, _ = save(rows, "drafts")
 
-    # sampled terms that are in the lexicon; a term of both texts is joined once
-    found = rows.select("rid", F.explode(F.array_union("x", "y")).alias("t")).join(lex, "t").groupBy("rid").agg(F.collect_list("t").alias("in"))
-    none = F.array().cast("array<long>")
+    # sampled terms that are counted; a term of both texts is joined once
+    found = rows.select("rid", F.explode(F.array_union("x", "y")).alias("t")).join(lex, "t").groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("df", "t", "band"))).alias("in"))
+    none = F.array().cast("array<struct<df:long,t:long,band:boolean>>")
     prints = rows.join(found, "rid", "left").withColumn("in", F.coalesce("in", none))
-    keep = lambda c: F.array_intersect(F.col(c), F.col("in"))
-    prints = prints.select("k", "h", "nk", "nh", "n", "edited_sha256", fingerprint(keep("x"), F.col("lx"), F.col("sha")).alias("f"), fingerprint(keep("y"), F.col("ly"), F.col("edited_sha256")).alias("e"))
+    picks = lambda c, lv: (chosen(F.col(c), F.col("in")).alias(f"{c}1"), chosen(_sample(F.col(c), F.col(lv) + 1), F.col("in")).alias(f"{c}2"))
+    prints = prints.select("k", "h", "nk", "nh", "n", "edited_sha256", "sha", "lx", "ly", *picks("x", "lx"), *picks("y", "ly"))
+    prints = prints.select("k", "h", "nk", "nh", "n", "edited_sha256", fingerprint(F.col("x1"), F.col("x2"), F.col("lx"), F.col("sha")).alias("f"), fingerprint(F.col("y1"), F.col("y2"), F.col("ly"), F.col("edited_sha256")).alias("e"))
     prints, _ = save(prints, "prints")
     nexts = prints.select(F.col("k").alias("nk"), F.col("h").alias("nh"), F.col("f").alias("g")).groupBy("nk", "nh").agg(F.max("g").alias("g"))
     out = prints.join(nexts, ["nk", "nh"])
