@@ -1,7 +1,7 @@
 """Document fingerprints by I-Match over randomised lexicon subsets, all in DataFrame operations.
 
-Terms are the lower-cased words of the whole text. The lexicon is the terms of one
-in 2**LEXICON_BITS hash classes whose document frequency over all documents lies in
+Terms are the lower-cased words of the whole text. The lexicon is all
+terms whose document frequency over all documents lies in
 a band (at least LEAST documents, at most MOST of them). A document's fingerprint
 keeps the lexicon terms of its own distinct terms, made up to FEW of its sample by
 the rarest above the band and then by those below it (a group of near copies may be
@@ -9,7 +9,7 @@ more than MOST of all documents, so that none of its terms is in the band), sort
 randomised lexicon subsets and hashes each subset's sorted terms. A long document
 would have too many terms in each subset for any to survive an edit, so a document
 uses a hash sample of the lexicon whose rate halves as its number of distinct terms
-doubles; its fingerprint holds that level and the next one, which is what makes
+doubles (under 2 * SAMPLED of them all are used); its fingerprint holds that level and the next one, which is what makes
 documents of up to about twice the length comparable. The likeness of two
 fingerprints is the share of their non-empty subset hashes that agree.
 
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import column, drop, save, table
 
-LEXICON_BITS, SUBSETS, SAMPLED, LEAST, MOST, FEW = 2, 32, 32, 2, 0.05, 16
+SUBSETS, SAMPLED, LEAST, MOST, FEW = 32, 32, 2, 0.05, 16
 _DIGITS, _EMPTY = 4, "----"
 
 
@@ -40,20 +40,20 @@ def term_hashes(text: Column) -> Column:
 
 
 def _sample(terms: Column, level: Column) -> Column:
-    mask = F.call_function("shiftleft", F.lit(1).cast("long"), (level + LEXICON_BITS).cast("int")) - 1
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), level.cast("int")) - 1
     return F.filter(terms, lambda t: t.bitwiseAND(mask) == 0)
 
 
 def _level(n_terms: Column) -> Column:
-    per = n_terms / F.lit(float(SAMPLED << LEXICON_BITS))
+    per = n_terms / F.lit(float(SAMPLED))
     return F.greatest(F.lit(0), F.floor(F.log2(F.greatest(per, F.lit(1.0))))).cast("int")
 
 
 def lexicon(docs: DataFrame, text: Column, least: int = LEAST, most: float = MOST) -> DataFrame:
     """(term hash, document frequency over all documents, in the band) of the terms of at least ``least`` documents."""
-    sampled = docs.select(F.explode(F.filter(term_hashes(text), lambda t: t.bitwiseAND(F.lit((1 << LEXICON_BITS) - 1)) == 0)).alias("t"))
+    terms = docs.select(F.explode(term_hashes(text)).alias("t"))
     n = docs.count()
-    return sampled.groupBy("t").agg(F.count("*").alias("df")).where(F.col("df") >= least).select("t", "df", (F.col("df") <= max(float(least), most * n)).alias("band"))
+    return terms.groupBy("t").agg(F.count("*").alias("df")).where(F.col("df") >= least).select("t", "df", (F.col("df") <= max(float(least), most * n)).alias("band"))
 
 
 def _block(terms: Column) -> Column:

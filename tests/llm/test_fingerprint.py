@@ -21,3 +21,14 @@ def test_a_group_above_the_band_is_alike(spark):
     assert np.median([r.near_next for r in rows if 0 < r.doc_id < 30]) > 0.5
     assert np.median([r.near_edited for r in rows if 0 < r.doc_id < 30]) > 0.5
     assert max(r.near_next for r in rows if r.doc_id > 30) < 0.2
+
+
+def test_short_texts_use_all_their_terms(spark):
+    rng = np.random.default_rng(2)
+    vocab = _words(rng, 400)
+    texts = [" ".join(rng.choice(vocab, 6, replace=False)) for _ in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = fingerprint.compare(docs).collect()
+    assert fingerprint.lexicon(docs, docs["text"]).count() == sum(sum(w in t for t in map(str.split, texts)) > 1 for w in vocab)
+    assert not any(r.fingerprint.startswith("text") for r in rows)
+    assert min(r.near_edited for r in rows) > 0
