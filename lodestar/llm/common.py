@@ -9,6 +9,7 @@ documents needs no more memory than its largest document.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -18,7 +19,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES, BATCH_BYTES = 2 << 20, 4 << 20
+#: A fixed value: the odd constant of 64-bit golden-ratio mixing.
+GOLDEN = 0x9E3779B97F4A7C15
 _MASK64 = (1 << 64) - 1
 
 
@@ -28,9 +31,11 @@ _MASK64 = (1 << 64) - 1
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder (``spark.checkpoint.dir``).
 
-    Only where it is unset, as in local tests, a temporary folder is made and set."""
+    Only where it is unset and the master is local, as in tests, a temporary folder is made and set."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="lodestar-")
         atexit.register(shutil.rmtree, root, True)
         spark.conf.set("spark.checkpoint.dir", root)
@@ -42,15 +47,36 @@ def save(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodestar-{uuid.uuid4().hex}-{name}"
     df.write.option("compression", "zstd").parquet(path)
+    _keep(spark, path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+_KEPT: dict[str, tuple] = {}
+
+
+def _keep(spark: SparkSession, path: str) -> None:
+    """Tables that a returned plan still reads go when the driver ends."""
+    if not _KEPT:
+        atexit.register(_sweep)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    _KEPT[path] = (p.getFileSystem(spark._jsc.hadoopConfiguration()), p)
+
+
+def _sweep() -> None:
+    for fs, p in _KEPT.values():
+        try:
+            fs.delete(p, True)
+        except Exception:  # the JVM is gone: nothing more can be done
+            return
+
+
 def drop(spark: SparkSession, *paths: str) -> None:
     """Remove intermediate tables that no later plan reads."""
     jvm = spark._jvm
     for path in paths:
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        _KEPT.pop(path, None)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,12 +88,45 @@ def column(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+# ---- memory of Python workers ---------------------------------------------
+
+
+def release() -> None:
+    """Give freed memory back to the system: a worker serves later stages too."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def lean(function):
+    """A mapInArrow function fed by batches of about BATCH_BYTES, whatever the length of
+    texts, that gives freed memory back as it goes and when it ends."""
+    SparkSession.active().conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+    def run(batches):
+        def counted():
+            size = 0
+            for batch in batches:
+                size += batch.nbytes
+                yield batch
+                if size > 16 * BATCH_BYTES:
+                    size = 0
+                    release()
+
+        yield from function(counted())
+        release()
+
+    return run
+
+
 # ---- hashing constants ----------------------------------------------------
 
 
 def splitmix(n: int, seed: int) -> np.ndarray:
     """n pseudo-random 64-bit values, the same on every machine."""
-    z = (np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) + np.uint64(seed & _MASK64)
+    z = (np.arange(1, n + 1, dtype=np.uint64) * np.uint64(GOLDEN)) + np.uint64(seed & _MASK64)
     return mix64(z)
 
 
@@ -171,7 +230,7 @@ WORD_HASH = Poly(0x5EED)
 def word_hashes(low: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hash of each word; length is mixed in."""
     h = WORD_HASH.spans(WORD_HASH.prefix(low), start, end)
-    return mix64(h + (end - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return mix64(h + (end - start).astype(np.uint64) * np.uint64(GOLDEN))
 
 
 def signed(a: np.ndarray) -> np.ndarray:

@@ -9,13 +9,15 @@ probabilities start from occurrence counts and are refined by expectation
 maximisation (forward-backward expected counts) on the distinct words of at most
 SAMPLE learning documents a language, taken by a hash of the id (all, where there
 are fewer). A text's language maximises its words' summed log probabilities; its
-score is that language's posterior with equal priors.
+score is that language's posterior, with equal priors, from the evidence of one average
+word: words are not independent, and their summed evidence would call every text certain.
 
 Defined results: null text, or one without letters, is ``und`` with score 0; nulls
 in the language column are not learnt from; with nothing to learn from everything is
 ``und``; ties go to the first language by code point; repeated rows are judged alike;
-an empty table gives an empty table. The number of distinct languages is held on the
-driver.
+an empty table gives an empty table; texts of any length are judged whole, a slice of
+documents at a time, and a worker remembers the probabilities of MEMO words at most. The
+number of distinct languages is held on the driver.
 """
 
 from __future__ import annotations
@@ -27,9 +29,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, crc32_of_id, save, table
+from .common import column, crc32_of_id, drop, lean, save, slices, table, text_buffers
 
-SAMPLE, ROUNDS, MAX_PIECE, MEMO = 4000, 2, 12, 400_000
+SAMPLE, ROUNDS, MEMO, BLOCK = 4000, 2, 200_000, 8_000
 UND = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
 _MARK, _STEP = "▁", np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -47,7 +49,7 @@ class Pieces:
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         found = (sp.id_to_piece(i) for i in range(sp.get_piece_size()))
-        self.pieces = sorted({p for p in found if 0 < len(p) <= MAX_PIECE and (p.removeprefix(_MARK).isalpha() or p == _MARK) and p == p.lower()})
+        self.pieces = sorted({p for p in found if p and (p.removeprefix(_MARK).isalpha() or p == _MARK) and p == p.lower()})
         h = np.array([self._one(p) for p in self.pieces], np.uint64)
         self.order = np.argsort(h)
         self.hashes = h[self.order]
@@ -61,13 +63,16 @@ class Pieces:
             h = (h * int(_STEP) + ord(ch) + 1) & ((1 << 64) - 1)
         return h
 
-    def lattice(self, words: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Words by length: (row numbers, ids[start, size - 1, word]); -1: no such piece."""
+    def lattice(self, words: list[str]):
+        """Blocks of words of one length: (row numbers, ids[start, size - 1, word]); -1: no such piece."""
         marked = [_MARK + w for w in words]
         lengths = np.fromiter(map(len, marked), np.int64, len(marked))
-        out = []
-        for n in np.unique(lengths):
-            rows = np.flatnonzero(lengths == n)
+        order = np.argsort(lengths, kind="stable")
+        edge = np.flatnonzero(np.diff(lengths[order], prepend=-1))
+        runs = [(a + k, min(a + k + BLOCK, b)) for a, b in zip(edge, [*edge[1:], len(order)], strict=True) for k in range(0, b - a, BLOCK)]
+        for a, b in runs:
+            rows = order[a:b]
+            n = int(lengths[rows[0]])
             text = np.frombuffer("".join(marked[i] for i in rows).encode("utf-32-le"), "<u4").reshape(len(rows), n).T.astype(np.uint64)
             ids = np.full((n, min(n, self.longest), len(rows)), -1, np.int32)
             h = np.zeros((n, len(rows)), np.uint64)
@@ -77,8 +82,7 @@ class Pieces:
                 at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
                 got = np.where(self.hashes[at] == h, self.order[at], -1)
                 ids[:m, size - 1] = np.where((got < 0) & (size == 1), self.unknown, got)
-            out.append((rows, ids))
-        return out
+            yield rows, ids
 
 
 def forward(ids: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -105,38 +109,36 @@ def marginals(pieces: Pieces, p: np.ndarray, words: list[str]) -> np.ndarray:
     """log probability of each word in each language, summed over all segmentations."""
     out = np.zeros((len(words), p.shape[1]))
     for rows, ids in pieces.lattice(words):
-        for a in range(0, len(rows), 20_000):
-            alpha, scale = forward(ids[:, :, a : a + 20_000], p)
-            out[rows[a : a + 20_000]] = np.log(np.maximum(alpha[-1], 1e-300)) + scale[-1][:, None]
+        alpha, scale = forward(ids, p)
+        out[rows] = np.log(np.maximum(alpha[-1], 1e-300)) + scale[-1][:, None]
     return out
 
 
 def expected(pieces: Pieces, p: np.ndarray | None, words: list[str], counts: np.ndarray) -> np.ndarray:
     """Expected piece counts [piece, language]; counts[word, language]. Without p: occurrences."""
     out = np.zeros((pieces.unknown + 1, counts.shape[1]))
-    for all_rows, all_ids in pieces.lattice(words):
-        for a in range(0, len(all_rows), 20_000):
-            ids, c = all_ids[:, :, a : a + 20_000], counts[all_rows[a : a + 20_000]]
-            n, sizes, rows = ids.shape
-            if p is None:
-                for i in range(n):
-                    for s in range(min(sizes, n - i)):
-                        hit = np.flatnonzero(ids[i, s] >= 0)
-                        np.add.at(out, ids[i, s, hit], c[hit])
-                continue
-            alpha, scale = forward(ids, p)
-            # beta in units of exp(scale[n] - scale[j]) / alpha[n], so that alpha * p * beta is the posterior
-            beta = np.zeros((n + 1, rows, p.shape[1]))
-            beta[n] = 1.0 / np.maximum(alpha[n], 1e-300)
-            for j in range(n - 1, -1, -1):
-                for s in range(min(sizes, n - j)):
-                    piece = ids[j, s]
-                    hit = np.flatnonzero(piece >= 0)
-                    if len(hit):
-                        k = j + s + 1
-                        part = p[piece[hit]] * beta[k, hit] * np.exp(scale[j, hit] - scale[k, hit])[:, None]
-                        beta[j, hit] += part
-                        np.add.at(out, piece[hit], np.minimum(alpha[j, hit] * part, 1.0) * c[hit])
+    for at, ids in pieces.lattice(words):
+        c = counts[at]
+        n, sizes, rows = ids.shape
+        if p is None:
+            for i in range(n):
+                for s in range(min(sizes, n - i)):
+                    hit = np.flatnonzero(ids[i, s] >= 0)
+                    np.add.at(out, ids[i, s, hit], c[hit])
+            continue
+        alpha, scale = forward(ids, p)
+        # beta in units of exp(scale[n] - scale[j]) / alpha[n], so that alpha * p * beta is the posterior
+        beta = np.zeros((n + 1, rows, p.shape[1]))
+        beta[n] = 1.0 / np.maximum(alpha[n], 1e-300)
+        for j in range(n - 1, -1, -1):
+            for s in range(min(sizes, n - j)):
+                piece = ids[j, s]
+                hit = np.flatnonzero(piece >= 0)
+                if len(hit):
+                    k = j + s + 1
+                    part = p[piece[hit]] * beta[k, hit] * np.exp(scale[j, hit] - scale[k, hit])[:, None]
+                    beta[j, hit] += part
+                    np.add.at(out, piece[hit], np.minimum(alpha[j, hit] * part, 1.0) * c[hit])
     return out
 
 
@@ -161,7 +163,7 @@ def learn(docs: DataFrame, id_col: str, text_col: str, lang_col: str, pieces_pat
             for lang, c in by.items():
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c), pa.string()), pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], ["lang", "w", "n"])
 
-    words, _ = save(chosen.select("lang", "text").mapInArrow(count, "lang string, w string, n long").groupBy("lang", "w").agg(F.sum("n").alias("n")).repartition(16), "language-words")
+    words, path = save(chosen.select("lang", "text").mapInArrow(lean(count), "lang string, w string, n long").groupBy("lang", "w").agg(F.sum("n").alias("n")), "language-words")
     place = {k: i for i, k in enumerate(langs)}
     p = None
     for _ in range(rounds + 1):
@@ -178,12 +180,13 @@ def learn(docs: DataFrame, id_col: str, text_col: str, lang_col: str, pieces_pat
             i, j = np.nonzero(out)
             yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(out[i, j])], ["i", "j", "n"])
 
-        sums = words.mapInArrow(tally, "i long, j long, n double").groupBy("i", "j").agg(F.sum("n").alias("n")).toArrow()  # pieces x languages
+        sums = words.mapInArrow(lean(tally), "i long, j long, n double").groupBy("i", "j").agg(F.sum("n").alias("n")).toArrow()  # pieces x languages
         size = len(Pieces(pieces_path).pieces) + 1
         total = np.zeros((size, len(langs)))
         total[sums.column(0).to_numpy(), sums.column(1).to_numpy()] = sums.column(2).to_numpy()
         total += 0.01
         p = total / total.sum(0)
+    drop(spark, path)
     return langs, p
 
 
@@ -206,14 +209,15 @@ def identify(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: s
         memo: dict[str, int] = {}
         known = np.zeros((0, max(1, len(langs))))
         for batch in batches:
-            text = batch.column(at).to_pylist()
-            pred, score = [UND] * len(text), np.zeros(len(text))
-            for a in range(0, len(text), 1000):
-                lists = [words_of(t) if t else [] for t in text[a : a + 1000]]
+            texts = batch.column(at)
+            pred, score = [UND] * len(batch), np.zeros(len(batch))
+            _, offs = text_buffers(texts)
+            for a, b in slices(offs, 1 << 20):
+                lists = [words_of(t) if t else [] for t in texts.slice(a, b - a).to_pylist()]
                 if not langs:
                     continue
                 if len(memo) > MEMO:
-                    memo, known = {}, known[:0]
+                    memo, known = {}, known[:0].copy()
                 new = list({w for ws in lists for w in ws}.difference(memo))
                 if new:
                     memo.update(zip(new, range(len(memo), len(memo) + len(new)), strict=True))
@@ -225,14 +229,15 @@ def identify(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: s
                     continue
                 sums = np.add.reduceat(known[flat], (np.cumsum(per) - per)[full])
                 best = sums.argmax(1)
-                posterior = 1 / np.exp(sums - sums.max(1, keepdims=True)).sum(1)
-                for i, b, s in zip(full, best, posterior, strict=True):
-                    pred[a + i], score[a + i] = langs[b], s
+                average = (sums - sums.max(1, keepdims=True)) / per[full, None]
+                posterior = 1 / np.exp(average).sum(1)
+                for i, k, s in zip(full, best, posterior, strict=True):
+                    pred[a + i], score[a + i] = langs[k], s
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score)], [*batch.schema.names, "lang_pred", "score"])
 
     names = [f"c{i}" for i in range(len(schema))]
     ddl = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, schema, strict=True))
-    out = docs.toDF(*names).mapInArrow(judge, f"{ddl}, lang_pred string, score double")
+    out = docs.toDF(*names).mapInArrow(lean(judge), f"{ddl}, lang_pred string, score double")
     return out.toDF(*docs.columns, "lang_pred", "score")
 
 

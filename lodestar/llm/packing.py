@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import column, save, slices, table, text_buffers
+from .common import column, lean, save, slices, table, text_buffers
 from .tokens import encoder, vocabulary
 
 WINDOW, END_ID = 1024, 0
@@ -132,7 +132,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
                 )
 
     rows = docs.select(column(id_col).alias("id"), column(text_col).cast("string").alias("text"))
-    rows, _ = save(rows.mapInArrow(encode, f"id {id_type}, part long, doc_tokens long, crcs array<long>, first long, r int, rank long, rem_crc long, rem binary"), "packed")
+    rows, _ = save(rows.mapInArrow(lean(encode), f"id {id_type}, part long, doc_tokens long, crcs array<long>, first long, r int, rank long, rem_crc long, rem binary"), "packed")
 
     counts, _ = save(rows.where("r > 0").groupBy("r", "part").agg(F.count("*").alias("n")), "lengths")
     hist = np.zeros(window, np.int64)
@@ -188,7 +188,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     before = Window.partitionBy("r").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("r", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     joined = rows.join(bases, ["r", "part"], "left").select("id", "part", "doc_tokens", "crcs", "first", "r", "rank", "rem_crc", "rem", F.coalesce("base", F.lit(0)).alias("base"))
-    return joined.mapInArrow(place, f"id {id_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, whole boolean").withColumnRenamed("id", id_col)
+    return joined.mapInArrow(lean(place), f"id {id_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, whole boolean").withColumnRenamed("id", id_col)
 
 
 def op1_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

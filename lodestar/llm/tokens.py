@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, slices, table, text_buffers
+from .common import column, lean, slices, table, text_buffers
 
 #: Fixed value: the byte-level pre-tokeniser's pattern, in its possessive public form.
 BYTE_LEVEL = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
@@ -175,7 +175,7 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offs)), pa.array(n)], ["id", "n_bytes", "n_tokens"])
 
     out = docs.select(column(id_col).alias("id"), column(text_col).cast("string").alias("text"))
-    return out.mapInArrow(count, f"id {id_type}, n_bytes long, n_tokens long").withColumnRenamed("id", id_col)
+    return out.mapInArrow(lean(count), f"id {id_type}, n_bytes long, n_tokens long").withColumnRenamed("id", id_col)
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
