@@ -12,15 +12,20 @@ the same members are one bucket. Classes that buckets chain together are a clust
 and links are looked for, on full shingle sets, inside clusters only, by blocks of
 at most BLOCK classes: a block's intersections are one matrix product, and it gives
 back only links that join components. In a cluster of several blocks, members are
-first compared with their buckets' smallest member; what that already joins to the
-cluster's largest component is never compared with itself, only with the rest. No
-group is held by one task, no list of a group's pairs is ever made, and nothing
-that the tables show is lost.
+first compared with their buckets' smallest member. A cluster none of whose buckets
+then holds two components is done: no pair that shares a table is left. The others
+are compared as a whole or bucket by bucket, whichever takes fewer comparisons (a
+dense group is one of the first kind, a long chain of small buckets of the second);
+either way, what belongs to the largest component there is never compared with
+itself, only with the rest. No group is held by one task, no list of a group's pairs
+is ever made, and nothing that the tables show is lost.
 
 Defined results: null or white-only text has an empty set, is linked with nothing
 and is its own component; fewer than five words form one shingle; repeated rows are
 one class; a null id takes part and is smaller than none (a component of null ids
-only has a null id and its rows are kept); an empty table gives an empty table.
+only has a null id and its rows are kept); an empty table gives an empty table; texts
+of any length are taken whole; only the two named columns are read, so others may
+have any name.
 """
 
 from __future__ import annotations
@@ -32,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, column, drop, mix64, save, signed, slices, splitmix, table, text_buffers, word_hashes, word_spans
+from .common import LOWER, column, drop, lean, mix64, save, signed, slices, splitmix, table, text_buffers, word_hashes, word_spans
 
 SHINGLE, SKETCHES, BAND, BLOCK = 5, 12, 3, 128
 _STEP = splitmix(SHINGLE, 77)
@@ -85,7 +90,6 @@ def components(edges: DataFrame) -> DataFrame:
     e, path = save(edges.select("a", "b").where("a <> b").distinct(), "edges")
     if not e.take(1):
         return e.select(F.col("a").alias("c"), F.col("b").alias("root"))
-    mark = None
     while True:
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -96,12 +100,13 @@ def components(edges: DataFrame) -> DataFrame:
         new = down.join(small, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))).distinct()
         new, p2 = save(new, "small")
         drop(spark, path, p1)
-        now = new.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first()
         e, path = new, p2
-        if tuple(now) == mark:
+        # stars already: every node points to one other, and none of those to any
+        ends = e.select("a", F.lit(1).alias("from"), F.lit(0).alias("to")).union(e.select(F.col("b").alias("a"), F.lit(0).alias("from"), F.lit(1).alias("to")))
+        ends = ends.groupBy("a").agg(F.sum("from").alias("from"), F.max("to").alias("to"))
+        if not ends.where("from > 1 or (from = 1 and to = 1)").take(1):
             tops = e.select(F.col("b").alias("c"), F.col("b").alias("root")).distinct()
             return e.select(F.col("a").alias("c"), F.col("b").alias("root")).union(tops)
-        mark = tuple(now)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -120,7 +125,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     x = sets.select(F.col("c").alias("a"), F.col("s").alias("x"))
     y = sets.select(F.col("c").alias("b"), F.col("s").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(test, "a binary, b binary")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(lean(test), "a binary, b binary")
 
 
 def joins(sets: list[np.ndarray], roots: list[bytes], percent: int) -> list[tuple[int, int]]:
@@ -174,6 +179,12 @@ def _link_blocks(batches, percent: int):
         yield flush()
 
 
+def _groups(rows: DataFrame) -> DataFrame:
+    """(g, id, m, k): members and those of the largest component, of groups with several; rows (g, id, root)."""
+    per = rows.groupBy("g", "id", "root").agg(F.count("*").alias("n"))
+    return per.groupBy("g", "id").agg(F.sum("n").alias("m"), F.max("n").alias("k")).where("m > k")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
     """(id, n_shingles, component_id, kept, text_hash) of every row."""
     spark = docs.sparkSession
@@ -195,7 +206,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 none = lambda x: pa.compute.if_else(empty, pa.scalar(None, x.type), x)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(n.astype(np.int64)), none(keys), none(lists.take(pa.array(where)))], ["id", "h", "n", "c", "sk"])
 
-    rows, _ = save(texts.mapInArrow(sign, f"id {id_type}, h long, n long, c binary, sk array<long>"), "signatures")
+    rows, _ = save(texts.mapInArrow(lean(sign), f"id {id_type}, h long, n long, c binary, sk array<long>"), "signatures")
     classes = rows.where("n > 0").groupBy("c").agg(F.min(F.struct("id", "h")).alias("rep"), F.first("n").alias("n"), F.first("sk").alias("sk"))
     classes, p_classes = save(classes, "classes")
 
@@ -222,7 +233,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # repeated rows give a class's set more than once: one row of them is enough
     source = texts.join(wanted.hint("shuffle_hash"), (texts["h"] == wanted["g"]) & texts["id"].eqNullSafe(wanted["i"])).select("c", "text")
-    sets, p_sets = save(source.mapInArrow(full, "c binary, s binary"), "sets")
+    sets, p_sets = save(source.mapInArrow(lean(full), "c binary, s binary"), "sets")
     if sets.groupBy("c").count().where("count > 1").take(1):
         sets, p_sets = save(sets.groupBy("c").agg(F.first("s").alias("s")), "sets")
 
@@ -234,12 +245,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     star = buckets.where("c <> center").select(F.col("c").alias("a"), F.col("center").alias("b"), "n").distinct()
     star = star.join(parts.join(large, "g").select(F.col("c").alias("a")), "a").join(sizes, "b").where(100 * F.least("n", "nb") >= percent * F.greatest("n", "nb")).select("a", "b")
     edges, _ = save(verified(star, sets, percent), "star")
-    drop(spark, p_buckets)
-    near, _ = save(parts.join(components(edges), "c", "left").select("g", "c", F.coalesce("root", "c").alias("root")), "roots")
-    # in large clusters, members of the largest component meet only the others
-    per = near.join(large, "g").groupBy("g", "root").agg(F.count("*").alias("k"))
-    top = per.groupBy("g").agg(F.max(F.struct("k", "root")).alias("top"), F.sum("k").alias("m")).select("g", F.col("top.root").alias("top"), F.ceil(F.col("top.k") / (BLOCK // 2)).alias("nb"), F.ceil((F.col("m") - F.col("top.k")) / (BLOCK // 2)).alias("ns"))
-    placed = near.join(top, "g", "left").withColumn("in_top", F.coalesce(F.col("root") == F.col("top"), F.lit(False)))
+    near, p_near = save(parts.join(components(edges), "c", "left").select("g", "c", F.coalesce("root", "c").alias("root")), "roots")
+    # pairs that share a table but no component yet, by cluster and by bucket
+    where = buckets.select("t", "c").join(near, "c")
+    by_bucket = _groups(where.withColumn("id", F.xxhash64("t", F.lit(1))))
+    by_cluster = _groups(near.withColumn("id", F.xxhash64("g", F.lit(2))))
+    cost = lambda m, top: F.sum(m * (m - top))
+    left = by_bucket.groupBy("g").agg(cost(F.col("m"), F.col("k")).alias("sparse")).join(by_cluster.groupBy("g").agg(cost(F.col("m"), F.col("k")).alias("dense")), "g")
+    left, p_left = save(left.select("g", (F.col("dense") <= F.col("sparse")).alias("whole")), "left")
+    some = near.join(left.where("whole").select("g"), "g").select(F.xxhash64("g", F.lit(2)).alias("g"), "c", "root")
+    some = some.union(where.join(left.where("not whole").select("g"), "g").join(by_bucket.select(F.col("id").alias("t2")), F.xxhash64("t", F.lit(1)) == F.col("t2"), "leftsemi").select(F.xxhash64("t", F.lit(1)).alias("g"), "c", "root"))
+    some, p_some = save(some, "compared")
+    # in large groups, members of the largest component meet only the others
+    per = some.groupBy("g", "root").agg(F.count("*").alias("k"))
+    top = per.groupBy("g").agg(F.max(F.struct("k", "root")).alias("top"), F.sum("k").alias("m")).where(F.col("m") > BLOCK).select("g", F.col("top.root").alias("top"), F.ceil(F.col("top.k") / (BLOCK // 2)).alias("nb"), F.ceil((F.col("m") - F.col("top.k")) / (BLOCK // 2)).alias("ns"))
+    placed = some.join(top, "g", "left").withColumn("in_top", F.coalesce(F.col("root") == F.col("top"), F.lit(False)))
     slot = F.when(F.col("top").isNull(), 0).otherwise(F.pmod(F.xxhash64("c", F.lit(3)), F.when(F.col("in_top"), F.col("nb")).otherwise(F.greatest("ns", F.lit(1)))))
     placed = placed.withColumn("slot", slot.cast("int"))
     upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), (n - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
@@ -252,9 +272,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     work = placed.select("g", "c", "root", F.explode(cells).alias("cell")).select(F.xxhash64("g", "cell").alias("w"), "c", "root")
     work = work.join(sets, "c").select("w", "c", "root", "s").repartition("w").sortWithinPartitions("w", "c")
-    more, _ = save(work.mapInArrow(functools.partial(_link_blocks, percent=percent), "a binary, b binary"), "links")
+    more, _ = save(work.mapInArrow(lean(functools.partial(_link_blocks, percent=percent)), "a binary, b binary"), "links")
     roots = components(edges.union(more))
-    drop(spark, p_sets, p_parts)
+    drop(spark, p_sets, p_parts, p_buckets, p_near, p_left, p_some)
 
     # the smallest id of a component, by way of its classes
     first = rows.where("n > 0 and id is not null").groupBy("c").agg(F.min("id").alias("low"))
