@@ -14,15 +14,17 @@ all of a corpus are out of reach, so content decides what a suffix array must se
    (it has weight 2 in the suffix array); the others are decided by the shard's suffix
    array, sorted by Larsson-Sadakane refinement in numpy (ranks of doubled depth, only
    in groups not yet single), and Kasai's common prefixes of its neighbours.
-3. Merge. Keys with more than GROUP different segments (2.7 MB) are dealt to several
-   shards by segment. What a shard leaves undecided is merged across shards: each
-   shard gives one sorted fingerprint of each distinct window, and binary search in
-   the merged order finds those that another shard has.
+3. Merge. Keys with more than GROUP different segments are dealt to several shards by
+   segment. What a shard leaves undecided is merged across shards: each shard gives one
+   fingerprint of each distinct window, sorted, cut into a range of values for every
+   RANGE shards, and binary search in the merged order finds those that another shard has.
 
 Defined results: null text is empty; texts under ``length`` bytes keep everything;
 repeated rows are texts of their own, so both lose what is ``length`` bytes or longer;
 cut bytes may split a character, the rest of which the text output drops (the
-digests are of the exact bytes); columns named like the outputs are replaced; an empty table gives an empty table.
+digests are of the exact bytes); columns named like the outputs are replaced; texts
+longer than PIECE are looked at in overlapping parts and cut as a whole; an empty table
+gives an empty table.
 """
 
 from __future__ import annotations
@@ -34,16 +36,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Poly, column, drop, mix64, save, signed, table, text_buffers
+from .common import Poly, column, drop, lean, mix64, save, signed, table, text_buffers
 
-LENGTH, GRAM = 400, 32
-PIECE, SHARD, GROUP = 1 << 20, 1 << 19, 4096
+LENGTH, GRAM, MOST_OWNED = 400, 32, 1 << 12
+PIECE, SHARD, GROUP, RANGE = 1 << 20, 1 << 19, 256, 2
+_PRINT = np.dtype([("wa", "<u8"), ("wb", "<u8"), ("h1", "<i8"), ("h2", "<i8"), ("p", "<i8"), ("need", "u1")])
+TIMES = (1 << 20) - 1
 _A, _B = Poly(0xA11CE), Poly(0xB0B)
 
 
 def shape(length: int) -> tuple[int, int, int]:
     """(positions of a window, bytes of a key, bytes of a gram) for strings of ``length`` bytes."""
-    window = 1 << max((length * 16 // 25).bit_length() - 1, 0)
+    window = max(1, min(length * 18 // 25, MOST_OWNED))
     key = length - window + 1
     return window, key, min(GRAM, key)
 
@@ -62,11 +66,11 @@ def pieces(offs: np.ndarray, length: int = LENGTH, limit: int = PIECE):
 
 
 def anchors(buf: np.ndarray, offs: np.ndarray, length: int = LENGTH) -> dict[str, np.ndarray]:
-    """Segments of the documents of a slice: document, p0, n (positions owned), each (of one
-    occurrence), times, kh, sh. Adjacent equal segments are one row that counts them."""
+    """Segments of the documents of a slice: document, p0, each (positions owned), times, kh, sh.
+    Adjacent equal segments are one row that counts them."""
     n = len(buf)
     window, key, gram = shape(length)
-    empty = {k: np.zeros(0, np.int64) for k in ("doc", "p0", "n", "each", "times", "kh", "sh")}
+    empty = {k: np.zeros(0, np.int64) for k in ("doc", "p0", "each", "times", "kh", "sh")}
     if n < length:
         return empty
     a, b = _A.prefix(buf), _B.prefix(buf)
@@ -76,8 +80,9 @@ def anchors(buf: np.ndarray, offs: np.ndarray, length: int = LENGTH) -> dict[str
     x = (mix64(_A.spans(a, start, start + gram)) & ~low) | start.astype(np.uint64)
     s = 1
     while s < window:
-        x = np.minimum(x[:-s], x[s:])
-        s *= 2
+        more = min(s, window - s)
+        x = np.minimum(x[:-more], x[more:])
+        s += more
     at = (x & low).astype(np.int64)  # anchor of each position
     doc = np.repeat(np.arange(len(offs) - 1), np.diff(offs))
     p = np.arange(min(len(at), n - length + 1))
@@ -97,7 +102,7 @@ def anchors(buf: np.ndarray, offs: np.ndarray, length: int = LENGTH) -> dict[str
     new[1:] = (kh[1:] != kh[:-1]) | (sh[1:] != sh[:-1]) | (p0[1:] != p0[:-1] + size[:-1])
     first = np.flatnonzero(new)
     times = np.diff(np.append(first, len(p0)))
-    return {"doc": doc[p0[first]], "p0": p0[first], "n": np.add.reduceat(size, first), "each": size[first], "times": times, "kh": signed(kh[first]), "sh": signed(sh[first])}
+    return {"doc": doc[p0[first]], "p0": p0[first], "each": size[first], "times": times, "kh": signed(kh[first]), "sh": signed(sh[first])}
 
 
 def suffix_array(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -139,47 +144,38 @@ def suffix_array(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, rank
 
 
-def kasai(symbols: np.ndarray, order: np.ndarray, rank: np.ndarray, starts: np.ndarray, owned: np.ndarray, block: int = 100) -> tuple[np.ndarray, np.ndarray]:
-    """Common prefixes with the suffix before and after it in the array, of the first ``owned``
-    suffixes from each start on: each is at least its left neighbour's in the text less one."""
-    n, raw, step = len(symbols), symbols.astype(np.int32).tobytes(), 4
-    one = memoryview(raw).cast("i")
-    out = []
-    for shift in (-1, 1):
-        at = np.repeat(starts, owned) + np.arange(int(owned.sum())) - np.repeat(np.cumsum(owned) - owned, owned)
-        r = rank[at] + shift
-        other = np.where((r >= 0) & (r < n), order[np.clip(r, 0, n - 1)], -1)
-        h, expected, found = 0, -1, []
-        for i, j in zip(at.tolist(), other.tolist(), strict=True):
-            if i != expected:
-                h = 0
-            expected = i + 1
-            if j < 0:
-                h = 0
-                found.append(0)
-                continue
-            # separators differ, so no common prefix runs past the end of either
-            if one[i + h] != one[j + h]:
-                found.append(h)
-                if h:
-                    h -= 1
-                continue
-            a, b = (i + h) * step, (j + h) * step
-            while raw[a : a + block * step] == raw[b : b + block * step]:
-                a, b = a + block * step, b + block * step
-            lo, hi = 0, block  # the first difference is in this block
-            while hi - lo > 1:
-                mid = (lo + hi) >> 1
-                if raw[a : a + mid * step] == raw[b : b + mid * step]:
-                    lo = mid
-                else:
-                    hi = mid
-            h = a // step - i + lo
-            found.append(h)
-            if h:
-                h -= 1
-        out.append(np.array(found, np.int64))
-    return out[0], out[1]
+def kasai(data: np.ndarray, order: np.ndarray, rank: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Common prefixes of each suffix with the one before and the one after it in the array.
+
+    ``rest``: bytes up to the end of the suffix's own text. By Kasai's rule a prefix is its left
+    neighbour's in the text less one where the two suffixes have the same byte before them;
+    only the others are compared, all at once and eight bytes at a time."""
+    n = len(data)
+    phi = np.full(n, -1, np.int64)
+    phi[order[1:]] = order[:-1]
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(n, "<u8", padded.data, strides=(1,))
+    at = np.arange(n)
+    follows = (at > 0) & (phi > 0)
+    follows[1:] &= (rest[:-1] == rest[1:] + 1) & (phi[:-1] >= 0)
+    prior = np.maximum(phi - 1, 0)
+    follows &= (rest[prior] == rest[np.maximum(phi, 0)] + 1) & (data[np.maximum(at - 1, 0)] == data[prior])
+    i = np.flatnonzero(~follows & (phi >= 0))
+    j, most = phi[i], np.minimum(rest[i], rest[phi[i]])
+    found, h, live = np.zeros(n, np.int64), np.zeros(len(i), np.int64), np.arange(len(i))
+    while len(live):
+        a, b = i[live] + h[live], j[live] + h[live]
+        x = eight[np.minimum(a, n - 1)] ^ eight[np.minimum(b, n - 1)]
+        low = np.log2(np.maximum(x & (~x + np.uint64(1)), np.uint64(1)).astype(np.float64)).astype(np.int64) >> 3
+        h[live] = np.minimum(h[live] + np.where(x == 0, 8, low), most[live])
+        live = live[(x == 0) & (h[live] < most[live])]
+    found[i] = h
+    source = np.maximum.accumulate(np.where(follows, 0, at))
+    before = np.where(phi >= 0, found[source] - (at - source), 0)
+    after = np.zeros(n, np.int64)
+    later = rank + 1 < n
+    after[later] = before[order[rank[later] + 1]]
+    return before, after
 
 
 def decide(texts: list[bytes], owned: np.ndarray, weight: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -189,14 +185,20 @@ def decide(texts: list[bytes], owned: np.ndarray, weight: np.ndarray, length: in
     symbols = np.empty(offs[-1], np.int64)
     is_end = np.zeros(offs[-1], bool)
     is_end[offs[1:] - 1] = True
-    _, letters = np.unique(np.frombuffer(b"".join(texts), np.uint8), return_inverse=True)
-    symbols[~is_end] = letters + len(texts)
+    joined = np.frombuffer(b"".join(texts), np.uint8)
+    there = np.zeros(256, bool)
+    there[joined] = True
+    symbols[~is_end] = (np.cumsum(there) - 1)[joined] + len(texts)
     symbols[is_end] = np.arange(len(texts))  # every end is a symbol of its own
+    data = np.zeros(offs[-1], np.uint8)
+    data[~is_end] = joined
+    rest = np.repeat(offs[1:] - 1, size + 1) - np.arange(offs[-1])
     order, rank = suffix_array(symbols)
-    before, after = kasai(symbols, order, rank, offs[:-1], owned)
+    before, after = kasai(data, order, rank, rest)
     segment = np.repeat(np.arange(len(texts)), owned)
     position = np.arange(len(segment)) - np.repeat(np.cumsum(owned) - owned, owned)
-    return segment, position, (before >= length) | (after >= length) | (weight[segment] > 1), before < length
+    at = offs[segment] + position
+    return segment, position, (before[at] >= length) | (after[at] >= length) | (weight[segment] > 1), before[at] < length
 
 
 def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH) -> DataFrame:
@@ -216,9 +218,16 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH
                 s = anchors(buf[c:d], part, length)
                 doc = s["doc"] + a
                 p0 = s["p0"] + c - offs[doc]
-                yield pa.RecordBatch.from_arrays([pa.array(s["kh"]), pa.array(s["sh"]), pa.array(h1[doc]), pa.array(h2[doc]), *(pa.array(v.astype(np.int64)) for v in (p0, s["n"], s["each"], s["times"]))], ["kh", "sh", "h1", "h2", "p0", "n", "each", "times"])
-
-    found, p_found = save(rows.mapInArrow(segments, "kh long, sh long, h1 long, h2 long, p0 long, n long, each long, times long"), "segments")
+                # bits: a text's bytes 31, a window's positions 13, equal segments of a piece one after another 20
+                at = (p0 << 33) | (s["each"].astype(np.int64) << 20) | np.minimum(s["times"], TIMES)
+                yield pa.RecordBatch.from_arrays([pa.array(s["kh"]), pa.array(s["sh"]), pa.array(h1[doc]), pa.array(h2[doc]), pa.array(at)], ["kh", "sh", "h1", "h2", "at"])
+
+    found, p_found = save(rows.mapInArrow(lean(segments), "kh long, sh long, h1 long, h2 long, at long"), "segments")
+    times, each, p0 = F.col("at").bitwiseAND(F.lit(TIMES)), F.shiftright("at", 20).bitwiseAND(F.lit(2 * MOST_OWNED - 1)), F.shiftrightunsigned("at", 33)
+    # most keys occur once: what is left of the others is small
+    often = found.groupBy("kh").agg(F.sum(times).alias("w")).where("w > 1").select("kh")
+    found, p_shared = save(found.join(often, "kh").select("kh", "sh", "h1", "h2", times.alias("times"), each.alias("each"), p0.alias("p0")), "shared")
+    drop(spark, p_found)
     kinds = found.groupBy("kh", "sh").agg(F.sum("times").alias("w"), F.min(F.struct("h1", "h2", "p0", "each")).alias("at"))
     kinds, p_kinds = save(kinds, "kinds")
     keys = kinds.groupBy("kh").agg(F.count("*").alias("d"), F.min("w").alias("lo")).where("d > 1 and lo = 1").select("kh", "d")
@@ -236,83 +245,103 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH
                         col.append(v)
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:8]), pa.array(out[8], pa.binary())], ["kh", "sh", "w", "d", "h1", "h2", "p0", "each", "s"])
 
-    texts = rows.join(wanted.hint("shuffle_hash"), ["h1", "h2"]).select("segs", "text", "h1", "h2")
-    cut = texts.mapInArrow(fetch, "kh long, sh long, w long, d long, h1 long, h2 long, p0 long, each long, s binary")
+    one = rows.groupBy("h1", "h2").agg(F.first("text").alias("text"))  # copies are thrown away before they meet
+    texts = one.join(wanted.hint("shuffle_hash"), ["h1", "h2"]).select("segs", "text", "h1", "h2")
+    cut = texts.mapInArrow(lean(fetch), "kh long, sh long, w long, d long, h1 long, h2 long, p0 long, each long, s binary")
     shard = F.when(F.col("d") > GROUP, F.pmod("sh", F.ceil(F.col("d") / GROUP))).otherwise(F.lit(0))
     cut = cut.withColumn("g", shard).repartition("kh", "g").sortWithinPartitions("kh", "g", "sh")
 
+    names = ["h1", "h2", "p0", "n", "kh", "part", "prints"]
+
+    def runs(h1, h2, p):
+        """Runs of positions of texts."""
+        order = np.lexsort((p, h2, h1))
+        h1, h2, p = h1[order], h2[order], p[order]
+        new = np.ones(len(p), bool)
+        new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]) | (p[1:] != p[:-1] + 1)
+        f = np.flatnonzero(new)
+        n, none = np.diff(np.append(f, len(p))), pa.nulls(len(f), pa.int64())
+        return pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(x[f])) for x in (h1, h2, p)), pa.array(n), none, none, pa.nulls(len(f), pa.binary())], names)
+
     def decide_shards(batches):
         held: list[tuple] = []
         size, last = 0, None
 
         def flush():
-            w, d, h1, h2, p0, each = (np.array([x[i] for x in held], np.int64) for i in (2, 3, 4, 5, 6, 7))
+            kh, w, d, h1, h2, p0, each = (np.array([x[i] for x in held], np.int64) for i in (0, 2, 3, 4, 5, 6, 7))
             strings = [x[8] for x in held]
             seg, pos, repeated, first = decide(strings, each, w, length)
             hit = repeated & (w[seg] == 1)
-            yield 0, h1[seg[hit]], h2[seg[hit]], (p0[seg] + pos)[hit], None
-            more = first & (d[seg] > GROUP)
-            if more.any():
-                seg, pos = seg[more], pos[more]
-                data = np.frombuffer(b"".join(strings), np.uint8)
-                at = np.concatenate([[0], np.cumsum([len(s) for s in strings])])[seg] + pos
-                prints = [signed(mix64(k.spans(k.prefix(data), at, at + length))) for k in (_A, _B)]
-                yield 1, h1[seg], h2[seg], p0[seg] + pos, (*prints, ~repeated[more])
-
-        def rows_of(found):
-            for kind, h1, h2, p, extra in found:
-                if not kind:  # runs of positions
-                    order = np.lexsort((p, h2, h1))
-                    h1, h2, p = h1[order], h2[order], p[order]
-                    new = np.ones(len(p), bool)
-                    new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]) | (p[1:] != p[:-1] + 1)
-                    f = np.flatnonzero(new)
-                    h1, h2, p, n = h1[f], h2[f], p[f], np.diff(np.append(f, len(p)))
-                    extra = (np.zeros(len(f), np.int64), np.zeros(len(f), np.int64), np.zeros(len(f), bool))
-                else:
-                    n = np.ones(len(p), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), kind)), *(pa.array(x.astype(np.int64)) for x in (h1, h2, p, n, extra[0], extra[1])), pa.array(extra[2])], ["kind", "h1", "h2", "p0", "n", "wa", "wb", "need"])
+            yield runs(h1[seg[hit]], h2[seg[hit]], (p0[seg] + pos)[hit])
+            more = np.flatnonzero(first & (d[seg] > GROUP))
+            if not len(more):
+                return
+            at = np.concatenate([[0], np.cumsum([len(s) for s in strings])])[seg[more]] + pos[more]
+            data, prints = np.frombuffer(b"".join(strings), np.uint8), np.empty(len(more), _PRINT)
+            for name, k in (("wa", _A), ("wb", _B)):
+                prints[name] = mix64(k.spans(k.prefix(data), at, at + length))
+            seg = seg[more]
+            prints["h1"], prints["h2"], prints["p"], prints["need"] = h1[seg], h2[seg], p0[seg] + pos[more], ~repeated[more]
+            ranges = -(-d[seg] // (GROUP * RANGE))
+            part = (prints["wa"] >> np.uint64(32)) * ranges.astype(np.uint64) >> np.uint64(32)
+            by = np.lexsort((prints["wa"], part, kh[seg]))
+            prints, part, keys = prints[by], part[by].astype(np.int64), kh[seg][by]
+            edge = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (part[1:] != part[:-1])]))
+            parts = [prints[a:b].tobytes() for a, b in zip(edge, [*edge[1:], len(keys)], strict=True)]
+            none = pa.nulls(len(edge), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(keys[edge]), pa.array(part[edge]), pa.array(parts, pa.binary())], names)
 
         for batch in batches:
             for x in zip(*(batch.column(i).to_pylist() for i in range(10)), strict=True):
                 if held and x[:2] == held[-1][:2]:
-                    continue  # the same segment from an equal text
+                    continue
                 if size > SHARD and (x[0], x[9]) != last:
-                    yield from rows_of(flush())
+                    yield from flush()
                     held, size = [], 0
                 held.append(x)
                 size, last = size + len(x[8]), (x[0], x[9])
         if held:
-            yield from rows_of(flush())
+            yield from flush()
 
-    decided, p_decided = save(cut.mapInArrow(decide_shards, "kind long, h1 long, h2 long, p0 long, n long, wa long, wb long, need boolean"), "decided")
+    decided, p_decided = save(cut.mapInArrow(lean(decide_shards), "h1 long, h2 long, p0 long, n long, kh long, part long, prints binary"), "decided")
 
     def merge(batches):
-        got = pa.Table.from_batches(list(batches), schema=pa.schema([("wa", pa.int64()), ("wb", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("p0", pa.int64()), ("need", pa.bool_())]))
-        key = got["wa"].to_numpy() ^ (got["wb"].to_numpy() * np.int64(-7046029254386353131))
-        order = np.sort(key)
-        several = np.searchsorted(order, key, "right") - np.searchsorted(order, key, "left") > 1
-        hit = pa.array(several & got["need"].to_numpy())
-        got = got.filter(hit)
-        yield from got.select(["h1", "h2", "p0"]).to_batches()
-
-    across = decided.where("kind = 1").select("wa", "wb", "h1", "h2", "p0", "need").repartition("wa").mapInArrow(merge, "h1 long, h2 long, p0 long")
-    whole = found.join(kinds.where("w > 1").select("kh", "sh"), ["kh", "sh"]).select("h1", "h2", "p0", "n")
-    spans = whole.union(decided.where("kind = 0").select("h1", "h2", "p0", "n")).union(across.select("h1", "h2", "p0", F.lit(1).cast("long")))
+        held, last = [], None
+
+        def flush():
+            got = np.sort(np.concatenate([np.frombuffer(x, _PRINT) for x in held]), order=("wa", "wb"))
+            same = (got["wa"][1:] == got["wa"][:-1]) & (got["wb"][1:] == got["wb"][:-1])
+            hit = got[(np.append(same, False) | np.append(False, same)) & (got["need"] > 0)]
+            return runs(hit["h1"], hit["h2"], hit["p"]).select(["h1", "h2", "p0", "n"])
+
+        for batch in batches:
+            for kh, part, prints in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if held and (kh, part) != last:
+                    yield flush()
+                    held = []
+                held.append(prints)
+                last = (kh, part)
+        if held:
+            yield flush()
+
+    prints = decided.where("prints is not null").select("kh", "part", "prints").repartition("kh", "part").sortWithinPartitions("kh", "part")
+    across = prints.mapInArrow(lean(merge), "h1 long, h2 long, p0 long, n long")
+    whole = found.join(kinds.where("w > 1").select("kh", "sh"), ["kh", "sh"]).select("h1", "h2", "p0", (F.col("each") * F.col("times")).alias("n"))
+    spans = whole.union(decided.where("prints is null").select("h1", "h2", "p0", "n")).union(across)
     spans, _ = save(spans.groupBy("h1", "h2").agg(F.collect_set(F.struct("p0", "n")).alias("__spans")), "spans")
-    drop(spark, p_found, p_kinds, p_decided)
+    drop(spark, p_shared, p_kinds, p_decided)
 
-    names = docs.columns
-    where = names.index(text_col)
+    columns = docs.columns
+    where = columns.index(text_col)
     schema = docs.schema
-    inner = [f"c{i}" for i in range(len(names))]
-    joined = keyed.join(spans.hint("shuffle_hash"), (keyed["__h1"] == spans["h1"]) & (keyed["__h2"] == spans["h2"]), "left").select(*[keyed[f"`{c}`"].alias(i) for c, i in zip(names, inner, strict=True)], "__spans")
+    inner = [f"c{i}" for i in range(len(columns))]
+    joined = keyed.join(spans.hint("shuffle_hash"), (keyed["__h1"] == spans["h1"]) & (keyed["__h2"] == spans["h2"]), "left").select(*[keyed[f"`{c}`"].alias(i) for c, i in zip(columns, inner, strict=True)], "__spans")
 
     def cut_out(batches):
         for batch in batches:
             buf, offs = text_buffers(batch.column(where))
             out, removed, runs, digests = [], [], [], []
-            for i, marks in enumerate(batch.column(len(names)).to_pylist()):
+            for i, marks in enumerate(batch.column(len(columns)).to_pylist()):
                 raw = buf[offs[i] : offs[i + 1]]
                 if not marks:
                     kept, n = raw.tobytes(), 0
@@ -332,11 +361,11 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH
             texts = pa.array(out, pa.string())
             if batch.column(where).null_count:
                 texts = pa.compute.if_else(batch.column(where).is_null(), pa.scalar(None, pa.string()), texts)
-            cols = [*batch.columns[:where], texts, *batch.columns[where + 1 : len(names)]]
+            cols = [*batch.columns[:where], texts, *batch.columns[where + 1 : len(columns)]]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(np.diff(offs)), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(digests)], [*inner, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     ddl = ", ".join(f"{i} {'string' if k == where else f.dataType.simpleString()}" for k, (i, f) in enumerate(zip(inner, schema, strict=True)))
-    return joined.mapInArrow(cut_out, f"{ddl}, n_bytes long, n_removed long, n_spans long, kept_sha256 string").toDF(*names, "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return joined.mapInArrow(lean(cut_out), f"{ddl}, n_bytes long, n_removed long, n_spans long, kept_sha256 string").toDF(*columns, "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def op5_suffix_array_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,3 +58,41 @@ def test_near_copies_of_four_fifths_go(spark):
     texts.append(" ".join(words))
     out = corpus_pipeline.near_dedup(spark, _frame(spark, texts), "")
     assert sorted(r.doc_id for r in out.collect()) == [*range(0, 80, 2), 80]
+
+
+def test_stages_with_nulls_repeats_and_long_texts(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    vocab = {k: ["".join(rng.choice(list(letters), rng.integers(3, 8))) for _ in range(200)] for k, letters in (("en", "abcdefgh"), ("de", "stuvwxyz"))}
+    text = lambda k, n: " ".join(rng.choice(vocab[k], n))
+    rows = [(i, text(k := ["en", "de"][i % 2], 60), k, f"s{i % 3}", 1) for i in range(40)]
+    rows += [rows[4], (40, None, None, None, None), (41, "", "en", None, 0), (42, "12 34 !?", "de", "s1", 8), (None, text("en", 70), "en", "s2", 1), (43, text("de", 30_000), "de", None, 1)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    kept = corpus_pipeline.language_id(spark, docs, "")
+    assert kept.columns == docs.columns and Counter(r.doc_id for r in kept.collect()) == Counter([*range(40), 4, None, 43])
+    once = corpus_pipeline.near_dedup(spark, kept, "")
+    assert once.columns == docs.columns and Counter(r.doc_id for r in once.collect()) == Counter([*range(40), None, 43])
+    mixed = corpus_pipeline.mixing(spark, once, "").collect()
+    size = Counter()
+    for r in mixed:
+        size[r.source] += len(r.text.split())
+    assert max(Counter(r.doc_id for r in mixed).values()) <= 3 and set(size) <= {"s0", "s1", "s2", None}
+    pieces = corpus_pipeline.packing(spark, docs, "").collect()
+    assert {r.doc_id for r in pieces} == {r[0] for r in rows} and max(r.length for r in pieces) <= 1024
+    for name, some in (("rows", docs), ("none", docs.limit(0))):
+        some.write.parquet(str(tmp_path / name / "documents.parquet"))
+        out = corpus_pipeline.run(spark, str(tmp_path / name)).collect()
+        assert bool(out) == (name == "rows") and not {r.doc_id for r in out} & {40, 41, 42}
+
+
+def test_long_texts_are_cut_whole(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "PIECE", 4000)
+    shared = " ".join(_words(7, 400))
+    texts = [" ".join(_words(s, 1500)) + shared + " ".join(_words(s + 50, 1500)) for s in (1, 2)]
+    out = repeats.remove_repeats(_frame(spark, texts), length=400).collect()
+    starts = Counter(t[i : i + 400] for t in texts for i in range(len(t) - 399))
+    for r in out:
+        t, gone = texts[r.doc_id], set()
+        for i in range(len(t) - 399):
+            if starts[t[i : i + 400]] > 1:
+                gone |= set(range(i, i + 400))
+        assert r.text == "".join(c for i, c in enumerate(t) if i not in gone) and r.n_removed == len(gone) > 2000
