@@ -1,25 +1,32 @@
 """Document fingerprints by I-Match over randomised lexicon subsets, all in DataFrame operations.
 
-Terms are the lower-cased words of the whole text. The lexicon is all
-terms whose document frequency over all documents lies in
-a band (at least LEAST documents, at most MOST of them). A document's fingerprint
-keeps the lexicon terms of its own distinct terms, made up to FEW of its sample by
-the rarest above the band and then by those below it (a group of near copies may be
-more than MOST of all documents, so that none of its terms is in the band), sorts them, deals them to SUBSETS
-randomised lexicon subsets and hashes each subset's sorted terms. A long document
-would have too many terms in each subset for any to survive an edit, so a document
-uses a hash sample of the lexicon whose rate halves as its number of distinct terms
-doubles (under 2 * SAMPLED of them all are used); its fingerprint holds that level and the next one, which is what makes
-documents of up to about twice the length comparable. The likeness of two
-fingerprints is the share of their non-empty subset hashes that agree.
-
-The document frequencies are shuffled as partial counts; only sampled terms, a few
-dozen a document whatever its length, are joined with the lexicon.
-
-Defined results: null text is empty; a text without sampled terms has a hash of the
-whole text as fingerprint, like only to itself; a null id comes last in descending
-order; equal rows have the same next document (the next different row), which for a
-single row is itself; an empty table gives an empty table.
+Terms are the lower-cased words of the whole text. The lexicon is all terms whose
+document frequency over all documents lies in a band (at least LEAST documents, at
+most MOST of them). A document's fingerprint keeps the lexicon terms of its own
+distinct terms, made up to FEW by the rarest above the band and then by those below
+it (a group of near copies may be more than MOST of all documents, so that none of
+its terms is in the band), sorts them and hashes the sorted terms of each of SUBSETS
+randomised lexicon subsets. The subsets overlap: terms fall into SUBSETS classes by
+hash, and each subset unites two classes, so each term is in two subsets.
+
+A subset's hash survives an edit only if all its terms do, so subsets must be as
+small as a handful of a document's terms. The subsets therefore come as a ladder,
+each rung's drawn from half of the lexicon of the rung before. On the lower rungs of
+a long document all hashes change with any edit, on the higher ones all subsets are
+empty: its fingerprint writes out the rung on which it has SAMPLED to 2 * SAMPLED
+terms and the next one (all terms, while there are fewer), which makes documents of
+up to about twice the length comparable; others are unlike for their length alone.
+The likeness of two fingerprints is the share of their non-empty subset hashes that
+agree on the rung they share.
+
+The document frequencies are shuffled as partial counts; only terms of the rungs
+written out, a few dozen a document whatever its length, are joined with the lexicon.
+
+Defined results: null text is empty; a text without terms has a hash of the whole
+text as fingerprint, like only to itself; ids may be of any ordered type; a null id
+comes last in descending order; equal rows have the same next document (the next
+different row), which for a single row is itself; other columns are not read, so
+they may have any name; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -29,10 +36,15 @@ from pyspark.sql import functions as F
 
 from .common import column, drop, save, table
 
-SUBSETS, SAMPLED, LEAST, MOST, FEW = 32, 32, 2, 0.05, 16
+SUBSETS, APART, SAMPLED, LEAST, MOST, FEW = 64, 23, 24, 2, 0.05, 16
 _DIGITS, _EMPTY = 4, "----"
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once a row."""
+    return F.transform(F.array(value), body)[0]
+
+
 def term_hashes(text: Column) -> Column:
     """Hashes of the distinct terms of a text."""
     words = F.filter(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")
@@ -57,14 +69,17 @@ def lexicon(docs: DataFrame, text: Column, least: int = LEAST, most: float = MOS
 
 
 def _block(terms: Column) -> Column:
-    """Hashes of the subsets of sorted terms."""
-    share = lambda t: F.pmod(F.shiftright(t, 40), F.lit(SUBSETS))
-
-    def one(j: Column) -> Column:
-        mine = F.filter(terms, lambda t: share(t) == j)
-        return F.when(F.size(mine) == 0, F.lit(_EMPTY)).otherwise(F.lower(F.lpad(F.hex(F.xxhash64(mine).bitwiseAND(F.lit(16**_DIGITS - 1))), _DIGITS, "0")))
-
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), one), "")
+    """Hashes of the subsets of sorted terms: subset j unites the classes j and j + APART."""
+    share = lambda t: F.pmod(F.shiftright(t, 40), F.lit(SUBSETS)).cast("int")
+    dealt = F.transform(terms, share)
+    mine = lambda j: F.filter(terms, lambda t: share(t) == j)
+    classes = F.array_distinct(dealt)
+    hashes = F.map_from_arrays(classes, F.transform(classes, lambda j: F.xxhash64(mine(j))))
+    dense = lambda m: F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), lambda j: F.element_at(m, j))
+    turned = lambda d: F.concat(F.slice(d, APART + 1, SUBSETS - APART), F.slice(d, 1, APART))
+    digits = lambda h: F.right(F.lpad(F.hex(h), _DIGITS, "0"), F.lit(_DIGITS))
+    both = lambda x, y: F.when(x.isNull() & y.isNull(), F.lit(_EMPTY)).otherwise(digits(F.xxhash64(x, y)))
+    return F.array_join(let(let(hashes, dense), lambda d: F.zip_with(d, turned(d), both)), "")
 
 
 def chosen(terms: Column, found: Column, few: int = FEW) -> Column:
@@ -90,25 +105,19 @@ def likeness(x: Column, y: Column) -> Column:
     first, second = (lambda f: F.substring(f, 3, width)), (lambda f: F.substring(f, 3 + width, width))
     a = F.when(gap < 0, second(x)).otherwise(first(x))
     b = F.when(gap > 0, second(y)).otherwise(first(y))
-    piece = lambda f, i: f.substr(i * _DIGITS + 1, F.lit(_DIGITS))
-    places = F.sequence(F.lit(0), F.lit(SUBSETS - 1))
-    some = F.size(F.filter(places, lambda i: (piece(a, i) != _EMPTY) | (piece(b, i) != _EMPTY)))
-    same = F.size(F.filter(places, lambda i: (piece(a, i) != _EMPTY) & (piece(a, i) == piece(b, i))))
-    return F.when(x == y, F.lit(1.0)).when(gap.isNull() | (F.abs(gap) > 1) | (some == 0), F.lit(0.0)).otherwise(same / some)
+    pieces = lambda f: F.regexp_extract_all(f, F.lit(f".{{{_DIGITS}}}"), F.lit(0))
+    # 0: both empty, 1: alike, 2: not alike
+    marks = F.zip_with(pieces(a), pieces(b), lambda v, w: F.when(v != w, 2).when(v == _EMPTY, 0).otherwise(1))
+    share = lambda m: (F.size(m) - F.size(F.array_remove(m, 1))) / F.nullif(F.size(F.array_remove(m, 0)), F.lit(0))
+    return F.when(x == y, F.lit(1.0)).when(gap.isNull() | (F.abs(gap) > 1), F.lit(0.0)).otherwise(F.coalesce(let(marks, share), F.lit(0.0)))
 
 
 def following(keys: DataFrame) -> DataFrame:
     """(k, h, n, nk, nh): each key's next one by descending id, nulls last, then by h; the
-    last one's is the first. Ids are dealt to ranges by approximate quantiles, so no task
-    orders more than a range; only the ranges' heads meet."""
+    last one's is the first. Ids are dealt to ranges, so no task orders more than a range;
+    only the ranges' heads meet."""
     spark = keys.sparkSession
-    keys, path = save(keys, "keys")
-    rows = keys.count()
-    parts = max(16, min(2048, rows // 100_000))
-    cuts = keys.agg(F.percentile_approx("id", [i / parts for i in range(1, parts)], 10 * parts)).first()[0] or []
-    cuts = sorted(set(cuts))
-    bucket = F.size(F.filter(F.lit(cuts), lambda c: c <= F.col("id"))) if cuts else F.lit(0)
-    keys = keys.withColumn("b", F.when(F.col("id").isNull(), F.lit(-1)).otherwise(bucket))
+    keys, path = save(keys.repartitionByRange(F.col("id").desc_nulls_last(), "h").withColumn("b", -F.spark_partition_id()), "keys")
     w = Window.partitionBy("b").orderBy(F.col("id").desc_nulls_last(), "h")
     led = keys.select("*", F.lead("k").over(w).alias("nk"), F.lead("h").over(w).alias("nh"), F.row_number().over(w).alias("r"))
     led, _ = save(led, "led")
