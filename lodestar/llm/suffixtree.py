@@ -1,24 +1,33 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
 The tree's symbols are the words above FREQUENT of all tokens (at most 1 / FREQUENT
-of them), a class for each last two bytes of all other words, a start and an end.
-Contexts are the last one or two symbols. A context-and-symbol string is kept only
-if it makes up P_MIN of all symbols, so the tree never has more than DEPTH / P_MIN
-entries, whatever the corpus: that bound is what is broadcast. A context is a state
-if its next-symbol distribution diverges from that of its longest retained suffix
-(likelihood-ratio test). Distributions are smoothed by discounting towards that
-suffix, down to the root; each token is scored by the longest retained suffix of
-what precedes it. Within a class a word has its share of the class's smoothed count.
-The root is exactly the add-one unigram of the base score, so a text's score is its
-base score plus the log ratios of tree and root, which need no word table at all.
+of them), a class for each last two bytes of all other words, a start and an end. A
+context of one, two or three symbols is a state if its next-symbol distribution
+diverges from that of its longest retained suffix (likelihood-ratio test over the
+strings seen LEAST times or more, and the rest). Distributions are smoothed by
+discounting towards that suffix, down to the root; each token is scored by the
+longest retained suffix of what precedes it. Within a class a word has its share of
+the class's smoothed count. The root is exactly the add-one unigram of the base
+score, so a text's score is its base score plus the log ratios of tree and root.
+
+The stem of the tree is small and travels to all tasks: contexts of one symbol, and
+of those of two the hot ones (above HOT of all tokens, at most 1 / HOT), with strings
+that make up P_MIN of all symbols, so at most 2 / P_MIN entries. All other contexts
+are leaves of the stem: they are kept by their counts alone, however many there are,
+and so grow with the corpus. No task sees them all. Each token goes, 12 bytes wide and
+packed by slice of documents, to the bucket of its last two symbols (three, if those
+are hot), where the states of that bucket are learnt and its tokens scored; a bucket
+has about BUCKET tokens, whatever the corpus. Per-document sums come back by slice.
 
 Word counts are exact and shuffled by word (they grow with the corpus). Words above
 COMMON of all tokens, at most 1 / COMMON of them, are looked up in a broadcast
 table; the others are joined by hash, and none of them can be a hot key.
 
 Defined results: null text is empty (one end token); a null id counts as the empty
-text in the split; repeated rows are rows of their own; an empty table gives an
-empty table; without training rows all counts are 0 and the root is all there is.
+text in the split; repeated rows are rows of their own; texts of any length are scored
+whole; only the two named columns and those of ``train`` are read, so others may have
+any name; an empty table gives an empty table; without training rows all counts are 0
+and the root is all there is.
 """
 
 from __future__ import annotations
@@ -29,9 +38,10 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, column, crc32_of_id, mix64, save, signed, slices, table, text_buffers, word_hashes, word_spans
+from .common import LOWER, column, crc32_of_id, lean, mix64, save, signed, slices, table, text_buffers, word_hashes, word_spans
 
-DEPTH, P_MIN, FREQUENT, COMMON, DISCOUNT = 2, 2e-6, 1e-5, 1e-6, 0.75
+P_MIN, FREQUENT, COMMON, DISCOUNT, LEAST = 2e-6, 1e-5, 1e-6, 0.75, 2
+HOT, BUCKET = 1e-3, 500_000
 END_WORD = b"\n"  # white space: no word is equal to it
 END_HASH = int(signed(mix64(np.array([0xE0D], np.uint64)))[0])
 #: Symbols: start, end, 65536 classes, frequent words; 18 bits hold them while 1 / FREQUENT <= 100000.
@@ -103,8 +113,7 @@ class Tree:
         total = np.maximum(totals[first].astype(float), summed)
         order = len(self.states) + 1
         parent = self.probability(keys, order - 1)
-        ratio = 2 * np.add.reduceat(c * np.log(c / np.repeat(total, per) / parent), first)
-        keep = ratio > per + 4 * np.sqrt(2.0 * per)
+        keep = diverges(np.add.reduceat(c * np.log(c / np.repeat(total, per) / parent), first), total, total - summed, np.add.reduceat(parent, first), per)
         kept = np.repeat(keep, per)
         self.states.append(ids[keep])
         self.back.append(((total - summed + DISCOUNT * per) / total)[keep])
@@ -125,15 +134,34 @@ class Tree:
         to, own = find(self.entries[k - 1], keys)
         return np.where(hit, np.where(own, self.own[k - 1][to], 0.0) + self.back[k - 1][at] * p, p)
 
-    def log_ratios(self, symbols: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(positions of tokens, log10 of tree over root probability)."""
-        at, key = strings(symbols, place, 0)
-        p = np.zeros(len(symbols))
-        p[at] = self.root[key]
-        for k in range(1, len(self.states) + 1):
-            to, key = strings(symbols, place, k)
-            p[to] = self.step(key, k, p[to])
-        return at, np.log10(p[at] / self.root[symbols[at]])
+
+def diverges(gain: np.ndarray, total: np.ndarray, rest: np.ndarray, mass: np.ndarray, per: np.ndarray) -> np.ndarray:
+    """Likelihood-ratio test of contexts: ``gain`` sums c * log(p / parent's p) of their ``per`` strings, which have
+    ``mass`` by the parent; what else followed, ``rest`` of ``total`` times, is one string more."""
+    other = np.where(rest > 0, rest * np.log(np.maximum(rest, 1e-300) / np.maximum(total, 1e-300) / np.maximum(1 - mass, 1e-9)), 0.0)
+    return (per > 0) & (2 * (gain + other) > per + 4 * np.sqrt(2.0 * per))
+
+
+def leaves(string: np.ndarray, context: np.ndarray, weight: np.ndarray, parent: np.ndarray, least: int = LEAST) -> np.ndarray:
+    """Probability of each token after its context if that is retained, else its parent's. ``string`` and
+    ``context`` number the tokens' strings and contexts; weight 1: learnt from."""
+    _, first, inverse = np.unique(string, return_index=True, return_inverse=True)
+    c, p = np.bincount(inverse, weight, len(first)), parent[first]
+    _, of = np.unique(context[first], return_inverse=True)
+    ok = c >= least
+    add = lambda x: np.bincount(of, np.where(ok, x, 0.0))
+    total, per, summed = np.bincount(of, c), add(1.0), add(c)
+    safe = np.maximum(total, 1.0)
+    keep = diverges(add(c * np.log(np.maximum(c, 1.0) / safe[of] / p)), safe, total - summed, add(p), per)
+    own, back = np.where(ok, (c - DISCOUNT) / safe[of], 0.0), (total - summed + DISCOUNT * per) / safe
+    return np.where(keep[of], own + back[of] * p, p)[inverse]
+
+
+def windows(symbols: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(positions, keys of the last two symbols and the next, symbol before those) of all tokens; starts repeat."""
+    at = np.flatnonzero(place > 0)
+    back = [np.where(place[at] >= j, symbols[np.maximum(at - j, 0)], START) for j in range(4)]
+    return at, (((back[2] << BITS) | back[1]) << BITS) | back[0], back[3]
 
 
 def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", p_min: float = P_MIN, frequent: float = FREQUENT, common: float = COMMON) -> DataFrame:
@@ -156,7 +184,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
                 yield pa.RecordBatch.from_arrays([pa.array(signed(h)), words, pa.array(c), pa.array(m.astype(np.int64))], ["h", "w", "c", "m"])
             yield pa.RecordBatch.from_arrays([pa.array([END_HASH]), pa.array([END_WORD], pa.binary()), pa.array([int(learn.sum())]), pa.array([len(batch)])], ["h", "w", "c", "m"])
 
-    counted = texts.select("train", "text").mapInArrow(count, "h long, w binary, c long, m long")
+    counted = texts.select("train", "text").mapInArrow(lean(count), "h long, w binary, c long, m long")
     words, _ = save(counted.groupBy("h", "w").agg(F.sum("c").alias("c"), F.sum("m").alias("m")), "words")
     zero = F.lit(0).cast("long")
     n, v, every = words.agg(F.coalesce(F.sum("c"), zero), F.count_if(F.col("c") > 0), F.coalesce(F.sum("m"), zero)).first()
@@ -183,8 +211,8 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     single[START] = ends
     tree = Tree(np.maximum(z, 1.0) / (n + v + 1), single)
 
-    def count_strings(order: int, before: np.ndarray):
-        """Distinct strings of one order, from those whose parts of one order less are kept."""
+    def count_strings(order: int, contexts: np.ndarray | None):
+        """Strings of one order that make up p_min of all, after those contexts."""
 
         def run(batches):
             for batch in batches:
@@ -192,34 +220,126 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
                 for a, b in slices(offs, 4 << 20):
                     symbols, place, _ = sequence(LOWER[buf[offs[a] : offs[b]]], offs[a : b + 1] - offs[a], symbol_hashes)
                     _, key = strings(symbols, place, order)
-                    if order > 1:
-                        key = key[find(before, key >> BITS)[1] & find(before, key & ((1 << BITS * order) - 1))[1]]
+                    if contexts is not None:
+                        key = key[find(contexts, key >> BITS)[1]]
                     key, c = np.unique(key, return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(c)], ["k", "c"])
 
-        found = texts.where("train").select("text").mapInArrow(run, "k long, c long").groupBy("k").agg(F.sum("c").alias("c"))
-        found = found.where(F.col("c") >= F.lit(max(1.0, p_min * n))).toArrow().sort_by("k")  # at most 1 / p_min
+        found = texts.where("train").select("text").mapInArrow(lean(run), "k long, c long").groupBy("k").agg(F.sum("c").alias("c"))
+        found = found.where(F.col("c") >= F.lit(max(float(LEAST), p_min * n))).toArrow().sort_by("k")  # at most 1 / p_min
         return found.column(0).to_numpy().astype(np.int64), found.column(1).to_numpy().astype(np.int64)
 
-    keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    for order in range(1, DEPTH + 1):
-        shorter, times = keys, counts
-        keys, counts = count_strings(order, shorter)
-        context = keys >> BITS
-        tree.grow(keys, counts, single[context] if order == 1 else times[find(shorter, context)[0]])
-    shared = spark.sparkContext.broadcast((tree, hs, cs))
+    keys, counts = count_strings(1, None)
+    tree.grow(keys, counts, single[keys >> BITS])
+    hot, times = (x[counts >= max(1.0, HOT * n)] for x in (keys, counts))
+    keys, counts = count_strings(2, hot) if len(hot) else (keys[:0], counts[:0])
+    tree.grow(keys, counts, times[find(hot, keys >> BITS)[0]] if len(hot) else counts)
+    shared = spark.sparkContext.broadcast((tree, hs, cs, hot))
     floor = float(np.log10(n + v + 1))
+    buckets = max(32, int(every) // BUCKET)
+
+    def deal(batches):
+        """Each slice's tokens by bucket: documents' keys, tokens a document, symbols, the third symbol and the use."""
+        hot = shared.value[3]
+        for batch in batches:
+            buf, offs = text_buffers(batch.column(2))
+            who_is = batch.column(1).to_numpy().view(np.uint64)
+            learn = batch.column(0).to_numpy(zero_copy_only=False).astype(np.uint32)
+            for a, b in slices(offs, 16 << 20):
+                symbols, place, doc = sequence(LOWER[buf[offs[a] : offs[b]]], offs[a : b + 1] - offs[a], symbol_hashes)
+                at, key, third = windows(symbols, place)
+                doc = doc[at]
+                context = (key >> BITS).astype(np.uint64)
+                context = np.where(find(hot, key >> BITS)[1], mix64(context + np.uint64(1)) ^ third.astype(np.uint64), context)
+                to = ((mix64(context) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+                by = np.argsort(to, kind="stable")
+                to, key, doc, last = to[by], key[by], doc[by], (third[by].astype(np.uint32) << np.uint32(1)) | learn[a:b][doc[by]]
+                edge = np.flatnonzero(np.diff(to, prepend=-1))
+                packed = []
+                for x, y in zip(edge, [*edge[1:], len(to)], strict=True):
+                    d = np.flatnonzero(np.diff(doc[x:y], prepend=-1))
+                    size = np.diff(np.append(d, y - x)).astype(np.uint32)
+                    packed.append(np.uint32(len(d)).tobytes() + who_is[a:b][doc[x:y][d]].tobytes() + size.tobytes() + key[x:y].tobytes() + last[x:y].tobytes())
+                source = int(signed(mix64(np.bitwise_xor.reduce(mix64(who_is[a:b] + np.arange(b - a, dtype=np.uint64)), keepdims=True)))[0])
+                yield pa.RecordBatch.from_arrays([pa.array(to[edge]), pa.array(np.full(len(edge), source)), pa.array(packed, pa.binary())], ["bucket", "source", "packed"])
+
+    def judge(batches):
+        """Learn a bucket's states and sum what its tokens gain, by slice and document."""
+        tree = shared.value[0]
+        held: list[tuple] = []
+
+        def flush():
+            who, per, key, last, ends = [], [], [], [], []
+            for _, _, x in held:
+                d = int(np.frombuffer(x, "<u4", 1)[0])
+                who.append(np.frombuffer(x, "<u8", d, 4))
+                per.append(np.frombuffer(x, "<u4", d, 4 + 8 * d))
+                t = int(per[-1].sum())
+                key.append(np.frombuffer(x, "<i8", t, 4 + 12 * d))
+                last.append(np.frombuffer(x, "<u4", t, 4 + 12 * d + 8 * t))
+            docs, key, last = np.array([len(x) for x in who]), np.concatenate(key), np.concatenate(last)
+            who, per = np.concatenate(who), np.concatenate(per)
+            weight, third = (last & 1).astype(float), (last >> 1).astype(np.int64)
+            p = tree.probability(key, 2)
+            _, string = np.unique(key, return_inverse=True)
+            _, context = np.unique(key >> BITS, return_inverse=True)
+            second = leaves(string, context, weight, p)
+            # the stem has the states of hot contexts
+            p = np.where(find(shared.value[3], key >> BITS)[1], p, second)
+            p = leaves((string << BITS) | third, (context << BITS) | third, weight, p)
+            symbol = key & ((1 << BITS) - 1)
+            gain = np.log10(p / tree.root[symbol])
+            of = np.repeat(np.arange(len(per)), per)
+            gain, ends = np.bincount(of, gain, len(per)).astype("<f4"), np.bincount(of, symbol == END, len(per)).astype("<u4")
+            at = np.concatenate([[0], np.cumsum(docs)])
+            out = [who[x:y].tobytes() + gain[x:y].tobytes() + ends[x:y].tobytes() for x, y in zip(at[:-1], at[1:], strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array([x[1] for x in held], pa.int64()), pa.array(out, pa.binary())], ["source", "gained"])
+
+        for batch in batches:
+            for x in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if held and held[-1][0] != x[0]:
+                    yield flush()
+                    held = []
+                held.append(x)
+        if held:
+            yield flush()
+
+    def collect(batches):
+        held: list[bytes] = []
+        last = None
+
+        def flush():
+            d = [len(x) // 16 for x in held]
+            who = np.concatenate([np.frombuffer(x, "<u8", n) for x, n in zip(held, d, strict=True)])
+            gain = np.concatenate([np.frombuffer(x, "<f4", n, 8 * n) for x, n in zip(held, d, strict=True)])
+            ends = np.concatenate([np.frombuffer(x, "<u4", n, 12 * n) for x, n in zip(held, d, strict=True)])
+            u, of = np.unique(who, return_inverse=True)
+            return pa.RecordBatch.from_arrays([pa.array(signed(u)), pa.array(np.bincount(of, gain)), pa.array(np.bincount(of, ends).astype(np.int64))], ["who", "gain", "ends"])
+
+        for batch in batches:
+            for source, gained in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if held and source != last:
+                    yield flush()
+                    held = []
+                held.append(gained)
+                last = source
+        if held:
+            yield flush()
+
+    who = F.xxhash64("id", "text")
+    dealt = texts.select("train", who.alias("who"), "text").mapInArrow(lean(deal), "bucket long, source long, packed binary")
+    judged = dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(judge), "source long, gained binary")
+    gains = judged.repartition("source").sortWithinPartitions("source").mapInArrow(lean(collect), "who long, gain double, ends long")
+    # equal rows gain alike: each of them its share
+    gains, _ = save(gains.groupBy("who").agg((F.sum("gain") / F.sum("ends")).alias("gain")), "gains")
 
     def add(batches):
-        tree, hs, cs = shared.value
+        _, hs, cs, _ = shared.value
         base_lp, rid = np.log10(cs + 1.0) - floor, TaskContext.get().partitionId() << 33
         for batch in batches:
-            buf, offs = text_buffers(batch.column(2))
+            buf, offs = text_buffers(batch.column(3))
             for a, b in slices(offs, 4 << 20):
                 low, rows = LOWER[buf[offs[a] : offs[b]]], b - a
-                symbols, place, who = sequence(low, offs[a : b + 1] - offs[a], symbol_hashes)
-                tokens, ratio = tree.log_ratios(symbols, place)
-                gain = np.bincount(who[tokens], ratio, rows)
                 start, end, doc = word_spans(low, offs[a : b + 1] - offs[a])
                 h = np.concatenate([signed(word_hashes(low, start, end)), np.full(rows, END_HASH)])
                 doc = np.concatenate([doc, np.arange(rows)])
@@ -229,15 +349,15 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
                 order = np.argsort(doc[~hit], kind="stable")
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(doc[~hit], minlength=rows))]), pa.int32()), pa.array(h[~hit][order]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(rid, rid + rows)), batch.column(0).slice(a, rows), batch.column(1).slice(a, rows), pa.array(np.bincount(doc, minlength=rows).astype(np.int64)), pa.array(base), pa.array(gain), pa.array(known.astype(np.int64)), lists],
-                    ["rid", "id", "train", "n", "base", "gain", "known", "rest"],
+                    [pa.array(np.arange(rid, rid + rows)), *(batch.column(i).slice(a, rows) for i in range(3)), pa.array(np.bincount(doc, minlength=rows).astype(np.int64)), pa.array(base), pa.array(known.astype(np.int64)), lists],
+                    ["rid", "id", "train", "who", "n", "base", "known", "rest"],
                 )
                 rid += rows
 
-    part, _ = save(texts.mapInArrow(add, f"rid long, id {id_type}, train boolean, n long, base double, gain double, known long, rest array<long>"), "partial")
+    part, _ = save(texts.select("id", "train", who.alias("who"), "text").mapInArrow(lean(add), f"rid long, id {id_type}, train boolean, who long, n long, base double, known long, rest array<long>"), "partial")
     rare = part.select("rid", F.explode("rest").alias("h")).join(words.where(F.col("m") < F.lit(common * every)).select("h", "c"), "h")
     rare = rare.groupBy("rid").agg(F.sum(F.log10(F.col("c") + F.lit(1.0)) - floor).alias("b"), F.count_if(F.col("c") > 0).alias("k"))
-    out = part.drop("rest").join(rare, "rid", "left")
+    out = part.drop("rest").join(rare, "rid", "left").join(gains, "who", "left")
     z0 = lambda c: F.coalesce(c, F.lit(0))
     base = F.col("base") + z0("b")
     return out.select(F.col("id").alias(id_col), F.col("train").alias("in_training"), F.col("n").alias("n_tokens"), (F.col("known") + z0("k")).alias("n_known"), F.lit(int(n)).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("gain")).alias("score"))
