@@ -5,18 +5,24 @@ implied tags (a block closes an open paragraph; list items, definition terms,
 options, rows and cells close their like; a row or cell opens what it lacks; an end
 tag closes everything inside its element and is ignored if nothing is open by that
 name). The tree is walked without recursion. Invisible are head, scripts, styles,
-templates, comments, ``hidden`` elements and those whose style attribute says
-``display: none`` or ``visibility: hidden``. White space collapses except in
-preformatted text; paragraphs, headings, lists and tables stand apart by an empty
-line, other blocks by a line break; list items get a dash or their number and are
-indented; table cells are padded to their column's width.
+templates, comments (bogus ones too), and what ``hidden``, the style attribute or a
+rule of the page's own style sheets says is not displayed; ``visibility`` is inherited,
+so a visible element inside a hidden one shows. Rules count whose selector is an
+element name, classes and ids of one element; those with combinators, and those inside
+at-rules, do not. White space collapses except in preformatted text; paragraphs,
+headings, lists and tables stand apart by an empty line, other blocks by a line break;
+list items get a dash or their number and are indented; table cells are padded to
+their column's width, and cells that span columns or rows keep the others in place.
 
 Defined results: null HTML gives null text; empty HTML empty text; a null page id is
-carried through; repeated rows are rendered each; an empty table gives an empty table.
+carried through; repeated rows are rendered each; pages of any length and depth are
+rendered whole; only the two named columns are read, so others may have any name; an
+empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
 import unicodedata
@@ -24,9 +30,9 @@ import unicodedata
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import column, table
+from .common import column, lean, table
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|</(?![a-zA-Z])[^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 SPACE = re.compile(r"[ \t\n\r\f]+")
 # Element names of the HTML standard by how they are parsed and laid out.
@@ -63,19 +69,61 @@ class Node:
     def attributes(self) -> dict[str, str]:
         return {k.lower(): html.unescape((v or "").strip("\"'")) for k, v in ATTRIBUTE.findall(self.raw)}
 
-    def hidden(self) -> bool:
-        if self.tag in HIDDEN:
-            return True
-        low = self.raw.lower()
-        if "hidden" not in low and "none" not in low:
-            return False
-        a = self.attributes()
-        style = a.get("style", "").lower().replace(" ", "")
-        return "hidden" in a or "display:none" in style or "visibility:hidden" in style or (self.tag == "input" and a.get("type", "").lower() == "hidden")
 
+Rule = tuple[tuple[int, int, int], str, frozenset, dict[str, str]]
+_COMMENT, _AT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S), re.compile(r"@[^{};]*+(?:;|\{(?:[^{}]*+\{[^{}]*+\})*+[^{}]*+\}?)")
+_RULE, _SIMPLE = re.compile(r"([^{}]*+)\{([^{}]*+)\}"), re.compile(r"([a-zA-Z][\w-]*|\*)?((?:[.#][\w-]+)*)")
 
-def parse(source: str) -> Node:
-    root = Node("#root")
+
+def declarations(style: str) -> dict[str, str]:
+    """The last display and visibility of a list of declarations; important ones win."""
+    out, strong = {}, set()
+    for part in style.split(";"):
+        name, _, value = part.partition(":")
+        name, value = name.strip().lower(), value.lower()
+        if name in ("display", "visibility"):
+            important = "!important" in value.replace(" ", "")
+            if important or name not in strong:
+                out[name] = value.split("!")[0].strip()
+                strong |= {name} if important else set()
+    return out
+
+
+def sheet(css: str) -> list[Rule]:
+    """(specificity, element name or empty, classes and ids, declarations) of rules that decide visibility."""
+    rules = []
+    for selectors, body in _RULE.findall(_AT.sub("", _COMMENT.sub("", css))):
+        what = declarations(body)
+        for one in selectors.split(",") if what else ():
+            m = _SIMPLE.fullmatch(one.strip())
+            if m and m[0]:
+                parts, name = re.findall(r"[.#][\w-]+", m[2]), (m[1] or "").lower().replace("*", "")
+                rules.append(((sum(p[0] == "#" for p in parts), sum(p[0] == "." for p in parts), int(bool(name))), name, frozenset(parts), what))
+    return rules
+
+
+def looks(node: Node, rules: list[Rule]) -> tuple[bool, bool | None]:
+    """(not displayed, visible; None: as the parent) of an element."""
+    low = node.raw.lower()
+    if node.tag in HIDDEN:
+        return True, None
+    if not rules and "hidden" not in low and "style" not in low:
+        return False, None
+    a = node.attributes()
+    style = {"display": "none"} if "hidden" in a or (node.tag == "input" and a.get("type", "").lower() == "hidden") else {}
+    if rules:
+        own = {f".{c}" for c in a.get("class", "").split()} | {f"#{a['id'].strip()}" for _ in range("id" in a)}
+        for _, name, parts, what in rules:  # in order of specificity
+            if (not name or name == node.tag) and parts <= own:
+                style |= what
+    style |= declarations(a.get("style", ""))
+    seen = {"visible": True, "hidden": False, "collapse": False}.get(style.get("visibility", ""))
+    return style.get("display") == "none", seen
+
+
+def parse(source: str) -> tuple[Node, list[Rule]]:
+    """The tree and the rules of its style sheets, in order of specificity."""
+    root, css = Node("#root"), []
     stack = [root]
     names: dict[str, int] = {}  # open elements by name, so that stray end tags cost nothing
 
@@ -107,14 +155,12 @@ def parse(source: str) -> Node:
         if m is None:
             if at < len(source):
                 stack[-1].children.append(html.unescape(source[at:]))
-            return root
+            return root, sorted((r for c in css for r in sheet(c)), key=lambda r: r[0])
         if m.start() > at:
             stack[-1].children.append(html.unescape(source[at : m.start()]))
         at = m.end()
         tag = (m[2] or m[5] or "").lower()
         if not tag:
-            if m[0].startswith("<![CDATA["):
-                stack[-1].children.append(m[0][9:].removesuffix("]]>"))
             continue
         if m[1] or m[4]:
             if tag == "p" and not names.get("p"):
@@ -144,6 +190,8 @@ def parse(source: str) -> Node:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(source, at)
             body = source[at : end.start() if end else len(source)]
             stack[-1].children.append(html.unescape(body) if tag == "textarea" else body)
+            if tag == "style":
+                css.append(body)
             at = end.end() if end else len(source)
             pop()
 
@@ -208,31 +256,67 @@ class Flow:
         return self.lines
 
 
-def aligned(rows: list[list[list[str]]]) -> list[str]:
-    """Rows of cells (lists of lines) with columns padded to one width."""
-    columns = max(map(len, rows), default=0)
-    wide = [max((width(s) for r in rows if len(r) > c for s in r[c]), default=0) for c in range(columns)]
+def aligned(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
+    """Rows of cells (lines, columns and rows spanned) with columns padded to one width."""
+    placed, taken = [], {}  # taken: column -> rows it is still covered by a cell from above
+    for cells in rows:
+        row, c, covered = [], 0, {k: n - 1 for k, n in taken.items() if n > 1}
+        for lines, wide, deep in cells:
+            while taken.get(c, 0) > 0:
+                c += 1
+            row.append((c, c + wide, lines))
+            if deep != 1:
+                covered |= dict.fromkeys(range(c, c + wide), deep - 1 if deep else len(rows))
+            c += wide
+        placed.append(row)
+        taken = covered
+    # columns in which no cell starts have no width of their own
+    starts = sorted({c for row in placed for c, _, _ in row})
+    at = {c: i for i, c in enumerate(starts)}
+    placed = [[(at[c], max(at[c] + 1, bisect.bisect_left(starts, e)), lines) for c, e, lines in row] for row in placed]
+    wide = [0] * len(starts)
+    for single in (True, False):
+        for row in placed:
+            for c, e, lines in row:
+                if (e == c + 1) == single:
+                    short = max(map(width, lines), default=0) - sum(wide[c:e]) - 2 * (e - c - 1)
+                    wide[e - 1] += max(0, short)
+    left = [sum(wide[:c]) + 2 * c for c in range(len(starts))]
     out = []
-    for r in rows:
-        for k in range(max(map(len, r), default=0)):
-            cells = [(cell[k] if k < len(cell) else "") for cell in r]
-            out.append("  ".join(s + " " * (wide[c] - width(s)) for c, s in enumerate(cells)).rstrip())
+    for row in placed:
+        for k in range(max((len(lines) for _, _, lines in row), default=0)):
+            line = ""
+            for c, _, lines in row:
+                s = lines[k] if k < len(lines) else ""
+                if s:
+                    line += " " * (left[c] - width(line)) + s
+            out.append(line)
     return out
 
 
+def spans(node: Node) -> tuple[int, int]:
+    """Columns and rows of a cell, within the standard's limits; no rows: to the table's end."""
+    a = node.attributes() if "span" in node.raw.lower() else {}
+    number = lambda k, least, most: min(int(a[k]), most) if a.get(k, "").isdigit() and int(a[k]) >= least else 1
+    return number("colspan", 1, 1000), number("rowspan", 0, 65534)
+
+
 def render(source: str) -> str:
     flows, tables, lists, indents = [Flow()], [], [], [""]
-    pre = 0
-    todo: list = [(parse(source), None)]
+    pre, seen = 0, [True]
+    tree, rules = parse(source)
+    todo: list = [(tree, None)]
     while todo:
         node, state = todo.pop()
         flow = flows[-1]
         if isinstance(node, str):
-            flow.text(node, pre > 0, indents[-1])
+            if seen[-1]:
+                flow.text(node, pre > 0, indents[-1])
             continue
         tag = node.tag
         if state is None:
-            if node.hidden():
+            gone, shown = looks(node, rules)
+            if gone:
                 continue
             if tag == "br":
                 if flow.line:
@@ -271,13 +355,15 @@ def render(source: str) -> str:
                 pre += 1
             elif tag == "input":
                 a = node.attributes()
-                if a.get("type", "text").lower() in ("submit", "button", "reset", "text") and a.get("value"):
+                if a.get("type", "text").lower() in ("submit", "button", "reset", "text") and a.get("value") and (seen[-1] if shown is None else shown):
                     flow.text(a["value"], False, indents[-1])
+            seen.append(seen[-1] if shown is None else shown)
             todo.append((node, after))
             todo.extend((c, None) for c in reversed(node.children))
             continue
+        seen.pop()
         if tag in ("td", "th") and tables:
-            cell = flows.pop().done()
+            cell = (flows.pop().done(), *spans(node))
             indents.pop()
             if not tables[-1]:
                 tables[-1].append([])
@@ -310,7 +396,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -
             yield pa.RecordBatch.from_arrays([batch.column(0), texts], ["id", "text"])
 
     out = pages.select(column(id_col).alias("id"), column(html_col).cast("string").alias("html"))
-    return out.mapInArrow(run, f"id {id_type}, text string").withColumnRenamed("id", id_col)
+    return out.mapInArrow(lean(run), f"id {id_type}, text string").withColumnRenamed("id", id_col)
 
 
 def op3_layout_html(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,3 +22,17 @@ def test_rows(spark):
     got = sorted(map(tuple, extract(df).collect()), key=str)
     assert got == [(1, "x"), (1, "x"), (2, ""), (None, None)]
     assert extract(df.limit(0)).count() == 0
+
+
+def test_spanning_cells_keep_columns():
+    page = "<table><tr><th colspan=2>Head<th>Z<tr><td rowspan=2>a<td>b<td>c<tr><td>d<td>e<tr><td>f<td>g<td>h</table>"
+    assert render(page) == "Head  Z\na  b  c\n   d  e\nf  g  h"
+    assert render("<table><tr><td rowspan=0>a<td>b<tr><td>c<tr><td>d</table>") == "a  b\n   c\n   d"
+    assert render("<table><tr><td colspan=900>a<td>b<tr><td>c<td>d</table>") == "a     b\nc  d"
+
+
+def test_visibility_and_style_rules():
+    assert render("<div style='visibility:hidden'>no<p style='visibility: visible'>yes</div>") == "yes"
+    assert render("<style>.x{display:none} p.y , #z {visibility:hidden} @media print{b{display:none}} div > i{display:none}</style><p class='x w'>no<p class=y>no<b>no</b><p id=z>no<p>yes <b>b</b><div><i>i</i></div>") == "yes b\n\ni"
+    assert render("<style>.x{display:none}#y{display:block}</style><p class=x id=y>yes<p hidden style='display:block'>too") == "yes\n\ntoo"
+    assert render("a<![CDATA[b]]>c</3 d>e<?php f ?>g") == "aceg"
