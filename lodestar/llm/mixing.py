@@ -14,20 +14,19 @@ goes by a hash of id and text.
 Defined results: null text has size 0 and takes nothing; a null source is a source
 of its own, after all others; repeated rows are documents of their own and
 interchangeable; an empty table gives an empty table; if all sizes are 0 all
-targets are 0. The number of distinct sources is held on the driver (a name and
-four numbers each); documents and sizes never are.
+targets are 0; texts of any length are counted whole; only the three named columns are
+read, so others may have any name. Sources, their targets and multipliers are tables
+too: the driver sees sums only, so hosts may serve as sources.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import column, save, table
+from .common import column, drop, save, table
 
 #: The weights that sources take in turn, and the most copies of a document.
 WEIGHTS, MOST = (5.0, 2.0, 1.0), 3
@@ -38,43 +37,52 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def targets(sizes: list[int], weights=WEIGHTS, most: float = MOST) -> list[float]:
-    """Shares of the total by weight; what is above most * size is reshared by weight."""
-    total, cap = float(sum(sizes)), [float(most * s) for s in sizes]
-    w = [float(weights[i % len(weights)]) for i in range(len(sizes))]
-    out, free, left = [0.0] * len(sizes), [i for i, s in enumerate(sizes) if s > 0], total
-    while free:
-        share = sum(w[i] for i in free)
-        over = [i for i in free if left * w[i] / share > cap[i]]
-        if not over:
-            for i in free:
-                out[i] = left * w[i] / share
+def number(sources: DataFrame, key: str) -> DataFrame:
+    """sources with s: their place by code point, nulls last, from 0; ranges are counted, no task orders all."""
+    dealt, path = save(sources.repartitionByRange(F.col(key).asc_nulls_last()).withColumn("__p", F.spark_partition_id()), "ranges")
+    counts = {r["__p"]: r.n for r in dealt.groupBy("__p").agg(F.count("*").alias("n")).collect()}  # one a range
+    ahead, seen = [], 0
+    for p in sorted(counts):
+        ahead.append((p, seen))
+        seen += counts[p]
+    place = F.row_number().over(Window.partitionBy("__p").orderBy(F.col(key).asc_nulls_last())) - 1
+    ahead = sources.sparkSession.createDataFrame(ahead, "__p int, __ahead long")
+    return dealt.withColumn("__r", place).join(ahead, "__p").withColumn("s", F.col("__r") + F.col("__ahead")).drop("__p", "__r", "__ahead")
+
+
+def targets(sources: DataFrame, most: float = MOST) -> DataFrame:
+    """sources (tokens, weight, ...) with target: shares of all tokens by weight, at most ``most`` times the
+    source's own, the excess reshared by weight. A source is at its limit if that, by weight, is below the
+    level of the others, and the level only rises as limits are met."""
+    limit = F.col("tokens") * F.lit(float(most))
+    zero = F.lit(0.0)
+    level, met = 0.0, -1
+    while True:
+        under = (limit / F.col("weight")) < F.lit(level)
+        r = sources.where("tokens > 0").agg(
+            F.coalesce(F.sum("tokens"), zero).alias("all"), F.coalesce(F.sum(F.when(under, limit)), zero).alias("spent"), F.coalesce(F.sum(F.when(~under, F.col("weight"))), zero).alias("free"), F.count_if(under).alias("met")
+        ).first()
+        if not r.free or r.met == met:
             break
-        for i in over:
-            out[i] = cap[i]
-        left -= sum(cap[i] for i in over)
-        free = [i for i in free if i not in set(over)]
-    return out
+        met, level = r.met, (float(r["all"]) - r.spent) / r.free
+    return sources.withColumn("target", F.when(F.col("tokens") > 0, F.least(limit, F.col("weight") * F.lit(level))).otherwise(0.0))
 
 
-def balance(classes: DataFrame, goal: dict[int, tuple[float, float]], rounds: int = 30) -> dict[int, float]:
-    """Newton iterations on the dual; classes (s, size, n); goal: s -> (tokens, target)."""
+def balance(classes: DataFrame, goals: DataFrame, rounds: int = 30) -> DataFrame:
+    """(s, lam) by Newton iterations on the dual; classes (s, size, n); goals (s, target)."""
     spark = classes.sparkSession
-    lam = {s: 0.0 for s, (tokens, target) in goal.items() if target > 0}
+    now, path = save(goals.where("target > 0").select("s", "target", F.lit(0.0).alias("lam"), F.lit(1.0).alias("off")), "dual")
     for _ in range(rounds):
-        if not lam:
-            break
-        now = spark.createDataFrame([(s, x) for s, x in lam.items()], "s long, lam double")
         # with constant features gradient and Hessian share the tilted token sum
-        sums = classes.join(F.broadcast(now), "s").groupBy("s").agg(F.sum(F.col("n") * F.col("size") * F.exp("lam")).alias("tilted")).collect()
-        worst = 0.0
-        for r in sums:
-            gradient, hessian = r.tilted - goal[r.s][1], r.tilted
-            lam[r.s] -= max(-2.0, min(2.0, gradient / hessian))
-            worst = max(worst, abs(gradient) / goal[r.s][1])
-        if worst < 1e-9:
+        tilted = classes.join(now.select("s", "lam"), "s").groupBy("s").agg(F.sum(F.col("n") * F.col("size") * F.exp("lam")).alias("tilted"))
+        gradient = F.col("tilted") - F.col("target")
+        step = F.greatest(F.lit(-2.0), F.least(F.lit(2.0), gradient / F.col("tilted")))
+        new, new_path = save(now.join(tilted, "s").select("s", "target", (F.col("lam") - step).alias("lam"), (F.abs(gradient) / F.col("target")).alias("off")), "dual")
+        drop(spark, path)
+        now, path = new, new_path
+        if (now.agg(F.max("off")).first()[0] or 0.0) < 1e-9:
             break
-    return lam
+    return now.select("s", "lam")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, most: int = MOST, buckets: int = 1024) -> DataFrame:
@@ -82,13 +90,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rows = docs.select(column(id_col).alias("id"), F.xxhash64(column(id_col), column(text_col)).alias("h"), F.xxhash64(column(text_col)).alias("th"), column(source_col).cast("string").alias("source"), n_words(column(text_col)).alias("size"))
     rows, _ = save(rows, "sizes")
     classes, _ = save(rows.groupBy("source", "size").agg(F.count("*").alias("n")), "classes")
-    spark = docs.sparkSession
-    names = sorted(((r.source, int(r.tokens)) for r in classes.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("tokens")).collect()), key=lambda x: (x[0] is None, x[0] or ""))
-    goals = targets([t for _, t in names], weights, most)
-    index = spark.createDataFrame([(i, name, t, g) for i, ((name, t), g) in enumerate(zip(names, goals, strict=True))], "s long, source string, source_size long, target double")
-    numbered = classes.join(F.broadcast(index), classes["source"].eqNullSafe(index["source"])).select("s", "size", "n")
-    lam = balance(numbered, {i: (t, g) for i, ((_, t), g) in enumerate(zip(names, goals, strict=True))})
-    rates = spark.createDataFrame([(i, min(float(most), math.exp(lam[i])) if i in lam else 0.0) for i in range(len(names))], "s long, rate double")
+    sources = classes.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("tokens"))
+    share = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("s") % len(weights) + 1).cast("int"))
+    index, _ = save(targets(save(number(sources, "source").withColumn("weight", share), "sources")[0], most).select("s", "source", F.col("tokens").alias("source_size"), "target"), "targets")
+    numbered = classes.join(index, classes["source"].eqNullSafe(index["source"])).select("s", "size", "n")
+    lam = balance(numbered, index.select("s", "target"))
+    rates = index.select("s").join(lam, "s", "left").select("s", F.coalesce(F.least(F.lit(float(most)), F.exp("lam")), F.lit(0.0)).alias("rate"))
 
     def diffuse(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("size", ascending=False, ignore_index=True)
@@ -104,15 +111,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         return pd.DataFrame({"s": pdf.s, "size": pdf["size"], "base": base + more, "extra": extra})
 
     # a source's classes are its distinct sizes: as many as the longest text allows, not as many as documents
-    chosen = numbered.join(F.broadcast(rates), "s").groupBy("s").applyInPandas(diffuse, "s long, size long, base long, extra long")
+    chosen = numbered.join(rates, "s").groupBy("s").applyInPandas(diffuse, "s long, size long, base long, extra long")
     chosen, _ = save(chosen, "copies")
     # rank within a class by hash, over hash buckets so that a hot class is dealt to many tasks
-    all_rows = rows.join(F.broadcast(index), rows["source"].eqNullSafe(index["source"])).select("id", "h", "th", rows["source"], "size", "s", "source_size", "target", F.pmod(F.shiftright("h", 20), F.lit(buckets)).alias("b"))
+    all_rows = rows.join(index, rows["source"].eqNullSafe(index["source"])).select("id", "h", "th", rows["source"], "size", "s", "source_size", "target", F.pmod(F.shiftright("h", 20), F.lit(buckets)).alias("b"))
     per = all_rows.groupBy("s", "size", "b").agg(F.count("*").alias("m"))
     before = Window.partitionBy("s", "size").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     per = per.withColumn("ahead", F.coalesce(F.sum("m").over(before), F.lit(0))).join(chosen, ["s", "size"]).select("s", "size", "b", "base", (F.col("extra") - F.col("ahead")).alias("quota"))
     rank = F.row_number().over(Window.partitionBy("s", "size", "b").orderBy("h"))
-    out = all_rows.withColumn("k", rank).join(per, ["s", "size", "b"]).join(F.broadcast(rates), "s")
+    out = all_rows.withColumn("k", rank).join(per, ["s", "size", "b"]).join(rates, "s")
     return out.select(F.col("id").alias(id_col), F.col("th").alias("text_hash"), F.col("source").alias(source_col), "size", "source_size", "target", "rate", (F.col("base") + (F.col("k") <= F.col("quota")).cast("long")).alias("copies"))
 
 

@@ -1,17 +1,19 @@
 """Quality rules judged by an isolation forest.
 
 Rule statistics of whole texts are computed by vectorised byte kernels. A forest of
-TREES isolation trees for each family of statistics, each tree over SAMPLE labelled
-documents (at most TREES * SAMPLE labelled rows are read for them, taken by a hash
-of the id), splits random statistics at random values; a document's anomaly score is
-2 ** (-mean path length / expected length). Each family's threshold is calibrated on
+TREES isolation trees over all statistics together, and one for each family of them,
+each tree over SAMPLE labelled documents (about TREES * SAMPLE labelled rows at most
+are read for them, those with the least hashes), splits random statistics at random
+values; a document's anomaly score is 2 ** (-mean path length / expected length). Each
+forest's threshold is calibrated on
 all labelled rows: of the scores that reject few good ones, the one with the best
 difference of rejection rates. Both look at labelled documents that pass the base
 rules. With no labelled rows nothing is judged anomalous.
 
 Defined results: null text has no words and fails the base rules; repeated rows are
-judged alike; a null id has no label; labels of one id that disagree count each; an
-empty table gives an empty table.
+judged alike; a null id has no label; labels of one id that disagree count each; texts
+of any length are measured whole; only the named columns are read, so others may have
+any name; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -21,12 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WHITE, WORD_HASH, column, mix64, save, slices, table, text_buffers, word_spans
+from .common import WHITE, WORD_HASH, column, lean, mix64, save, slices, table, text_buffers, word_spans
 
 TREES, SAMPLE, LIMIT = 64, 256, 10
-#: Families of statistics (columns of features()), each judged by a forest and a threshold of its own,
-#: so that harmless oddities of one family do not hide the anomalies of another.
-FAMILIES = ([0], [3], [4], [1, 2], [5, 6])
+#: All statistics (columns of features()) and families of them, each judged by a forest and a threshold of
+#: its own, so that harmless oddities of one family do not hide the anomalies of another.
+FAMILIES = ([0, 1, 2, 3, 4, 5, 6], [0], [3], [4], [1, 2], [5, 6])
 #: A threshold may reject this share of the good labelled rows, and one good row for GOOD_FOR_BAD bad ones.
 MOST_GOOD_LOST, GOOD_FOR_BAD = 0.005, 10
 MIN_WORDS, MOST_REPEATED = 50, 50
@@ -172,11 +174,12 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     texts = docs.select(column(id_col).alias("id"), column(text_col).cast("string").alias("text"))
-    stats, _ = save(texts.mapInArrow(measure, f"id {id_type}, " + ", ".join(f"{k} long" for k in STATS)), "statistics")
+    stats, _ = save(texts.mapInArrow(lean(measure), f"id {id_type}, " + ", ".join(f"{k} long" for k in STATS)), "statistics")
     truth = labels.select(column(label_id).alias("id"), column(quality_col).cast("int").alias("q")).where("q in (0, 1) and id is not null")
     # what fails the base rules is rejected anyway: the forest learns and is calibrated on the rest
     labelled, _ = save(stats.where(~failed).join(truth, "id"), "labelled")
-    sample = labelled.orderBy(F.xxhash64("id"), *STATS).limit(TREES * SAMPLE).toPandas()
+    share = TREES * SAMPLE / max(1, labelled.count())
+    sample = labelled.where(F.pmod(F.xxhash64("id", *STATS), F.lit(1 << 40)) < F.lit(int(min(1.0, share) * (1 << 40)))).toPandas().sort_values(STATS, ignore_index=True)
     x = features({k: sample[k].to_numpy() for k in STATS})
     forests = spark.sparkContext.broadcast([Forest(x[:, f], seed=9 + i) for i, f in enumerate(FAMILIES)])
     names = [f"s{i}" for i in range(len(FAMILIES))]
@@ -189,11 +192,11 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([*batch.columns, *scores], [*batch.schema.names, *names])
 
     schema = ", ".join(f"{k} long" for k in [*STATS, *names])
-    rated = labelled.select("q", *STATS).mapInArrow(rate, f"q int, {schema}")
+    rated = labelled.select("q", *STATS).mapInArrow(lean(rate), f"q int, {schema}")
     rated = rated.select("q", F.posexplode(F.array(*names)).alias("i", "s")).groupBy("i", "s", "q").agg(F.count("*").alias("n"))
     known = rated.collect()  # at most families x 1000 scores x 2
     limits = [threshold([(r.s, r.q, r.n) for r in known if r.i == i]) for i in range(len(FAMILIES))]
-    out = stats.select("id", *STATS).mapInArrow(rate, f"id {id_type}, {schema}")
+    out = stats.select("id", *STATS).mapInArrow(lean(rate), f"id {id_type}, {schema}")
     ok = ~failed
     for name, limit in zip(names, limits, strict=True):
         ok &= F.col(name) < F.lit(limit)

@@ -79,6 +79,27 @@ def test_combinations_use_the_histogram():
     assert (used <= hist).all() and used[324] == 20 and used[512] == 10 and used[700] >= 40
 
 
+def _filled(sizes):
+    weight, limit = [[5, 2, 1][i % 3] for i in range(len(sizes))], [3.0 * x for x in sizes]
+    out, free = [0.0] * len(sizes), {i for i, x in enumerate(sizes) if x}
+    while free:
+        left = sum(sizes) - sum(out[i] for i in range(len(sizes)) if i not in free)
+        share = {i: left * weight[i] / sum(weight[j] for j in free) for i in free}
+        over = {i for i in free if share[i] > limit[i]}
+        for i in over or free:
+            out[i] = limit[i] if over else share[i]
+        free = free - over if over else set()
+    return out
+
+
+@pytest.mark.parametrize("sizes", [[100, 100, 1], [1, 1, 1, 500], [0, 7, 0, 90, 2, 3, 1000], [0, 0]])
+def test_targets_match_brute_force(spark, sizes):
+    rows = spark.createDataFrame([(f"{i:02}", x) for i, x in enumerate(sizes)], "source string, tokens long")
+    rows = mixing.number(rows, "source").withColumn("weight", F.expr("array(5.0D, 2.0D, 1.0D)[int(s % 3)]"))
+    got = [r.target for r in mixing.targets(rows).orderBy("source").collect()]
+    assert np.allclose(got, _filled(sizes))
+
+
 def test_mixing_reaches_targets(docs, local):
     rows = mixing.mix(docs).collect()
     assert len(rows) == len(local) and all(0 <= r.copies <= 3 for r in rows)
@@ -86,7 +107,11 @@ def test_mixing_reaches_targets(docs, local):
         mine = [r for r in rows if r.source == s]
         assert sum(r.size for r in mine) == mine[0].source_size
         assert abs(sum(r.copies * r.size for r in mine) - mine[0].target) <= max(5, 0.05 * mine[0].target)
-    assert abs(sum(mixing.targets([100, 100, 1])) - 201) < 1e-9 and mixing.targets([100, 100, 1])[2] == 3
+    # targets by brute force: sources by code point, null last
+    names = sorted({r.source for r in rows}, key=lambda x: (x is None, x or ""))
+    sizes = [sum(len(WORD.findall(r.text.encode())) for r in docs.collect() if r.source == s and r.text) for s in names]
+    goals = {r.source: r.target for r in rows}
+    assert np.allclose([goals[s] for s in names], _filled(sizes))
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
