@@ -36,12 +36,13 @@ def hadamard(v: Column, n: int) -> Column:
     """Unnormalised Walsh-Hadamard transform of integer arrays of length n, a power of two."""
     at = F.sequence(F.lit(0), F.lit(n - 1))
     sign = lambda i, j: F.when(F.bit_count(i.bitwiseAND(j)) % 2 == 0, 1).otherwise(-1)
-    return F.transform(at, lambda i: F.aggregate(at, F.lit(0).cast("long"), lambda s, j: s + F.get(v, j).cast("long") * sign(i, j)))
+    return let(v, lambda x: F.transform(at, lambda i: F.aggregate(at, F.lit(0).cast("long"), lambda s, j: s + F.get(x, j).cast("long") * sign(i, j))))
 
 
 def kac(v: Column, n: int) -> Column:
     """Adjacent pairs (a, b) to (a + b, a - b)."""
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.when(i % 2 == 0, F.get(v, i).cast("long") + F.get(v, i + 1)).otherwise(F.get(v, i - 1).cast("long") - F.get(v, i)))
+    at = F.sequence(F.lit(0), F.lit(n - 1))
+    return let(v, lambda x: F.transform(at, lambda i: F.when(i % 2 == 0, F.get(x, i).cast("long") + F.get(x, i + 1)).otherwise(F.get(x, i - 1).cast("long") - F.get(x, i))))
 
 
 def flip_signs(v: Column) -> Column:
@@ -65,6 +66,21 @@ def unrotate(v: Column, n: int, rounds: int = 1) -> Column:
     return v
 
 
+def scale_factor(n: int, rounds: int) -> int:
+    """What rotate() multiplies lengths by, squared: divided out by unrotate()."""
+    return (2 * n) ** rounds
+
+
+def rotation_shift(n: int, rounds: int) -> int:
+    """Bits by which rotated components are shifted to fit a signed byte."""
+    return (2 * n).bit_length() // 2 * rounds
+
+
+def narrow_rotated(v: Column, n: int, rounds: int = 1) -> Column:
+    """Arithmetic shift and clamp to a signed byte."""
+    return F.transform(v, lambda x: F.greatest(F.lit(-128), F.least(F.lit(127), F.shiftright(x, rotation_shift(n, rounds)))).cast("int"))
+
+
 def pack_nibbles(codes: Column) -> Column:
     """Two 4-bit codes a byte, the low nibble first."""
     return F.transform(F.sequence(F.lit(0), (F.size(codes) / 2).cast("int") - 1), lambda i: F.get(codes, 2 * i) + F.get(codes, 2 * i + 1) * 16)

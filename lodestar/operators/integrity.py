@@ -39,9 +39,9 @@ def verify(data: DataFrame, crcs: DataFrame) -> DataFrame:
     return d.join(crcs.select("block_no", F.col("crc").alias("want")), "block_no", "full_outer").select("block_no", F.coalesce(F.col("now") == F.col("want"), F.lit(False)).alias("ok"))
 
 
-def live_manifest(slots: DataFrame) -> DataFrame:
-    """The valid manifest of the highest sequence."""
-    return slots.where("valid").agg(F.max_by(F.struct(*slots.columns), "sequence").alias("m")).select("m.*")
+def live_manifest(slots: DataFrame, *keys: str) -> DataFrame:
+    """The valid manifest of the highest sequence, of each volume if keys name one."""
+    return slots.where("valid").groupBy(*keys).agg(F.max_by(F.struct(*slots.columns), "sequence").alias("m")).select("m.*")
 
 
 def gf_mul(a: Column, b: Column) -> Column:
@@ -123,3 +123,26 @@ def flash_faults(log: DataFrame, limit: int) -> DataFrame:
     marked = log.withColumn("before", F.lag("op").over(w))
     worn = log.where("op = 'erase'").groupBy("page").count().where(F.col("count") > limit).agg(F.count("*").alias("worn_pages"))
     return marked.agg(F.count_if((F.col("op") == "program") & (F.col("before") == "program")).alias("double_programs")).join(worn)
+
+
+def gf_inverse(a: Column) -> Column:
+    """1 / a in GF(256), from the table of all; 0 for 0."""
+    return F.get(F.lit([0, *map(_inverse, range(1, 256))]), a.cast("int"))
+
+
+def rs_encode(data: DataFrame, n: int, k: int) -> DataFrame:
+    """(stripe, shard, p, v): the bytes of n - k parity shards of every k blocks (block_no, bytes); absent blocks
+    count as zeros. A byte's products come from a table of coefficients by byte value; sums are exclusive or."""
+    rows = cauchy(n, k)
+    products = F.lit([[[_mul(f, b) for b in range(256)] for f in row] for row in rows])  # (n - k) x k x 256
+    each = F.transform(F.sequence(F.lit(1), F.octet_length("bytes")), lambda i: F.conv(F.hex(F.substring("bytes", i, F.lit(1))), 16, 10).cast("int"))
+    cells = data.select(F.expr(f"block_no div {k}").alias("stripe"), (F.col("block_no") % k).cast("int").alias("j"), F.posexplode(each).alias("p", "b"))
+    terms = cells.select("stripe", "p", F.explode(F.sequence(F.lit(0), F.lit(n - k - 1))).alias("shard"), "j", "b")
+    return terms.groupBy("stripe", "shard", "p").agg(F.bit_xor(F.get(F.get(F.get(products, F.col("shard")), F.col("j")), F.col("b"))).alias("v"))
+
+
+def access_stats(reads: DataFrame, key: str, block: int = BLOCK) -> DataFrame:
+    """(key, reads, bytes, blocks, straddling, blocks_per_read_centi) of reads (addr, len)."""
+    rows = reads.withColumn("lo", F.expr(f"addr div {block}")).withColumn("hi", F.expr(f"(addr + greatest(len, 1) - 1) div {block}"))
+    out = rows.groupBy(key).agg(F.count("*").alias("reads"), F.sum("len").alias("bytes"), F.sum(F.col("hi") - F.col("lo") + 1).alias("blocks"), F.count_if(F.col("hi") > F.col("lo")).alias("straddling"))
+    return out.withColumn("blocks_per_read_centi", F.expr("blocks * 100 div reads"))

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Fixed scale and limit of the int8 narrowing (see narrow()).
 SCALE, PEAK = 40.0, 127
+#: Queries that are scored in one scan.
+BLOCK = 2048
 
 
 def let(value: Column, body) -> Column:
@@ -59,7 +61,7 @@ def _best(scores: np.ndarray, ids: np.ndarray, r: int) -> np.ndarray:
     return near[np.lexsort((ids[near], -scores[near]))[:r]]
 
 
-def _scan(corpus: DataFrame, vec: str, qids: np.ndarray, score, r: int, keep=None) -> DataFrame:
+def _scan(corpus: DataFrame, vec: str, qids: np.ndarray, score, r: int, kind: str = "long") -> DataFrame:
     """(qid, vec_id, score, rank): best r rows of each query; score(block) -> [query, row]."""
 
     def run(batches):
@@ -71,29 +73,49 @@ def _scan(corpus: DataFrame, vec: str, qids: np.ndarray, score, r: int, keep=Non
             picks = [_best(s[i], ids, r) for i in range(len(qids))]
             n = [len(p) for p in picks]
             flat = np.concatenate(picks)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, n)), pa.array(ids[flat]), pa.array(np.concatenate([s[i][p] for i, p in enumerate(picks)]).astype(np.int64))], ["qid", "vec_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, n)), pa.array(ids[flat]), pa.array(np.concatenate([s[i][p] for i, p in enumerate(picks)]).astype(np.int64 if kind == "long" else np.float64))], ["qid", "vec_id", "score"])
 
-    found = corpus.select("vec_id", vec).mapInArrow(run, "qid long, vec_id long, score long")
+    found = corpus.select("vec_id", vec).mapInArrow(run, f"qid long, vec_id long, score {kind}")
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= r)
 
 
 def query_block(queries: DataFrame, vec: str) -> tuple[np.ndarray, np.ndarray]:
-    """A batch of queries on the driver; a caller splits larger batches."""
+    """A block of queries on the driver; query_blocks() splits larger batches."""
     got = queries.select("vec_id", vec).toArrow().sort_by("vec_id")
     return got.column(0).to_numpy(), matrix(got.column(1)).astype(np.float64)
 
 
-def exact_search(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "ip", vec: str = "v") -> DataFrame:
-    """Exact integer top-k by inner product, or by negated squared distance."""
-    qids, q = query_block(queries, vec)
+def query_blocks(queries: DataFrame, vec: str):
+    """Blocks (ids, vectors) of about BLOCK queries, dealt by a hash of the id; each takes one scan."""
+    parts = -(-queries.count() // BLOCK)
+    for b in range(parts):
+        yield query_block(queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(parts)) == b) if parts > 1 else queries, vec)
 
-    def score(x, ids):
-        x = x.astype(np.float64).reshape(len(ids), -1)
-        s = q @ x.T  # exact: below 2**53
-        return s if metric == "ip" else 2 * s - (x * x).sum(1)[None, :] - (q * q).sum(1)[:, None]
 
-    return _scan(corpus, vec, qids, score, k)
+def in_blocks(queries: DataFrame, vec: str, scan) -> DataFrame:
+    """The union of scan(ids, vectors) over blocks of queries."""
+    out = None
+    for qids, q in query_blocks(queries, vec):
+        one = scan(qids, q)
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        out = queries.sparkSession.createDataFrame([], "qid long, vec_id long, score long, rank int")
+    return out
+
+
+def exact_search(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "ip", vec: str = "v", exact: bool = True) -> DataFrame:
+    """Exact top-k by inner product, or by negated squared distance; ``exact``: of integers."""
+
+    def scan(qids, q):
+        def score(x, ids):
+            x = x.astype(np.float64).reshape(len(ids), -1)
+            s = q @ x.T  # of integers exact: below 2**53
+            return s if metric == "ip" else 2 * s - (x * x).sum(1)[None, :] - (q * q).sum(1)[:, None]
+
+        return _scan(corpus, vec, qids, score, k, "long" if exact else "double")
+
+    return in_blocks(queries, vec, scan)
 
 
 class Codebook:
@@ -163,24 +185,32 @@ def encode(corpus: DataFrame, book: Codebook, vec: str = "v") -> DataFrame:
     return corpus.select("vec_id", vec).mapInArrow(run, "vec_id long, codes array<int>")
 
 
-def adc_scan(codes: DataFrame, queries: DataFrame, book: Codebook, r: int, metric: str = "l2", vec: str = "v") -> DataFrame:
-    """Compressed scan to r candidates a query; a code beyond the table adds nothing."""
-    qids, q = query_block(queries, vec)
-    tables = book.tables(q, metric)
+def adc_scan(codes: DataFrame, queries: DataFrame, book: Codebook, r: int, metric: str = "l2", vec: str = "v", shift: tuple[int, int, int] | None = None) -> DataFrame:
+    """Compressed scan to r candidates a query; a code beyond the table adds nothing.
+    ``shift``: (subspace, centroid, amount) added to the score of all rows with that code."""
+
+    def scan(qids, q):
+        tables = book.tables(q, metric)
+        if shift:
+            tables[:, shift[0], shift[1]] += shift[2]
+
+        def score(x, ids):
+            c = x.astype(np.int64).reshape(len(ids), book.m)
+            ok, c = (c >= 0) & (c < book.k), np.clip(c, 0, book.k - 1)
+            return sum(tables[:, j][:, c[:, j]] * ok[:, j] for j in range(book.m))
 
-    def score(x, ids):
-        c = x.astype(np.int64).reshape(len(ids), book.m)
-        ok, c = (c >= 0) & (c < book.k), np.clip(c, 0, book.k - 1)
-        return sum(tables[:, j][:, c[:, j]] * ok[:, j] for j in range(book.m))
+        return _scan(codes, "codes", qids, score, r)
 
-    return _scan(codes, "codes", qids, score, r)
+    return in_blocks(queries, vec, scan)
 
 
-def rerank(candidates: DataFrame, records: DataFrame, queries: DataFrame, k: int, vec: str = "v") -> DataFrame:
-    """Exact inner products of candidates whose record is stored; absent ones drop, nothing fills their place."""
+def rerank(candidates: DataFrame, records: DataFrame, queries: DataFrame, k: int, vec: str = "v", metric: str = "ip") -> DataFrame:
+    """Exact scores of candidates whose record is stored; absent ones drop, nothing fills their place.
+    ``metric``: ip of integers, or l2: negated squared distances of floats."""
+    far = F.aggregate(F.zip_with("q", "v", lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda s, x: s - x)
     dot = F.aggregate(F.zip_with("q", "v", lambda a, b: a.cast("long") * b), F.lit(0).cast("long"), lambda s, x: s + x)
     q = queries.select(F.col("vec_id").alias("qid"), F.col(vec).alias("q"))
-    joined = candidates.select("qid", "vec_id").join(records.select("vec_id", F.col(vec).alias("v")), "vec_id").join(q, "qid").select("qid", "vec_id", dot.alias("score"))
+    joined = candidates.select("qid", "vec_id").join(records.select("vec_id", F.col(vec).alias("v")), "vec_id").join(q, "qid").select("qid", "vec_id", (dot if metric == "ip" else far).alias("score"))
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id"))
     return joined.withColumn("rank", rank).where(F.col("rank") <= k)
 
@@ -196,3 +226,27 @@ def recall(found: DataFrame, truth: DataFrame, k: int) -> DataFrame:
     size = t.groupBy("qid").agg(F.least(F.count("*"), F.lit(k)).alias("size"))
     hits = found.where(F.col("rank") <= k).join(t.select("qid", "vec_id"), ["qid", "vec_id"], "leftsemi").groupBy("qid").agg(F.count("*").alias("hits"))
     return size.join(hits, "qid", "left").select("qid", F.coalesce("hits", F.lit(0)).cast("long").alias("hits"), (F.coalesce("hits", F.lit(0)) / F.col("size")).alias("recall"))
+
+
+def score_histogram(corpus: DataFrame, queries: DataFrame, vec: str = "v") -> DataFrame:
+    """(score, n) of all queries' integer inner products with all rows: counts only leave a task."""
+    out = None
+    for _, q in query_blocks(queries, vec):
+
+        def run(batches, q=q):
+            for batch in batches:
+                x = matrix(batch.column(0)).astype(np.float64)
+                score, n = np.unique((q @ x.reshape(len(batch), -1).T).astype(np.int64), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(score), pa.array(n)], ["score", "n"])
+
+        one = corpus.select(vec).mapInArrow(run, "score long, n long")
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy("score").agg(F.sum("n").alias("n"))
+
+
+def percentiles(histogram: DataFrame, at: dict[str, float]) -> DataFrame:
+    """Nearest-rank percentiles, one row, of values counted in (score, n)."""
+    w = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, 0)
+    # distinct integer scores: bounded by the arithmetic, not by the rows
+    run = histogram.withColumn("upto", F.sum("n").over(w)).crossJoin(histogram.agg(F.sum("n").alias("all")))
+    return run.agg(*[F.min(F.when(F.col("upto") >= F.ceil(F.lit(share) * F.col("all")), F.col("score"))).alias(name) for name, share in at.items()])

@@ -3,7 +3,7 @@
 The fixtures are deterministic: rows of ``embeddings`` are narrowed to int8 by one
 global scale after stretching row v by 1 + v % 5 (unit-norm rows would make all
 metrics agree); centroid c of subspace j is the sub-vector of row c; the queries are
-the first ten rows.
+all rows whose id is divisible by EVERY, against all rows.
 """
 
 from __future__ import annotations
@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 
 from ..operators import codes as C
 from ..operators import integrity as I
+from ..operators import labels as L
 from ..operators import vectors as V
 
-M, DS, K, NQ, R, TOP = 8, 8, 16, 10, 50, 10
+M, DS, K, EVERY, R, TOP = 8, 8, 16, 20, 50, 10
 
 
 def _raw(spark: SparkSession, sf: str) -> DataFrame:
@@ -28,11 +29,17 @@ def _corpus(spark: SparkSession, sf: str) -> DataFrame:
 
 def _setup(spark, sf):
     corpus = _corpus(spark, sf)
-    queries = corpus.where(F.col("vec_id") < NQ)
+    queries = corpus.where(F.col("vec_id") % EVERY == 0)
     book = V.Codebook.of_rows(corpus.where(F.col("vec_id") < K), M)
     return corpus, queries, book, V.encode(corpus, book)
 
 
+def _book(spark: SparkSession, sf: str) -> DataFrame:
+    """(j, c, t, w) of the codebook."""
+    rows = _components(_corpus(spark, sf).where(F.col("vec_id") < K), "v")
+    return rows.select(F.expr(f"cast(i div {DS} as int)").alias("j"), F.col("vec_id").cast("int").alias("c"), (F.col("i") % DS).cast("int").alias("t"), F.col("v").alias("w"))
+
+
 def _components(df: DataFrame, col: str) -> DataFrame:
     return df.select("vec_id", F.posexplode(col).alias("i", "v"))
 
@@ -40,14 +47,14 @@ def _components(df: DataFrame, col: str) -> DataFrame:
 # ---- SQL fragments --------------------------------------------------------
 
 E = "e as (select vec_id, unnest(embedding)::double as x, generate_subscripts(embedding, 1) - 1 as i from embeddings)"
-C8 = E + ", c8 as (select vec_id, i::int as i, greatest(-127, least(127, round(x * ((1 + vec_id % 5) * 40.0))))::int as v from e)"
+C8 = E + ", c8 as materialized (select vec_id, i::int as i, greatest(-127, least(127, round(x * ((1 + vec_id % 5) * 40.0))))::int as v from e)"
 BOOK = C8 + f", book as (select (i // {DS})::int as j, vec_id::int as c, (i % {DS})::int as t, v as w from c8 where vec_id < {K})"
-CODES = BOOK + f""", dist as (select a.vec_id, b.j, b.c, sum((a.v - b.w) * (a.v - b.w)) as d from c8 a join book b on b.j = a.i // {DS} and b.t = a.i % {DS} group by all),
- codes as (select vec_id, j, c as code from dist qualify row_number() over (partition by vec_id, j order by d, c) = 1)"""
-TABLES = CODES + f""", tab as (select q.vec_id as qid, b.j, b.c, sum(q.v * b.w)::bigint as ip, sum(b.w * b.w)::bigint as nn from c8 q join book b on b.j = q.i // {DS} and b.t = q.i % {DS} where q.vec_id < {NQ} group by all)"""
+CODES = BOOK + f""", dist as materialized (select a.vec_id, b.j, b.c, sum((a.v - b.w) * (a.v - b.w)) as d from c8 a join book b on b.j = a.i // {DS} and b.t = a.i % {DS} group by all),
+ codes as materialized (select vec_id, j, c as code from dist qualify row_number() over (partition by vec_id, j order by d, c) = 1)"""
+TABLES = CODES + f""", tab as (select q.vec_id as qid, b.j, b.c, sum(q.v * b.w)::bigint as ip, sum(b.w * b.w)::bigint as nn from c8 q join book b on b.j = q.i // {DS} and b.t = q.i % {DS} where q.vec_id % {EVERY} = 0 group by all)"""
 SCAN = TABLES + f""", scan as (select qid, vec_id, sum(2 * ip - nn)::bigint as score from codes join tab on tab.j = codes.j and tab.c = codes.code group by all),
  cand as (select *, row_number() over (partition by qid order by score desc, vec_id)::int as rank from scan qualify rank <= {R})"""
-DOT = f"dots as (select q.vec_id as qid, c.vec_id, sum(q.v * c.v)::bigint as score, sum((q.v - c.v) * (q.v - c.v))::bigint as dist from c8 q join c8 c using (i) where q.vec_id < {NQ} group by all)"
+DOT = f"dots as materialized (select q.vec_id as qid, c.vec_id, sum(q.v * c.v)::bigint as score, sum((q.v - c.v) * (q.v - c.v))::bigint as dist from c8 q join c8 c using (i) where q.vec_id % {EVERY} = 0 group by all)"
 TWO = SCAN + ", " + DOT + f""", two as (select cand.qid, cand.vec_id, dots.score, row_number() over (partition by cand.qid order by dots.score desc, cand.vec_id)::int as rank from cand join dots on dots.qid = cand.qid and dots.vec_id = cand.vec_id qualify row_number() over (partition by cand.qid order by dots.score desc, cand.vec_id) <= {TOP})"""
 TRUTH = f"truth as (select qid, vec_id, row_number() over (partition by qid order by score desc, vec_id)::int as rank from dots qualify row_number() over (partition by qid order by score desc, vec_id) <= {TOP})"
 POP = CODES + f", pop as (select j.j::int as j, c.c::int as code, count(codes.code)::bigint as population from range({M}) j(j) cross join range({K}) c(c) left join codes on codes.j = j.j and codes.code = c.c group by all)"
@@ -98,9 +105,11 @@ def codebook_quantize(spark, sf):
     return rows.join(F.broadcast(s), "j").select(F.col("vec_id").cast("int").alias("c"), "i", "scale_num", w.alias("w"))  # one row a subspace
 
 
-@query(f"with {C8} select vec_id, i, v, (w * 127)::bigint as energy_bound from (select vec_id, i, v, abs(v) as w from c8)")
+@query(f"with {C8} select a.vec_id, a.i, a.v, b.v as w, (abs(a.v) * abs(b.v))::bigint as bound from c8 a join c8 b on b.i = a.i and b.vec_id = a.vec_id % {K}")
 def score_shift_bound(spark, sf):
-    return _components(_corpus(spark, sf), "v").select("vec_id", "i", "v", (F.abs("v") * 127).cast("long").alias("energy_bound"))
+    rows = _components(_corpus(spark, sf), "v")
+    other = rows.where(F.col("vec_id") < K).select(F.col("vec_id").alias("c"), "i", F.col("v").alias("w"))
+    return rows.withColumn("c", F.col("vec_id") % K).join(other, ["c", "i"]).select("vec_id", "i", "v", "w", (F.abs("v") * F.abs("w")).cast("long").alias("bound"))
 
 
 # ---- exact search ---------------------------------------------------------
@@ -246,11 +255,14 @@ def reconstruction_mse(spark, sf):
 # ---- labels and transforms ------------------------------------------------
 
 
-@query(f"with {BOOK} select j, c, xor(r, r >> 1)::int as label from (select j, c, (row_number() over (partition by j order by sum(w), c) - 1)::int as r from book group by j, c)")
+#: Ranks of centroids along the component of widest spread, the first on ties.
+AXIS = BOOK + """, axis as (select j, min_by(t, (-s, t)) as t from (select j, t, max(w) - min(w) as s from book group by all) group by 1),
+ ranked as (select j, c, (row_number() over (partition by j order by w, c) - 1)::int as r from book join axis using (j, t))"""
+
+
+@query(f"with {AXIS} select j, c, xor(r, r >> 1)::int as label from ranked")
 def gray_seed_labels(spark, sf):
-    rows = _components(_corpus(spark, sf).where(F.col("vec_id") < K), "v").groupBy(F.expr(f"cast(i div {DS} as int)").alias("j"), F.col("vec_id").cast("int").alias("c")).agg(F.sum("v").alias("s"))
-    r = F.row_number().over(Window.partitionBy("j").orderBy("s", "c")) - 1
-    return rows.withColumn("r", r).select("j", "c", F.col("r").bitwiseXOR(F.shiftright("r", 1)).alias("label"))
+    return L.gray_seed(_book(spark, sf))
 
 
 @query(f"with {BOOK}, b as (select unnest(range(4))::int as l) select a.j, avg(d)::double as mean_sq from (select a.j, a.c, l, sum((a.w - z.w) * (a.w - z.w)) as d from book a cross join b join book z on z.j = a.j and z.t = a.t and z.c = xor(a.c, (1 << l)) group by all) a group by 1")
@@ -262,9 +274,9 @@ def hamming_displacement(spark, sf):
     return d.groupBy("j").agg(F.avg("d").alias("mean_sq"))
 
 
-@query(f"with {C8}, t as (select a.vec_id, b.i, sum(a.v * case when bit_count(a.i::int & b.i::int) % 2 = 0 then 1 else -1 end)::bigint as v from c8 a join (select distinct i from c8) b on true where a.vec_id < {NQ} group by all) select vec_id, i::int as i, v from t")
+@query(f"with {C8}, t as (select a.vec_id, b.i, sum(a.v * case when bit_count(a.i::int & b.i::int) % 2 = 0 then 1 else -1 end)::bigint as v from c8 a join (select distinct i from c8) b on true group by all) select vec_id, i::int as i, v from t")
 def hadamard(spark, sf):
-    return _components(_corpus(spark, sf).where(F.col("vec_id") < NQ).select("vec_id", C.hadamard(F.col("v"), 64).alias("v")), "v")
+    return _components(_corpus(spark, sf).select("vec_id", C.hadamard(F.col("v"), 64).alias("v")), "v")
 
 
 @query(f"with {C8} select a.vec_id, a.i, (case when a.i % 2 = 0 then a.v + b.v else b.v - a.v end)::bigint as v from c8 a join c8 b on a.vec_id = b.vec_id and b.i = xor(a.i, 1)")
@@ -272,19 +284,19 @@ def kac_step(spark, sf):
     return _components(_corpus(spark, sf).select("vec_id", C.kac(F.col("v"), 64).alias("v")), "v")
 
 
-@query(f"with {C8} select vec_id, i, v::bigint as v from c8 where vec_id < {NQ}")
+@query(f"with {C8} select vec_id, i, v::bigint as v from c8")
 def rotate_round_trip(spark, sf):
-    there = _corpus(spark, sf).where(F.col("vec_id") < NQ).select("vec_id", C.rotate(F.col("v"), 64).alias("v"))
+    there = _corpus(spark, sf).select("vec_id", C.rotate(F.col("v"), 64).alias("v"))
     return _components(there.select("vec_id", C.unrotate(F.col("v"), 64).alias("v")), "v")
 
 
-@query(f"with {C8} select vec_id, (128 * sum(v * v))::bigint as energy from c8 where vec_id < {NQ} group by 1")
+@query(f"with {C8} select vec_id, (128 * sum(v * v))::bigint as energy from c8 group by 1")
 def rotate_energy(spark, sf):
-    turned = _corpus(spark, sf).where(F.col("vec_id") < NQ).select("vec_id", C.rotate(F.col("v"), 64).alias("v"))
+    turned = _corpus(spark, sf).select("vec_id", C.rotate(F.col("v"), 64).alias("v"))
     return turned.select("vec_id", F.aggregate("v", F.lit(0).cast("long"), lambda s, x: s + x * x).alias("energy"))
 
 
-@query(f"with {CODES} select a.vec_id, (a.j // 2)::int as i, (a.code + 16 * b.code)::int as v from codes a join codes b on a.vec_id = b.vec_id and b.j = a.j + 1 where a.j % 2 = 0")
+@query(f"with {CODES} select vec_id, (j // 2)::int as i, sum(code * case when j % 2 = 0 then 1 else 16 end)::int as v from codes group by all")
 def pack_b4(spark, sf):
     return _components(_setup(spark, sf)[3].select("vec_id", C.pack_nibbles(F.col("codes")).alias("v")), "v")
 
@@ -333,28 +345,56 @@ def layout_offsets(spark, sf):
     return _raw(spark, sf).selectExpr("vec_id", "vec_id div 64 as block_no", "vec_id % 64 as slot", "(vec_id div 64) * 512 + (vec_id % 64) * 8 as byte_offset")
 
 
-@query()
+#: Bytes of the code blocks, padded with 255, and their CRC-32 a byte at a time.
+BYTES = CODES + f""", cell as (select b.b as block_no, p.p, coalesce(codes.code, 255)::bigint as v from range((select max(vec_id) // {512 // M} + 1 from embeddings)) b(b) cross join range(512) p(p)
+ left join codes on codes.vec_id = b.b * {512 // M} + p.p // {M} and codes.j = p.p % {M})"""
+
+
+def _crc_step(x: str) -> str:
+    """Eight shifts of the reflected polynomial."""
+    return f"list_reduce([{x}, 0, 1, 2, 3, 4, 5, 6, 7], lambda s, i: case when s & 1 = 1 then xor(s >> 1, 3988292384) else s >> 1 end)"
+
+
+CRC = BYTES + f""", bytes as (select block_no, list(v order by p) as l from cell group by 1),
+ crc as (select block_no, xor(list_reduce(list_prepend(4294967295::bigint, l), lambda c, v: {_crc_step("xor(c, v)")}), 4294967295)::bigint as crc from bytes)"""
+
+
+@query(f"with {CRC} select block_no::bigint as block_no, crc from crc")
 def block_crc(spark, sf):
     return I.blocks(_setup(spark, sf)[3], M).select("block_no", "crc")
 
 
-@query("select b.block_no::bigint as block_no, b.block_no <> 2 as ok from range((select max(vec_id) // 64 + 1 from embeddings)) b(block_no)")
+#: A damaged copy: blocks whose number leaves 2 by 3 have their byte 7 changed.
+HURT = BYTES + ", hurt as (select block_no, p, v, case when block_no % 3 = 2 and p = 7 then xor(v, 16) else v end as u from cell)"
+
+
+def _hurt(blocks: DataFrame) -> DataFrame:
+    h = F.hex("bytes")
+    byte = F.lpad(F.hex(F.conv(F.substring(h, 15, 2), 16, 10).cast("int").bitwiseXOR(F.lit(16))), 2, "0")
+    changed = F.unhex(F.concat(F.substring(h, 1, 14), byte, F.substring(h, 17, 1 << 20)))
+    return blocks.withColumn("bytes", F.when(F.col("block_no") % 3 == 2, changed).otherwise(F.col("bytes")))
+
+
+@query(f"with {HURT} select block_no::bigint as block_no, bool_and(u = v) as ok from hurt group by 1")
 def verify_report(spark, sf):
     good = I.blocks(_setup(spark, sf)[3], M)
-    torn = good.withColumn("bytes", F.when(F.col("block_no") == 2, F.unhex(F.repeat(F.lit("00"), 512))).otherwise(F.col("bytes")))
-    return I.verify(torn, good.select("block_no", "crc"))
+    return I.verify(_hurt(good), good.select("block_no", "crc"))
 
 
-@query("select 5::bigint as block_no")
+@query(f"with {HURT} select distinct block_no::bigint as block_no from hurt where u <> v")
 def replica_diff(spark, sf):
     good = I.blocks(_setup(spark, sf)[3], M)
-    copy = good.select("block_no", F.when(F.col("block_no") == 5, F.unhex(F.repeat(F.lit("0F"), 512))).otherwise(F.col("bytes")).alias("other"))
+    copy = _hurt(good).select("block_no", F.col("bytes").alias("other"))
     return good.join(copy, "block_no").where("bytes <> other").select("block_no")
 
 
-@query("select 3::bigint as sequence, 480::bigint as n")
+SLOTS = "select o_custkey as volume, o_orderkey as sequence, o_custkey + o_orderkey % 97 as n, o_orderkey % 5 <> 1 as valid from orders"
+
+
+@query(f"with s as ({SLOTS}) select volume, sequence, n::bigint as n from s where valid qualify row_number() over (partition by volume order by sequence desc) = 1")
 def live_manifest(spark, sf):
-    return I.live_manifest(spark.createDataFrame([(1, 300, True), (3, 480, True), (4, 999, False)], "sequence long, n long, valid boolean")).select("sequence", "n")
+    slots = spark.read.parquet(f"{sf}/orders.parquet").selectExpr("o_custkey as volume", "o_orderkey as sequence", "cast(o_custkey + o_orderkey % 97 as long) as n", "o_orderkey % 5 <> 1 as valid")
+    return I.live_manifest(slots, "volume").select("volume", "sequence", "n")
 
 
 @query("with recursive m(a, b, i, x, r) as (select a.a, b.b, 0, a.a, 0 from range(256) a(a) cross join range(256) b(b) union all select a, b, i + 1, case when x >= 128 then xor(x * 2, 285) else x * 2 end, case when (b >> i) & 1 = 1 then xor(r, x) else r end from m where i < 8) select a::int as a, b::int as b, r::int as product from m where i = 8")
@@ -364,9 +404,13 @@ def gf_mul(spark, sf):
     return pairs.select("a", "b", I.gf_mul(F.col("a"), F.col("b")).alias("product"))
 
 
-@query("select 'codebook' as a, 'payload' as b union all select 'crc', 'payload'")
+REGIONS = "select p_partkey::varchar as name, (p_partkey * 7919 % 200000)::bigint as base, (p_size * 211)::bigint as extent from part"
+
+
+@query(f"with r as ({REGIONS}) select a.name as a, b.name as b from r a join r b on a.name < b.name and a.base < b.base + b.extent and b.base < a.base + a.extent")
 def region_overlap(spark, sf):
-    return C.intervals_overlap(spark.createDataFrame([("codebook", 0, 8192), ("payload", 8000, 40960), ("crc", 40000, 512), ("rerank", 65536, 4096)], "name string, base long, extent long"))
+    part = spark.read.parquet(f"{sf}/part.parquet")
+    return C.intervals_overlap(part.selectExpr("cast(p_partkey as string) as name", "p_partkey * 7919 % 200000 as base", "cast(p_size * 211 as long) as extent"))
 
 
 # ---- faults and protection ------------------------------------------------
@@ -414,13 +458,15 @@ def pareto_front(spark, sf):
 @query("select quantile_disc(score, 0.5)::bigint as p50, quantile_disc(score, 0.95)::bigint as p95 from (with " + C8 + ", " + DOT + " select score from dots)")
 def score_percentiles(spark, sf):
     corpus, queries, *_ = _setup(spark, sf)
-    n = 1 << 30
-    return V.exact_search(corpus, queries, n).selectExpr("percentile_disc(0.5) within group (order by score) as p50", "percentile_disc(0.95) within group (order by score) as p95")
+    return V.percentiles(V.score_histogram(corpus, queries), {"p50": 0.5, "p95": 0.95})
 
 
 def queries() -> dict:
+    from . import analysis, storage  # noqa: F401  they add their queries
+
     return dict(Q)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(SQL)

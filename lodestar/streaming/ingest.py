@@ -17,12 +17,10 @@ MANIFEST = "sequence long, batch long, rows long, first_id long, last_id long"
 
 
 def manifests(spark: SparkSession, path: str) -> DataFrame:
-    try:
-        return spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest")
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
         return spark.createDataFrame([], MANIFEST)
+    return spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
 
 
 def append(batch: DataFrame, book: Codebook, path: str, number: int) -> None:
