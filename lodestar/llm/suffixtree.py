@@ -14,7 +14,7 @@ The stem of the tree is small and travels to all tasks: contexts of one symbol,
 of those of two the hot ones (above HOT of all tokens, at most 1 / HOT), with strings
 that make up P_MIN of all symbols, so at most 2 / P_MIN entries. All other contexts
 are leaves of the stem: they are kept by their counts alone, however many there are,
-and so grow with the corpus. No task sees them all. Each token goes, 12 bytes wide and
+and so grow with the corpus. No task sees them all. Each token goes, 9 bytes wide and
 packed by slice of documents, to the bucket of its last two symbols (three, if those
 are hot), where the states of that bucket are learnt and its tokens scored; a bucket
 has about BUCKET tokens, whatever the corpus. Per-document sums come back by slice.
@@ -42,6 +42,7 @@ from .common import LOWER, column, crc32_of_id, lean, mix64, save, signed, slice
 
 P_MIN, FREQUENT, COMMON, DISCOUNT, LEAST = 2e-6, 1e-5, 1e-6, 0.75, 2
 HOT, BUCKET = 1e-3, 500_000
+WIDE = 9  # bytes of four symbols
 END_WORD = b"\n"  # white space: no word is equal to it
 END_HASH = int(signed(mix64(np.array([0xE0D], np.uint64)))[0])
 #: Symbols: start, end, 65536 classes, frequent words; 18 bits hold them while 1 / FREQUENT <= 100000.
@@ -164,6 +165,19 @@ def windows(symbols: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndar
     return at, (((back[2] << BITS) | back[1]) << BITS) | back[0], back[3]
 
 
+def pack_tokens(key: np.ndarray, third: np.ndarray) -> np.ndarray:
+    """[token, WIDE] bytes of four symbols of BITS bits."""
+    low = key.astype(np.uint64) | ((third & 1023).astype(np.uint64) << np.uint64(3 * BITS))
+    return np.concatenate([low[:, None].view(np.uint8), (third >> 10).astype(np.uint8)[:, None]], 1)
+
+
+def unpack_tokens(columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, third symbols) from [WIDE, token] bytes."""
+    low = np.ascontiguousarray(columns[:8].T).view("<u8")[:, 0]
+    third = (low >> np.uint64(3 * BITS)).astype(np.int64) | (columns[8].astype(np.int64) << 10)
+    return (low & np.uint64((1 << 3 * BITS) - 1)).astype(np.int64), third
+
+
 def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", p_min: float = P_MIN, frequent: float = FREQUENT, common: float = COMMON) -> DataFrame:
     """(id, in_training, n_tokens, n_known, train_tokens, base_score, score) of every row;
     ``train`` tells the rows that are learnt from."""
@@ -253,13 +267,14 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
                 context = np.where(find(hot, key >> BITS)[1], mix64(context + np.uint64(1)) ^ third.astype(np.uint64), context)
                 to = ((mix64(context) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
                 by = np.argsort(to, kind="stable")
-                to, key, doc, last = to[by], key[by], doc[by], (third[by].astype(np.uint32) << np.uint32(1)) | learn[a:b][doc[by]]
+                to, doc, tokens = to[by], doc[by], pack_tokens(key[by], third[by])
                 edge = np.flatnonzero(np.diff(to, prepend=-1))
                 packed = []
                 for x, y in zip(edge, [*edge[1:], len(to)], strict=True):
                     d = np.flatnonzero(np.diff(doc[x:y], prepend=-1))
-                    size = np.diff(np.append(d, y - x)).astype(np.uint32)
-                    packed.append(np.uint32(len(d)).tobytes() + who_is[a:b][doc[x:y][d]].tobytes() + size.tobytes() + key[x:y].tobytes() + last[x:y].tobytes())
+                    of = doc[x:y][d]
+                    size = (np.diff(np.append(d, y - x)).astype(np.uint32) << np.uint32(1)) | learn[a:b][of]
+                    packed.append(np.uint32(len(d)).tobytes() + who_is[a:b][of].tobytes() + size.tobytes() + pa.compress(tokens[x:y].T.tobytes(), codec="zstd", asbytes=True))
                 source = int(signed(mix64(np.bitwise_xor.reduce(mix64(who_is[a:b] + np.arange(b - a, dtype=np.uint64)), keepdims=True)))[0])
                 yield pa.RecordBatch.from_arrays([pa.array(to[edge]), pa.array(np.full(len(edge), source)), pa.array(packed, pa.binary())], ["bucket", "source", "packed"])
 
@@ -269,17 +284,19 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
         held: list[tuple] = []
 
         def flush():
-            who, per, key, last, ends = [], [], [], [], []
+            who, per, learnt, tokens = [], [], [], []
             for _, _, x in held:
                 d = int(np.frombuffer(x, "<u4", 1)[0])
                 who.append(np.frombuffer(x, "<u8", d, 4))
-                per.append(np.frombuffer(x, "<u4", d, 4 + 8 * d))
+                size = np.frombuffer(x, "<u4", d, 4 + 8 * d)
+                per.append((size >> 1).astype(np.int64))
+                learnt.append(size & 1)
                 t = int(per[-1].sum())
-                key.append(np.frombuffer(x, "<i8", t, 4 + 12 * d))
-                last.append(np.frombuffer(x, "<u4", t, 4 + 12 * d + 8 * t))
-            docs, key, last = np.array([len(x) for x in who]), np.concatenate(key), np.concatenate(last)
+                tokens.append(np.frombuffer(pa.decompress(x[4 + 12 * d :], WIDE * t, codec="zstd", asbytes=True), np.uint8).reshape(WIDE, t))
+            docs = np.array([len(x) for x in who])
             who, per = np.concatenate(who), np.concatenate(per)
-            weight, third = (last & 1).astype(float), (last >> 1).astype(np.int64)
+            key, third = unpack_tokens(np.concatenate(tokens, 1))
+            weight = np.repeat(np.concatenate(learnt), per).astype(float)
             p = tree.probability(key, 2)
             _, string = np.unique(key, return_inverse=True)
             _, context = np.unique(key >> BITS, return_inverse=True)
