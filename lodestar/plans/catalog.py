@@ -448,7 +448,7 @@ def flash_faults(spark, sf):
     return I.flash_faults(I.events_of(spark, 400), 8)
 
 
-@query("select l_returnflag, l_quantity, l_extendedprice from (select distinct l_returnflag, l_quantity, l_extendedprice from lineitem) a where not exists (select 1 from lineitem b where b.l_returnflag = a.l_returnflag and b.l_quantity <= a.l_quantity and b.l_extendedprice >= a.l_extendedprice and (b.l_quantity < a.l_quantity or b.l_extendedprice > a.l_extendedprice))")
+@query("select l_returnflag, l_quantity, l_extendedprice from (select distinct l_returnflag, l_quantity, l_extendedprice from lineitem) a where not exists (select 1 from (select l_returnflag, l_quantity, max(l_extendedprice) as l_extendedprice from lineitem group by 1, 2) b where b.l_returnflag = a.l_returnflag and b.l_quantity <= a.l_quantity and b.l_extendedprice >= a.l_extendedprice and (b.l_quantity < a.l_quantity or b.l_extendedprice > a.l_extendedprice))")
 def pareto_front(spark, sf):
     rows = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_returnflag", "l_quantity", "l_extendedprice")
     best = rows.groupBy("l_returnflag", "l_quantity").agg(F.max("l_extendedprice").alias("l_extendedprice"))  # the best of each cost
