@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -119,3 +120,48 @@ def verdicts(claims: DataFrame) -> DataFrame:
     off = F.when(F.col("predicted") != 0, F.abs(F.col("measured") - F.col("predicted")) / F.abs("predicted"))
     holds = F.coalesce(off <= F.col("tolerance"), F.col("measured") == 0)
     return claims.withColumn("relative_error", off).withColumn("verdict", F.when(holds, "holds").otherwise("refuted"))
+
+
+def draws(seed: int, count: int) -> list[tuple[int, int]]:
+    """(place, bit) of ``count`` faults: a longer list of one seed starts with the shorter one."""
+    values = [v >> 1 for v in xorshift(seed, 2 * count)]
+    return [(place, bit % 8) for place, bit in zip(values[::2], values[1::2], strict=True)]
+
+
+def flip_book(w: np.ndarray, faults: list[tuple[int, int]]) -> np.ndarray:
+    """int8 centroids [subspace, centroid, component] with one bit flipped a fault, places modulo the size."""
+    flat = w.astype(np.int8).ravel().view(np.uint8).copy()
+    for place, bit in faults:
+        flat[place % len(flat)] ^= np.uint8(1 << bit)
+    return flat.view(np.int8).reshape(w.shape)
+
+
+def kill_unit(w: np.ndarray, place: int, unit: int) -> tuple[np.ndarray, int]:
+    """Centroids with one erase unit of ``unit`` bytes lost (0xFF, as int8 -1), and how many bytes that are."""
+    flat = w.astype(np.int8).ravel().copy()
+    lo = place % -(-len(flat) // unit) * unit
+    lost = len(flat[lo : lo + unit])
+    flat[lo : lo + unit] = -1
+    return flat.reshape(w.shape), lost
+
+
+def flip_stored(codes: DataFrame, faults: list[tuple[int, int]], n: int, m: int, bits: int) -> DataFrame:
+    """(vec_id, codes) with a bit of one code flipped a fault; place p is code p % m of row p div m, modulo n * m.
+
+    The faults are a list on the driver, so their frame is as small as that and is broadcast."""
+    masks: dict[int, list[int]] = {}
+    for place, bit in faults if n else []:
+        row, j = divmod(place % (n * m), m)
+        masks.setdefault(row, [0] * m)[j] ^= 1 << bit % bits
+    few = codes.sparkSession.createDataFrame(list(masks.items()), "vec_id long, masks array<int>")
+    hit = codes.join(F.broadcast(few), "vec_id", "left")
+    return hit.select("vec_id", F.when(F.col("masks").isNull(), F.col("codes")).otherwise(F.zip_with("codes", "masks", lambda c, x: c.bitwiseXOR(x))).alias("codes"))
+
+
+def recall_after(found: DataFrame, truth: DataFrame, doses: DataFrame) -> DataFrame:
+    """(doses' columns, recall): mean share of the true rows (qid, vec_id) that the lists found
+    (doses' columns, qid, vec_id) hold; a list that lost all candidates counts as 0."""
+    t = truth.select("qid", "vec_id")
+    hits = found.join(t, ["qid", "vec_id"], "leftsemi").groupBy(*doses.columns).agg(F.count("*").alias("hits"))
+    # a row a dose, and one row in all
+    return doses.join(hits, doses.columns, "left").crossJoin(t.agg(F.count("*").alias("all"))).select(*doses.columns, F.try_divide(F.coalesce("hits", F.lit(0)), F.col("all")).alias("recall"))

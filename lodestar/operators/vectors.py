@@ -204,14 +204,14 @@ def adc_scan(codes: DataFrame, queries: DataFrame, book: Codebook, r: int, metri
     return in_blocks(queries, vec, scan)
 
 
-def rerank(candidates: DataFrame, records: DataFrame, queries: DataFrame, k: int, vec: str = "v", metric: str = "ip") -> DataFrame:
+def rerank(candidates: DataFrame, records: DataFrame, queries: DataFrame, k: int, vec: str = "v", metric: str = "ip", tags: tuple[str, ...] = ()) -> DataFrame:
     """Exact scores of candidates whose record is stored; absent ones drop, nothing fills their place.
-    ``metric``: ip of integers, or l2: negated squared distances of floats."""
+    ``metric``: ip of integers, or l2: negated squared distances of floats. ``tags``: columns that tell lists apart."""
     far = F.aggregate(F.zip_with("q", "v", lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda s, x: s - x)
     dot = F.aggregate(F.zip_with("q", "v", lambda a, b: a.cast("long") * b), F.lit(0).cast("long"), lambda s, x: s + x)
     q = queries.select(F.col("vec_id").alias("qid"), F.col(vec).alias("q"))
-    joined = candidates.select("qid", "vec_id").join(records.select("vec_id", F.col(vec).alias("v")), "vec_id").join(q, "qid").select("qid", "vec_id", (dot if metric == "ip" else far).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id"))
+    joined = candidates.select(*tags, "qid", "vec_id").join(records.select("vec_id", F.col(vec).alias("v")), "vec_id").join(q, "qid").select(*tags, "qid", "vec_id", (dot if metric == "ip" else far).alias("score"))
+    rank = F.row_number().over(Window.partitionBy(*tags, "qid").orderBy(F.desc("score"), "vec_id"))
     return joined.withColumn("rank", rank).where(F.col("rank") <= k)
 
 

@@ -200,3 +200,79 @@ def subspace_energy(spark, sf):
 def narrow_rotated(spark, sf):
     turned = _corpus(spark, sf).select("vec_id", C.hadamard(F.col("v"), 64).alias("v"))
     return _components(turned.select("vec_id", C.narrow_rotated(F.col("v"), 64).alias("v")), "v")
+
+
+# ---- fault sweep ----------------------------------------------------------
+
+#: Faults a channel and dose; a sector is a quarter of the fixture's codebook of 1024 bytes.
+DOSES = [("clean", 0), ("codebook bits", 1), ("codebook bits", 16), ("codebook bits", 64), ("payload bits", 16), ("payload bits", 256), ("block drops", 1), ("block drops", 4), ("sector loss", 1)]
+SECTOR, CODE_BITS, PER_BLOCK = 256, 4, 512 // M
+FAULTS = D.draws(42, 256)
+
+
+def _fault_sql(channels: str) -> str:
+    """SQL of the sweep over the doses whose channel is in ``channels``."""
+    size = M * K * DS
+    return (
+        f"with {SCAN}, {DOT}, {TRUTH.replace('truth as (', 'truth as materialized (')},"
+        f" draws as (select * from (values {', '.join(f'({i}, {v}, {b})' for i, (v, b) in enumerate(FAULTS))}) t(i, v, b)),"
+        f" dose as (select * from (values {', '.join(f'({c!r}, {d})' for c, d in DOSES)}) t(channel, dose) where channel in ('clean', {channels})),"
+        " n as (select count(*) as n from embeddings),"
+        f" bm as (select channel, dose, v % {size} as place, bit_xor(1 << b) as mask from draws join dose on channel = 'codebook bits' and i < dose group by all),"
+        f" books as (select d.channel, d.dose, book.j, book.c, book.t, case when d.channel = 'sector loss' and ((book.j * {K} + book.c) * {DS} + book.t) // {SECTOR} = (select v % {size // SECTOR} from draws where i = 0) then -1"
+        " else (xor((book.w + 256) % 256, coalesce(bm.mask, 0)) + 128) % 256 - 128 end as w"
+        f" from dose d cross join book left join bm on bm.channel = d.channel and bm.dose = d.dose and bm.place = (book.j * {K} + book.c) * {DS} + book.t),"
+        f" pm as (select channel, dose, v % (n * {M}) // {M} as vec_id, v % (n * {M}) % {M} as j, bit_xor(1 << (b % {CODE_BITS})) as mask from draws join dose on channel = 'payload bits' and i < dose cross join n group by all),"
+        " stored as (select d.channel, d.dose, codes.vec_id, codes.j, xor(codes.code, coalesce(pm.mask, 0)) as code from dose d cross join codes left join pm on pm.channel = d.channel and pm.dose = d.dose and pm.vec_id = codes.vec_id and pm.j = codes.j),"
+        f" hurt_tab as materialized (select b.channel, b.dose, q.vec_id as qid, b.j, b.c, sum(2 * q.v * b.w - b.w * b.w)::bigint as s from c8 q join books b on b.j = q.i // {DS} and b.t = q.i % {DS} where q.vec_id % {EVERY} = 0 group by all),"
+        " hurt_scan as (select s.channel, s.dose, t.qid, s.vec_id, sum(t.s) as score from stored s join hurt_tab t on t.channel = s.channel and t.dose = s.dose and t.j = s.j and t.c = s.code group by all),"
+        f" hurt_cand as (select channel, dose, qid, vec_id from hurt_scan qualify row_number() over (partition by channel, dose, qid order by score desc, vec_id) <= {R}),"
+        f" gone as (select dose.dose, v % ((n + {PER_BLOCK - 1}) // {PER_BLOCK}) as block from draws join dose on channel = 'block drops' and i < dose cross join n group by all),"
+        f" left_over as (select * from hurt_cand h where channel <> 'block drops' or not exists (select 1 from gone where gone.dose = h.dose and gone.block = h.vec_id // {PER_BLOCK})),"
+        f" firsts as (select l.* from left_over l join dots on dots.qid = l.qid and dots.vec_id = l.vec_id qualify row_number() over (partition by l.channel, l.dose, l.qid order by dots.score desc, l.vec_id) <= {TOP}),"
+        " got as (select dose.channel, dose.dose, count(truth.vec_id) / (select count(*) from truth)::double as recall from dose left join firsts f on f.channel = dose.channel and f.dose = dose.dose left join truth on truth.qid = f.qid and truth.vec_id = f.vec_id group by all)"
+        " select channel, dose::int as dose, round(recall, 6) as recall, round((select recall from got where channel = 'clean') - recall, 6) as loss from got"
+    )
+
+
+def _fault_sweep(spark, sf, *channels: str):
+    """(channel, dose, recall, loss): one compressed scan a dose, one exact scoring of all their candidates."""
+    corpus, queries, book, codes = _setup(spark, sf)
+    n = corpus.count()
+    lists = []
+    for channel, dose in DOSES:
+        if channel not in ("clean", *channels):
+            continue
+        now, stored, faults = book, codes, FAULTS[:dose]
+        if channel == "codebook bits":
+            now = V.Codebook(D.flip_book(book.w, faults))
+        elif channel == "sector loss":
+            now = V.Codebook(D.kill_unit(book.w, FAULTS[0][0], SECTOR)[0])
+        elif channel == "payload bits":
+            stored = D.flip_stored(codes, faults, n, M, CODE_BITS)
+        found = V.adc_scan(stored, queries, now, R).select("qid", "vec_id")
+        if channel == "block drops":
+            gone = sorted({place % -(-n // PER_BLOCK) for place, _ in faults}) if n else []
+            found = found.where(~F.expr(f"vec_id div {PER_BLOCK}").isin(gone))
+        lists.append(found.select(F.lit(channel).alias("channel"), F.lit(dose).alias("dose"), "qid", "vec_id"))
+    tags = ("channel", "dose")
+    first = V.rerank(functools.reduce(DataFrame.unionByName, lists), corpus, queries, TOP, tags=tags)
+    doses = spark.createDataFrame([d for d in DOSES if d[0] in ("clean", *channels)], "channel string, dose int")
+    got = D.recall_after(first, V.exact_search(corpus, queries, TOP), doses)
+    clean = F.max(F.when(F.col("channel") == "clean", F.col("recall"))).over(Window.partitionBy())  # a row a dose
+    return got.withColumn("loss", F.round(clean - F.col("recall"), 6)).withColumn("recall", F.round("recall", 6))
+
+
+@query(_fault_sql("'codebook bits', 'payload bits', 'block drops', 'sector loss'"))
+def fault_sweep(spark, sf):
+    return _fault_sweep(spark, sf, "codebook bits", "payload bits", "block drops", "sector loss")
+
+
+@query(_fault_sql("'payload bits'"))
+def payload_bitflip_recall(spark, sf):
+    return _fault_sweep(spark, sf, "payload bits")
+
+
+@query(_fault_sql("'block drops'"))
+def block_drop_recall(spark, sf):
+    return _fault_sweep(spark, sf, "block drops")

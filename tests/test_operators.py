@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestar.operators import codes as C
+from lodestar.operators import damage
 from lodestar.operators import integrity as I
 from lodestar.operators import vectors as V
 
@@ -75,3 +76,26 @@ def test_entry_and_oracles_have_the_same_names():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_fault_draws_nest_and_hit_single_places():
+    short, long = damage.draws(7, 4), damage.draws(7, 64)
+    assert long[:4] == short
+    w = np.arange(-128, 128).reshape(4, 8, 8)
+    one = damage.flip_book(w, [(300, 7)])
+    assert (one != w).sum() == 1 and one.ravel()[300 % 256] == (w.ravel()[300 % 256] ^ -128)
+    assert (damage.flip_book(w, [(5, 2), (5, 2)]) == w).all()
+    dead, lost = damage.kill_unit(w, 2, 100)
+    assert lost == 56 and (dead.ravel()[200:] == -1).all() and (dead.ravel()[:200] == w.ravel()[:200]).all()
+
+
+def test_stored_flips_and_recall_after(spark):
+    codes = spark.createDataFrame([(0, [1, 2]), (1, [3, 4])], "vec_id long, codes array<int>")
+    got = {r.vec_id: r.codes for r in damage.flip_stored(codes, [(3, 0), (7, 1)], 2, 2, 4).collect()}
+    assert got == {0: [1, 2], 1: [3, 4 ^ 3]}
+    assert damage.flip_stored(codes.limit(0), [(3, 0)], 0, 2, 4).count() == 0
+    doses = spark.createDataFrame([(0,), (1,)], "dose int")
+    truth = spark.createDataFrame([(9, 0), (9, 1)], "qid long, vec_id long")
+    found = truth.withColumn("dose", F.lit(0)).where("vec_id = 1")
+    assert {r.dose: r.recall for r in damage.recall_after(found, truth, doses).collect()} == {0: 0.5, 1: 0.0}
+    assert {r.recall for r in damage.recall_after(found, truth.limit(0), doses).collect()} == {None}
