@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 
 import numpy as np
@@ -165,3 +166,55 @@ def recall_after(found: DataFrame, truth: DataFrame, doses: DataFrame) -> DataFr
     hits = found.join(t, ["qid", "vec_id"], "leftsemi").groupBy(*doses.columns).agg(F.count("*").alias("hits"))
     # a row a dose, and one row in all
     return doses.join(hits, doses.columns, "left").crossJoin(t.agg(F.count("*").alias("all"))).select(*doses.columns, F.try_divide(F.coalesce("hits", F.lit(0)), F.col("all")).alias("recall"))
+
+
+def shift_sweep(few: DataFrame, clean: DataFrame, truth: DataFrame, k: int, delta: int, depth: int) -> DataFrame:
+    """(qid, c, s, lost, intruders) of every centroid c of k with its score moved by s * delta, s = 1 or -1: true
+    rows the list of ``depth`` loses, and new rows of that centroid in it.
+
+    A shift changes the scores of one code only, so a shifted list is drawn from the best of that code and the best of
+    the others: few (qid, vec_id, score, code) has the best ``depth`` rows of each code."""
+    sweep = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.lit(s).alias("s")) for c in range(k) for s in (1, -1)]))
+    marks = truth.select("qid", "vec_id", F.lit(True).alias("true_")).join(clean.select("qid", "vec_id", F.lit(True).alias("was")), ["qid", "vec_id"], "full")
+    moved = few.join(marks, ["qid", "vec_id"], "left").withColumn("g", sweep).select("g.*", "qid", "vec_id", "code", "true_", "was", (F.col("score") + F.when(F.col("code") == F.col("g.c"), F.col("g.s") * delta).otherwise(0)).alias("score"))
+    top = moved.withColumn("r", F.row_number().over(Window.partitionBy("c", "s", "qid").orderBy(F.desc("score"), "vec_id"))).where(F.col("r") <= depth)
+    after = top.groupBy("c", "s", "qid").agg(F.count_if("true_").alias("after"), F.count_if(F.col("was").isNull() & (F.col("code") == F.col("c"))).alias("intruders"))
+    before = marks.groupBy("qid").agg(F.count_if(F.col("true_") & F.col("was")).alias("before"))
+    return after.join(before, "qid").select("qid", "c", "s", F.greatest(F.lit(0), F.col("before") - F.col("after")).alias("lost"), "intruders")
+
+
+def exposure(seen: DataFrame) -> DataFrame:
+    """(c, inflate, deflate): true rows lost by raising and by lowering each centroid, over all queries."""
+    total = lambda s: F.sum(F.when(F.col("s") == s, F.col("lost")).otherwise(0))
+    return seen.groupBy("c").agg(total(1).alias("inflate"), total(-1).alias("deflate"))
+
+
+def findings(seen: DataFrame, truth: DataFrame, clean: DataFrame, codes: DataFrame, k: int, depth: int, top: int) -> DataFrame:
+    """(claim, x, y, verdict: held, refuted or inconclusive) of what a sweep says about four claims:
+
+    fan-out: raising the fullest centroid loses at least as much (x) as raising the emptiest used one (y);
+    deflation channel: lowering the nearest true row's centroid loses rows (x) without intruders (y);
+    directed sampling: that loses more (x) than lowering the next centroid (y);
+    margin bridge: of both signs at that centroid, losses above their bound (x), of all losses (y).
+    codes (vec_id, c) are those of the swept subspace."""
+    pops = codes.groupBy("c").agg(F.count("*").alias("n"))
+    # one row each
+    ends = pops.agg(F.max_by("c", F.struct("n", "c")).alias("heavy"), F.min_by("c", F.struct("n", "c")).alias("light"), F.max("n").alias("most"), F.min("n").alias("least"))
+    at = lambda name: F.sum(F.when(F.col("c") == F.col(name), F.col("lost")).otherwise(0))
+    fan = seen.where("s = 1").crossJoin(F.broadcast(ends)).agg(at("heavy").alias("x"), at("light").alias("y"), F.max("most").alias("most"), F.max("least").alias("least"))
+    fan = fan.select("x", "y", F.when(F.col("most") < 2 * F.col("least"), "inconclusive").when(F.col("x") >= F.col("y"), "held").otherwise("refuted").alias("verdict"))
+    near = truth.where(F.col("rank") == 1).join(codes, "vec_id").select("qid", F.col("c").alias("near"))
+    aimed = seen.join(near, "qid").withColumn("next", (F.col("near") + 1) % k)
+    lower = aimed.where("s = -1")
+    deflation = lower.where("c = near").agg(F.sum("lost").alias("x"), F.sum("intruders").alias("y"))
+    deflation = deflation.select("x", "y", F.when(F.col("y") > 0, "refuted").when(F.col("x") > 0, "held").otherwise("inconclusive").alias("verdict"))
+    directed = lower.agg(at("near").alias("x"), at("next").alias("y"))
+    directed = directed.select("x", "y", F.when(F.col("x") > F.col("y"), "held").when((F.col("x") == 0) & (F.col("y") == 0), "inconclusive").otherwise("refuted").alias("verdict"))
+    places = truth.select("qid", "vec_id").join(codes.withColumnRenamed("c", "code"), "vec_id").join(clean.select("qid", "vec_id", F.col("rank").alias("at")), ["qid", "vec_id"], "left")
+    risk = ((F.col("s") == -1) & (F.col("code") == F.col("c"))) | ((F.col("intruders") > 0) & (F.coalesce(F.col("at") - 1, F.lit(depth)) > F.greatest(F.lit(0), depth - F.col("intruders"))))
+    bounds = aimed.where("c = near").join(places, "qid").groupBy("qid", "s").agg(F.max("lost").alias("lost"), F.least(F.count_if(risk), F.lit(top)).alias("bound"))
+    bridge = bounds.agg(F.count_if(F.col("lost") > F.col("bound")).alias("x"), F.count_if(F.col("lost") > 0).alias("y"))
+    bridge = bridge.select("x", "y", F.when(F.col("y") == 0, "inconclusive").when(F.col("x") == 0, "held").otherwise("refuted").alias("verdict"))
+    parts = (("fan-out", fan), ("deflation channel", deflation), ("directed sampling", directed), ("margin bridge", bridge))
+    out = [part.select(F.lit(claim).alias("claim"), F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), "verdict") for claim, part in parts]
+    return functools.reduce(DataFrame.unionByName, out)

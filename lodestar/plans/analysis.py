@@ -153,23 +153,38 @@ SWEEP = SCAN + ", " + DOT + ", " + TRUTH.replace("truth as (", "truth as materia
 
 @query(f"with {SWEEP} select c, inflate, deflate, greatest(inflate, deflate) as weight, row_number() over (order by greatest(inflate, deflate) desc, c)::int as rank from expo")
 def exposure_weights(spark, sf):
-    """True neighbours lost when a centroid's score is raised or lowered, over all queries. A shift changes the
-    scores of one code only, so a shifted list is drawn from the best of that code and the best of the others."""
+    """True neighbours lost when a centroid's score is raised or lowered, over all queries."""
+    return D.ranked_weights(D.exposure(_shifted(spark, sf)[0]))
+
+
+def _shifted(spark, sf):
+    """D.shift_sweep() of the fixture, then truth, the clean list and the codes of subspace J."""
     corpus, queries, book, codes = _setup(spark, sf)
-    depth = TOP * 2
-    truth = V.exact_search(corpus, queries, TOP).select("qid", "vec_id")
-    mine = F.get("codes", F.lit(J))
+    depth, mine = TOP * 2, F.get("codes", F.lit(J))
     lists = [V.adc_scan(codes.where(mine == c), queries, book, depth).select("qid", "vec_id", "score", F.lit(c).alias("code")) for c in range(K)]
-    few = functools.reduce(DataFrame.unionByName, lists)
-    sweep = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.lit(s).alias("s")) for c in range(K) for s in (1, -1)]))
-    moved = few.withColumn("g", sweep).select("g.*", "qid", "vec_id", (F.col("score") + F.when(F.col("code") == F.col("g.c"), F.col("g.s") * DELTA).otherwise(0)).alias("score"))
-    top = moved.withColumn("r", F.row_number().over(Window.partitionBy("c", "s", "qid").orderBy(F.desc("score"), "vec_id"))).where(F.col("r") <= depth)
-    after = top.join(truth, ["qid", "vec_id"], "leftsemi").groupBy("c", "s", "qid").agg(F.count("*").alias("after"))
-    clean = V.adc_scan(codes, queries, book, depth).select("qid", "vec_id")
-    before = queries.select(F.col("vec_id").alias("qid")).join(truth.join(clean, ["qid", "vec_id"], "leftsemi").groupBy("qid").agg(F.count("*").alias("before")), "qid", "left").na.fill(0)
-    lost = before.withColumn("g", sweep).select("g.*", "qid", "before").join(after, ["c", "s", "qid"], "left").withColumn("lost", F.greatest(F.lit(0), F.col("before") - F.coalesce("after", F.lit(0))))
-    total = lambda s: F.sum(F.when(F.col("s") == s, F.col("lost")).otherwise(0))
-    return D.ranked_weights(lost.groupBy("c").agg(total(1).alias("inflate"), total(-1).alias("deflate")))
+    truth, clean = V.exact_search(corpus, queries, TOP), V.adc_scan(codes, queries, book, depth)
+    seen = D.shift_sweep(functools.reduce(DataFrame.unionByName, lists), clean, truth, K, DELTA, depth)
+    return seen, truth, clean, codes.select("vec_id", mine.alias("c"))
+
+
+CLAIMS = SWEEP + f""", intr2 as (select top.c, top.s, top.qid, count(*) as n from top anti join (select * from cand where rank <= {TOP * 2}) cl on cl.qid = top.qid and cl.vec_id = top.vec_id join codes on codes.vec_id = top.vec_id and codes.j = {J} and codes.code = top.c group by all),
+ seen as (select c.c, g.s, base.qid, greatest(0, base.before - coalesce(l.after, 0)) as lost, coalesce(i.n, 0) as intruders from base cross join (select unnest(range({K}))::int as c) c cross join (select unnest([1, -1]) as s) g left join left_ l on l.qid = base.qid and l.c = c.c and l.s = g.s left join intr2 i on i.qid = base.qid and i.c = c.c and i.s = g.s),
+ near as (select qid, code as c from truth join codes using (vec_id) where rank = 1 and j = {J}),
+ mine as (select code as c, count(*) as n from codes where j = {J} group by 1),
+ ends as (select max_by(c, n * 1000 + c) as heavy, min_by(c, n * 1000 + c) as light, max(n) as most, min(n) as least_ from mine),
+ fan as (select sum(case when c = heavy then lost else 0 end) as x, sum(case when c = light then lost else 0 end) as y, any_value(most) as most, any_value(least_) as least_ from seen, ends where s = 1),
+ defl as (select sum(lost) as x, sum(intruders) as y from seen join near using (qid, c) where s = -1),
+ dire as (select sum(case when seen.c = near.c then lost else 0 end) as x, sum(case when seen.c = (near.c + 1) % {K} then lost else 0 end) as y from seen join near using (qid) where s = -1),
+ bounds as (select seen.qid, seen.s, any_value(seen.lost) as lost, count(*) filter ((seen.s = -1 and codes.code = seen.c) or (seen.intruders > 0 and coalesce(cl.rank - 1, {TOP * 2}) > greatest(0, {TOP * 2} - seen.intruders))) as bound from seen join near using (qid, c) join truth on truth.qid = seen.qid join codes on codes.vec_id = truth.vec_id and codes.j = {J} left join (select * from cand where rank <= {TOP * 2}) cl on cl.qid = truth.qid and cl.vec_id = truth.vec_id group by 1, 2),
+ brid as (select count_if(lost > bound) as x, count_if(lost > 0) as y from bounds)"""
+
+
+@query(f"""with {CLAIMS} select 'fan-out' as claim, x::bigint as x, y::bigint as y, case when most < 2 * least_ then 'inconclusive' when x >= y then 'held' else 'refuted' end as verdict from fan
+ union all select 'deflation channel', x::bigint, y::bigint, case when y > 0 then 'refuted' when x > 0 then 'held' else 'inconclusive' end from defl
+ union all select 'directed sampling', x::bigint, y::bigint, case when x > y then 'held' when x = 0 and y = 0 then 'inconclusive' else 'refuted' end from dire
+ union all select 'margin bridge', x::bigint, y::bigint, case when y = 0 then 'inconclusive' when x = 0 then 'held' else 'refuted' end from brid""")
+def falsification_findings(spark, sf):
+    return D.findings(*_shifted(spark, sf), K, TOP * 2, TOP)
 
 
 @query("select p_partkey, p_size, (p_partkey * 37 % 11 - 5)::double as measured, relative_error, case when relative_error <= 0.5 or (predicted = 0 and measured = 0) then 'holds' else 'refuted' end as verdict from (select p_partkey, p_size, (p_size % 7 - 3)::double as predicted, (p_partkey * 37 % 11 - 5)::double as measured, case when predicted <> 0 then abs(measured - predicted) / abs(predicted) end as relative_error from part)")

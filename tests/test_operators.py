@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestar.operators import codes as C
@@ -99,3 +100,34 @@ def test_stored_flips_and_recall_after(spark):
     found = truth.withColumn("dose", F.lit(0)).where("vec_id = 1")
     assert {r.dose: r.recall for r in damage.recall_after(found, truth, doses).collect()} == {0: 0.5, 1: 0.0}
     assert {r.recall for r in damage.recall_after(found, truth.limit(0), doses).collect()} == {None}
+
+
+def test_shift_sweep_against_brute_force(spark):
+    rng = np.random.default_rng(3)
+    k, depth, delta = 4, 8, 30
+    score = {(q, v): int(rng.integers(0, 60)) for q in range(3) for v in range(40)}
+    ranked = lambda s: {q: sorted(range(40), key=lambda v: (-s[q, v], v)) for q in range(3)}
+    clean = {q: r[:depth] for q, r in ranked(score).items()}
+    true_ = {q: set(rng.choice(40, 5, replace=False).tolist()) | set(clean[q][:3]) for q in range(3)}
+    want = {}
+    for c in range(k):
+        for s in (1, -1):
+            hurt = ranked({(q, v): x + s * delta * (v % k == c) for (q, v), x in score.items()})
+            for q in range(3):
+                now = hurt[q][:depth]
+                lost = max(0, len(true_[q] & set(clean[q])) - len(true_[q] & set(now)))
+                want[q, c, s] = (lost, sum(v not in clean[q] and v % k == c for v in now))
+    rows = spark.createDataFrame([(q, v, x, v % k) for (q, v), x in score.items()], "qid long, vec_id long, score long, code int")
+    best = Window.partitionBy("qid", "code").orderBy(F.desc("score"), "vec_id")
+    few = rows.withColumn("r", F.row_number().over(best)).where(F.col("r") <= depth).drop("r")
+    lists = spark.createDataFrame([(q, v, i + 1) for q, r in clean.items() for i, v in enumerate(r)], "qid long, vec_id long, rank int")
+    truth = spark.createDataFrame([(q, v, i + 1) for q, r in true_.items() for i, v in enumerate(sorted(r))], "qid long, vec_id long, rank int")
+    seen = damage.shift_sweep(few, lists, truth, k, delta, depth)
+    assert {(r.qid, r.c, r.s): (r.lost, r.intruders) for r in seen.collect()} == want
+    codes = spark.range(40).selectExpr("id as vec_id", f"cast(id % {k} as int) as c")
+    got = {r.claim: (r.x, r.y, r.verdict) for r in damage.findings(seen, truth, lists, codes, k, depth, 8).collect()}
+    near = {q: min(r) % k for q, r in true_.items()}
+    x, y = sum(want[q, near[q], -1][0] for q in near), sum(want[q, (near[q] + 1) % k, -1][0] for q in near)
+    assert got["fan-out"][2] == "inconclusive"  # all codes are equally full
+    assert got["directed sampling"][:2] == (x, y) and got["deflation channel"][0] == x
+    assert got["margin bridge"][0] == 0
