@@ -112,21 +112,19 @@ def likeness(x: Column, y: Column) -> Column:
     return F.when(x == y, F.lit(1.0)).when(gap.isNull() | (F.abs(gap) > 1), F.lit(0.0)).otherwise(F.coalesce(let(marks, share), F.lit(0.0)))
 
 
-def following(keys: DataFrame) -> DataFrame:
-    """(k, h, n, nk, nh): each key's next one by descending id, nulls last, then by h; the
+def following(keys: DataFrame) -> tuple[DataFrame, str]:
+    """(k, h, n, nk, nh) and its stored ranges' path: each key's next one by descending id, nulls last, then by h; the
     last one's is the first. Ids are dealt to ranges, so no task orders more than a range;
     only the ranges' heads meet."""
-    spark = keys.sparkSession
     keys, path = save(keys.repartitionByRange(F.col("id").desc_nulls_last(), "h").withColumn("b", -F.spark_partition_id()), "keys")
     w = Window.partitionBy("b").orderBy(F.col("id").desc_nulls_last(), "h")
     led = keys.select("*", F.lead("k").over(w).alias("nk"), F.lead("h").over(w).alias("nh"), F.row_number().over(w).alias("r"))
-    led, _ = save(led, "led")
-    drop(spark, path)
-    heads = sorted(((r.b, r.k, r.h) for r in led.where("r = 1").collect()), key=lambda x: -x[0])  # one a range
-    after = [(b, *heads[(i + 1) % len(heads)][1:]) for i, (b, _, _) in enumerate(heads)]
-    after = spark.createDataFrame(after, "b int, hk string, hh long")
+    heads = led.where("r = 1").select("b", "k", "h")  # one row a range, whatever the number of rows
+    first = F.max_by(F.struct("k", "h"), "b").over(Window.partitionBy())
+    after = heads.withColumn("after", F.coalesce(F.lead(F.struct("k", "h")).over(Window.orderBy(F.col("b").desc())), first))
+    after = after.select("b", F.col("after.k").alias("hk"), F.col("after.h").alias("hh"))
     pick = lambda x, y: F.when(F.col("nk").isNull(), F.col(y)).otherwise(F.col(x))
-    return led.join(F.broadcast(after), "b", "left").select("k", "h", "n", pick("nk", "hk").alias("nk"), pick("nh", "hh").alias("nh"))
+    return led.join(F.broadcast(after), "b", "left").select("k", "h", "n", pick("nk", "hk").alias("nk"), pick("nh", "hh").alias("nh")), path
 
 
 def compare(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part: int = 3) -> DataFrame:
@@ -135,10 +133,12 @@ def compare(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", par
     spark = docs.sparkSession
     text = F.coalesce(column(text_col).cast("string"), F.lit(""))
     base = docs.select(column(id_col).alias("id"), F.coalesce(column(id_col).cast("string"), F.lit("\x00")).alias("k"), text.alias("text")).withColumn("h", F.xxhash64("text"))
-    lex, _ = save(lexicon(docs, text), "lexicon")
+    lex, _ = save(lexicon(docs, text), "lexicon")  # its shuffle goes before the texts are shuffled
 
     keys = base.groupBy("k", "h", "id").agg(F.max(F.length("text")).alias("n"), F.count("*").alias("m"))
-    pairs, p_pairs = save(following(keys), "pairs")
+    led, p_keys = following(keys)
+    pairs, p_pairs = save(led, "pairs")
+    drop(spark, p_keys)
     texts = base.select("k", "h", "text")  # both joins below read one exchange of these
     single = texts
     if spark.read.parquet(p_pairs).count() < docs.count():  # equal rows: one of them is enough as next document
