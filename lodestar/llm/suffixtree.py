@@ -14,10 +14,12 @@ The stem of the tree is small and travels to all tasks: contexts of one symbol,
 of those of two the hot ones (above HOT of all tokens, at most 1 / HOT), with strings
 that make up P_MIN of all symbols, so at most 2 / P_MIN entries. All other contexts
 are leaves of the stem: they are kept by their counts alone, however many there are,
-and so grow with the corpus. No task sees them all. Each token goes, 9 bytes wide and
-packed by slice of documents, to the bucket of its last two symbols (three, if those
+and so grow with the corpus. No task sees them all. Each token goes, 9 bytes wide,
+compressed and packed by slice of documents, to the bucket of its last two symbols (three, if those
 are hot), where the states of that bucket are learnt and its tokens scored; a bucket
-has about BUCKET tokens, whatever the corpus. Per-document sums come back by slice.
+has about BUCKET tokens, whatever the corpus. Per-document sums come back by slice, by
+place in it: a slice's keys are written once. (Rows of a lost task must come again in
+their order, as those of a stored table do; otherwise the job fails.)
 
 Word counts are exact and shuffled by word (they grow with the corpus). Words above
 COMMON of all tokens, at most 1 / COMMON of them, are looked up in a broadcast
@@ -178,6 +180,19 @@ def unpack_tokens(columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (low & np.uint64((1 << 3 * BITS) - 1)).astype(np.int64), third
 
 
+def squeeze(numbers: np.ndarray) -> bytes:
+    """Small numbers of 32 bits, compressed by byte column, after the size of that."""
+    packed = pa.compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), codec="zstd", asbytes=True)
+    return np.uint32(len(packed)).tobytes() + packed
+
+
+def unsqueeze(packed: bytes, at: int, n: int) -> tuple[np.ndarray, int]:
+    """(the n numbers squeezed at that place, the place after them)."""
+    end = at + 4 + int(np.frombuffer(packed, "<u4", 1, at)[0])
+    columns = np.frombuffer(pa.decompress(packed[at + 4 : end], 4 * n, codec="zstd", asbytes=True), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(columns.T).view("<u4")[:, 0].astype(np.int64), end
+
+
 def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", p_min: float = P_MIN, frequent: float = FREQUENT, common: float = COMMON) -> DataFrame:
     """(id, in_training, n_tokens, n_known, train_tokens, base_score, score) of every row;
     ``train`` tells the rows that are learnt from."""
@@ -253,7 +268,8 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     buckets = max(32, int(every) // BUCKET)
 
     def deal(batches):
-        """Each slice's tokens by bucket: documents' keys, tokens a document, symbols, the third symbol and the use."""
+        """Each slice's tokens by bucket: documents' places in the slice, tokens a document and the use, symbols. One
+        row more, of no documents, has the keys of all of the slice's."""
         hot = shared.value[3]
         for batch in batches:
             buf, offs = text_buffers(batch.column(2))
@@ -274,9 +290,10 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
                     d = np.flatnonzero(np.diff(doc[x:y], prepend=-1))
                     of = doc[x:y][d]
                     size = (np.diff(np.append(d, y - x)).astype(np.uint32) << np.uint32(1)) | learn[a:b][of]
-                    packed.append(np.uint32(len(d)).tobytes() + who_is[a:b][of].tobytes() + size.tobytes() + pa.compress(tokens[x:y].T.tobytes(), codec="zstd", asbytes=True))
+                    packed.append(np.uint32(len(d)).tobytes() + squeeze(np.append(np.diff(of, prepend=0), size)) + pa.compress(tokens[x:y].T.tobytes(), codec="zstd", asbytes=True))
                 source = int(signed(mix64(np.bitwise_xor.reduce(mix64(who_is[a:b] + np.arange(b - a, dtype=np.uint64)), keepdims=True)))[0])
-                yield pa.RecordBatch.from_arrays([pa.array(to[edge]), pa.array(np.full(len(edge), source)), pa.array(packed, pa.binary())], ["bucket", "source", "packed"])
+                packed.append(np.uint32(0).tobytes() + who_is[a:b].tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(np.append(to[edge], source % buckets)), pa.array(np.full(len(packed), source)), pa.array(packed, pa.binary())], ["bucket", "source", "packed"])
 
     def judge(batches):
         """Learn a bucket's states and sum what its tokens gain, by slice and document."""
@@ -284,17 +301,17 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
         held: list[tuple] = []
 
         def flush():
-            who, per, learnt, tokens = [], [], [], []
+            steps, per, learnt, tokens = [], [], [], []
             for _, _, x in held:
                 d = int(np.frombuffer(x, "<u4", 1)[0])
-                who.append(np.frombuffer(x, "<u8", d, 4))
-                size = np.frombuffer(x, "<u4", d, 4 + 8 * d)
-                per.append((size >> 1).astype(np.int64))
-                learnt.append(size & 1)
+                head, end = unsqueeze(x, 4, 2 * d)
+                steps.append(head[:d])
+                per.append(head[d:] >> 1)
+                learnt.append(head[d:] & 1)
                 t = int(per[-1].sum())
-                tokens.append(np.frombuffer(pa.decompress(x[4 + 12 * d :], WIDE * t, codec="zstd", asbytes=True), np.uint8).reshape(WIDE, t))
-            docs = np.array([len(x) for x in who])
-            who, per = np.concatenate(who), np.concatenate(per)
+                tokens.append(np.frombuffer(pa.decompress(x[end:], WIDE * t, codec="zstd", asbytes=True), np.uint8).reshape(WIDE, t))
+            docs = np.array([len(x) for x in steps])
+            per = np.concatenate(per)
             key, third = unpack_tokens(np.concatenate(tokens, 1))
             weight = np.repeat(np.concatenate(learnt), per).astype(float)
             p = tree.probability(key, 2)
@@ -307,13 +324,16 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
             symbol = key & ((1 << BITS) - 1)
             gain = np.log10(p / tree.root[symbol])
             of = np.repeat(np.arange(len(per)), per)
-            gain, ends = np.bincount(of, gain, len(per)).astype("<f4"), np.bincount(of, symbol == END, len(per)).astype("<u4")
+            gain, ends = np.bincount(of, gain, len(per)).astype("<f4"), np.bincount(of, symbol == END, len(per))
             at = np.concatenate([[0], np.cumsum(docs)])
-            out = [who[x:y].tobytes() + gain[x:y].tobytes() + ends[x:y].tobytes() for x, y in zip(at[:-1], at[1:], strict=True)]
+            out = [np.uint32(len(d)).tobytes() + squeeze(np.append(d, ends[x:y])) + gain[x:y].tobytes() for d, x, y in zip(steps, at[:-1], at[1:], strict=True)]
             return pa.RecordBatch.from_arrays([pa.array([x[1] for x in held], pa.int64()), pa.array(out, pa.binary())], ["source", "gained"])
 
         for batch in batches:
             for x in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if x[2][:4] == bytes(4):  # a slice's keys go on to where its documents' sums meet
+                    yield pa.RecordBatch.from_arrays([pa.array([x[1]], pa.int64()), pa.array([x[2]], pa.binary())], ["source", "gained"])
+                    continue
                 if held and held[-1][0] != x[0]:
                     yield flush()
                     held = []
@@ -326,12 +346,18 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
         last = None
 
         def flush():
-            d = [len(x) // 16 for x in held]
-            who = np.concatenate([np.frombuffer(x, "<u8", n) for x, n in zip(held, d, strict=True)])
-            gain = np.concatenate([np.frombuffer(x, "<f4", n, 8 * n) for x, n in zip(held, d, strict=True)])
-            ends = np.concatenate([np.frombuffer(x, "<u4", n, 12 * n) for x, n in zip(held, d, strict=True)])
-            u, of = np.unique(who, return_inverse=True)
-            return pa.RecordBatch.from_arrays([pa.array(signed(u)), pa.array(np.bincount(of, gain)), pa.array(np.bincount(of, ends).astype(np.int64))], ["who", "gain", "ends"])
+            """Slices of the same documents in the same order have one source, and are summed."""
+            who = [np.frombuffer(x, "<u8", -1, 4) for x in held if x[:4] == bytes(4)]
+            if not who:
+                raise ValueError("a slice changed between attempts: the input must keep its order")
+            gain, ends = np.zeros(len(who[0])), np.zeros(len(who[0]), np.int64)
+            for x in held:
+                if d := int(np.frombuffer(x, "<u4", 1)[0]):
+                    head, end = unsqueeze(x, 4, 2 * d)
+                    of = np.cumsum(head[:d])  # ascending, so none occurs twice
+                    gain[of] += np.frombuffer(x, "<f4", d, end)
+                    ends[of] += head[d:]
+            return pa.RecordBatch.from_arrays([pa.array(signed(who[0])), pa.array(gain), pa.array(ends)], ["who", "gain", "ends"])
 
         for batch in batches:
             for source, gained in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
