@@ -44,6 +44,7 @@ from .common import LOWER, column, crc32_of_id, lean, mix64, save, signed, slice
 
 P_MIN, FREQUENT, COMMON, DISCOUNT, LEAST = 2e-6, 1e-5, 1e-6, 0.75, 2
 HOT, BUCKET = 1e-3, 500_000
+HELD, PART = 1 << 19, 1 << 19  # counts held by a task before they are handed on; bytes hashed at once
 WIDE = 9  # bytes of four symbols
 END_WORD = b"\n"  # white space: no word is equal to it
 END_HASH = int(signed(mix64(np.array([0xE0D], np.uint64)))[0])
@@ -67,17 +68,68 @@ def find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, table[at] == keys
 
 
+class Hashed:
+    """An ascending table of hashes, searched by their first bits."""
+
+    def __init__(self, table: np.ndarray):
+        bits = min(22, max(1, len(table)).bit_length() + 1)
+        self.n, self.shift = len(table), np.uint64(64 - bits)
+        self.table = np.append(table, np.iinfo(np.int64).max)
+        self.first = np.searchsorted(self.top(table), np.arange(1 << bits)).astype(np.int32)
+
+    def top(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) ^ np.uint64(1 << 63)) >> self.shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places, hits) of keys; a place without a hit may be one past the last."""
+        at = self.first[self.top(keys)]
+        there = self.table[at]
+        late = np.flatnonzero(there < keys)
+        while len(late):
+            at[late] += 1
+            there[late] = self.table[at[late]]
+            late = late[there[late] < keys[late]]
+        return at, (there == keys) & (at < self.n)
+
+
+def numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct keys, ascending; number of each key among them)."""
+    order = np.argsort(keys)
+    first, ordered = runs(keys[order])
+    number = np.empty(len(keys), np.int64)
+    number[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(keys))))
+    return ordered[first], number
+
+
+def runs(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first places of equal keys, the keys) of keys in order."""
+    new = np.ones(len(ordered), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    return np.flatnonzero(new), ordered
+
+
 def tail_class(low: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     before = np.where(end - start > 1, low[np.maximum(end - 2, 0)], 0).astype(np.int64)
     return CLASSES + before * 256 + low[end - 1]
 
 
-def sequence(low: np.ndarray, offs: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def hashed_words(low: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, document, hash) of every word, by parts of whole documents: hashing takes 50 times their bytes."""
+    parts = []
+    for a, b in slices(offs, PART):
+        part = low[offs[a] : offs[b]]
+        start, end, doc = word_spans(part, offs[a : b + 1] - offs[a])
+        parts.append((start + offs[a], end + offs[a], doc + a, word_hashes(part, start, end)))
+    start, end, doc, h = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return start, end, doc, h
+
+
+def sequence(low: np.ndarray, offs: np.ndarray, frequent: Hashed) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, token number within the document, document) of start, words and end of each document."""
     rows = len(offs) - 1
-    start, end, doc = word_spans(low, offs)
+    start, end, doc, h = hashed_words(low, offs)
     per = np.bincount(doc, minlength=rows)
-    at, hit = find(frequent, signed(word_hashes(low, start, end)))
+    at, hit = frequent.find(signed(h))
     out = np.full(len(doc) + 2 * rows, END, np.int64)
     first = np.cumsum(per + 2) - (per + 2)
     out[first] = START
@@ -86,13 +138,18 @@ def sequence(low: np.ndarray, offs: np.ndarray, frequent: np.ndarray) -> tuple[n
     return out, np.arange(len(out)) - first[who], who
 
 
-def strings(symbols: np.ndarray, place: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, keys) of all symbols with ``order`` symbols before them."""
+def strings(symbols: np.ndarray, place: np.ndarray, order: int, contexts: np.ndarray | None = None) -> np.ndarray:
+    """Keys of all symbols with ``order`` symbols before them; of those after ``contexts`` (ascending) only."""
     at = np.flatnonzero(place >= max(order, 1))
+    if contexts is not None:
+        for j in range(order, 0, -1):  # few symbols occur in contexts
+            there = np.zeros(1 << BITS, bool)
+            there[(contexts >> BITS * (j - 1)) & ((1 << BITS) - 1)] = True
+            at = at[there[symbols[at - j]]]
     key = np.zeros(len(at), np.int64)
     for j in range(order, -1, -1):
         key = (key << BITS) | symbols[at - j]
-    return at, key
+    return key if contexts is None else key[find(contexts, key >> BITS)[1]]
 
 
 class Tree:
@@ -145,19 +202,17 @@ def diverges(gain: np.ndarray, total: np.ndarray, rest: np.ndarray, mass: np.nda
     return (per > 0) & (2 * (gain + other) > per + 4 * np.sqrt(2.0 * per))
 
 
-def leaves(string: np.ndarray, context: np.ndarray, weight: np.ndarray, parent: np.ndarray, least: int = LEAST) -> np.ndarray:
-    """Probability of each token after its context if that is retained, else its parent's. ``string`` and
-    ``context`` number the tokens' strings and contexts; weight 1: learnt from."""
-    _, first, inverse = np.unique(string, return_index=True, return_inverse=True)
-    c, p = np.bincount(inverse, weight, len(first)), parent[first]
-    _, of = np.unique(context[first], return_inverse=True)
+def leaves(string: np.ndarray, context: np.ndarray, weight: np.ndarray, p: np.ndarray, least: int = LEAST) -> np.ndarray:
+    """Probability of each string's symbol after its context if that is retained, else ``p``, its parent's. ``string``
+    numbers the tokens' strings, ``context`` the strings' contexts; weight 1: learnt from."""
+    c = np.bincount(string, weight, len(p))
     ok = c >= least
-    add = lambda x: np.bincount(of, np.where(ok, x, 0.0))
-    total, per, summed = np.bincount(of, c), add(1.0), add(c)
+    add = lambda x: np.bincount(context, np.where(ok, x, 0.0))
+    total, per, summed = np.bincount(context, c), add(1.0), add(c)
     safe = np.maximum(total, 1.0)
-    keep = diverges(add(c * np.log(np.maximum(c, 1.0) / safe[of] / p)), safe, total - summed, add(p), per)
-    own, back = np.where(ok, (c - DISCOUNT) / safe[of], 0.0), (total - summed + DISCOUNT * per) / safe
-    return np.where(keep[of], own + back[of] * p, p)[inverse]
+    keep = diverges(add(c * np.log(np.maximum(c, 1.0) / safe[context] / p)), safe, total - summed, add(p), per)
+    own, back = np.where(ok, (c - DISCOUNT) / safe[context], 0.0), (total - summed + DISCOUNT * per) / safe
+    return np.where(keep[context], own + back[context] * p, p)
 
 
 def windows(symbols: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -201,17 +256,34 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     texts = docs.select(column(id_col).alias("id"), train.alias("train"), column(text_col).cast("string").alias("text"))
 
     def count(batches):
+        held: list[tuple] = []
+
+        def flush():
+            """One row for each word of the slices held."""
+            h, c, m = (np.concatenate([x[i] for x in held]) for i in (0, 2, 3))
+            order = np.argsort(h)
+            first, h = runs(h[order])
+            words = pa.concat_arrays([x[1] for x in held]).take(pa.array(order[first]))
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(signed(h[first])), words, *(pa.array(np.add.reduceat(x[order], first)) for x in (c, m))], ["h", "w", "c", "m"])
+
         for batch in batches:
-            learn = batch.column(0).to_numpy(zero_copy_only=False).astype(bool)
+            learn = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             buf, offs = text_buffers(batch.column(1))
             for a, b in slices(offs, 4 << 20):
                 low = LOWER[buf[offs[a] : offs[b]]]
-                start, end, doc = word_spans(low, offs[a : b + 1] - offs[a])
-                h, first, inverse, m = np.unique(word_hashes(low, start, end), return_index=True, return_inverse=True, return_counts=True)
-                c = np.bincount(inverse, learn[a:b][doc], len(h)).astype(np.int64)
-                words = gather(low, start[first], end[first])
-                yield pa.RecordBatch.from_arrays([pa.array(signed(h)), words, pa.array(c), pa.array(m.astype(np.int64))], ["h", "w", "c", "m"])
+                start, end, doc, h = hashed_words(low, offs[a : b + 1] - offs[a])
+                if not len(h):
+                    continue
+                order = np.argsort(h)
+                first, h = runs(h[order])
+                one = order[first]
+                held.append((h[first], gather(low, start[one], end[one]), np.add.reduceat(learn[a:b][doc[order]], first), np.diff(np.append(first, len(h)))))
+                if sum(len(x[0]) for x in held) > HELD:
+                    yield flush()
             yield pa.RecordBatch.from_arrays([pa.array([END_HASH]), pa.array([END_WORD], pa.binary()), pa.array([int(learn.sum())]), pa.array([len(batch)])], ["h", "w", "c", "m"])
+        if held:
+            yield flush()
 
     counted = texts.select("train", "text").mapInArrow(lean(count), "h long, w binary, c long, m long")
     words, _ = save(counted.groupBy("h", "w").agg(F.sum("c").alias("c"), F.sum("m").alias("m")), "words")
@@ -244,15 +316,23 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
         """Strings of one order that make up p_min of all, after those contexts."""
 
         def run(batches):
+            frequent = Hashed(symbol_hashes)
+            held: list[np.ndarray] = []
+
+            def flush():
+                key, c = np.unique(np.concatenate(held), return_counts=True)
+                held.clear()
+                return pa.RecordBatch.from_arrays([pa.array(key), pa.array(c)], ["k", "c"])
+
             for batch in batches:
                 buf, offs = text_buffers(batch.column(0))
                 for a, b in slices(offs, 4 << 20):
-                    symbols, place, _ = sequence(LOWER[buf[offs[a] : offs[b]]], offs[a : b + 1] - offs[a], symbol_hashes)
-                    _, key = strings(symbols, place, order)
-                    if contexts is not None:
-                        key = key[find(contexts, key >> BITS)[1]]
-                    key, c = np.unique(key, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(c)], ["k", "c"])
+                    symbols, place, _ = sequence(LOWER[buf[offs[a] : offs[b]]], offs[a : b + 1] - offs[a], frequent)
+                    held.append(strings(symbols, place, order, contexts))
+                    if sum(map(len, held)) > 4 * HELD:
+                        yield flush()
+            if held:
+                yield flush()
 
         found = texts.where("train").select("text").mapInArrow(lean(run), "k long, c long").groupBy("k").agg(F.sum("c").alias("c"))
         found = found.where(F.col("c") >= F.lit(max(float(LEAST), p_min * n))).toArrow().sort_by("k")  # at most 1 / p_min
@@ -270,20 +350,24 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     def deal(batches):
         """Each slice's tokens by bucket: documents' places in the slice, tokens a document and the use, symbols. One
         row more, of no documents, has the keys of all of the slice's."""
-        hot = shared.value[3]
+        hot = Hashed(np.sort(signed(mix64(shared.value[3].astype(np.uint64)))))
+        frequent = Hashed(symbol_hashes)
         for batch in batches:
             buf, offs = text_buffers(batch.column(2))
             who_is = batch.column(1).to_numpy().view(np.uint64)
             learn = batch.column(0).to_numpy(zero_copy_only=False).astype(np.uint32)
             for a, b in slices(offs, 16 << 20):
-                symbols, place, doc = sequence(LOWER[buf[offs[a] : offs[b]]], offs[a : b + 1] - offs[a], symbol_hashes)
+                symbols, place, doc = sequence(LOWER[buf[offs[a] : offs[b]]], offs[a : b + 1] - offs[a], frequent)
                 at, key, third = windows(symbols, place)
                 doc = doc[at]
                 context = (key >> BITS).astype(np.uint64)
-                context = np.where(find(hot, key >> BITS)[1], mix64(context + np.uint64(1)) ^ third.astype(np.uint64), context)
-                to = ((mix64(context) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+                mixed = mix64(context)
+                wide = np.flatnonzero(hot.find(signed(mixed))[1])
+                mixed[wide] = mix64(mix64(context[wide] + np.uint64(1)) ^ third[wide].astype(np.uint64))
+                # numbers of 16 bits are sorted fastest
+                to = ((mixed >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.uint16 if buckets <= 1 << 16 else np.int64)
                 by = np.argsort(to, kind="stable")
-                to, doc, tokens = to[by], doc[by], pack_tokens(key[by], third[by])
+                to, doc, tokens = to[by].astype(np.int64), doc[by], pack_tokens(key[by], third[by])
                 edge = np.flatnonzero(np.diff(to, prepend=-1))
                 packed = []
                 for x, y in zip(edge, [*edge[1:], len(to)], strict=True):
@@ -314,17 +398,19 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
             per = np.concatenate(per)
             key, third = unpack_tokens(np.concatenate(tokens, 1))
             weight = np.repeat(np.concatenate(learnt), per).astype(float)
-            p = tree.probability(key, 2)
-            _, string = np.unique(key, return_inverse=True)
-            _, context = np.unique(key >> BITS, return_inverse=True)
+            last = (1 << BITS) - 1
+            keys, string = numbered(key)
+            p = tree.probability(keys, 2)
+            context = np.cumsum(np.diff(keys >> BITS, prepend=keys[:1] >> BITS) != 0)
             second = leaves(string, context, weight, p)
             # the stem has the states of hot contexts
-            p = np.where(find(shared.value[3], key >> BITS)[1], p, second)
-            p = leaves((string << BITS) | third, (context << BITS) | third, weight, p)
-            symbol = key & ((1 << BITS) - 1)
-            gain = np.log10(p / tree.root[symbol])
+            p = np.where(find(shared.value[3], keys >> BITS)[1], p, second)
+            longer, number = numbered((string << BITS) | third)
+            of = longer >> BITS  # the shorter string of each
+            p = leaves(number, numbered((context[of] << BITS) | (longer & last))[1], weight, p[of])
+            gain = np.log10(p / tree.root[keys[of] & last])[number]
             of = np.repeat(np.arange(len(per)), per)
-            gain, ends = np.bincount(of, gain, len(per)).astype("<f4"), np.bincount(of, symbol == END, len(per))
+            gain, ends = np.bincount(of, gain, len(per)).astype("<f4"), np.bincount(of, key & last == END, len(per))
             at = np.concatenate([[0], np.cumsum(docs)])
             out = [np.uint32(len(d)).tobytes() + squeeze(np.append(d, ends[x:y])) + gain[x:y].tobytes() for d, x, y in zip(steps, at[:-1], at[1:], strict=True)]
             return pa.RecordBatch.from_arrays([pa.array([x[1] for x in held], pa.int64()), pa.array(out, pa.binary())], ["source", "gained"])
@@ -378,19 +464,20 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
 
     def add(batches):
         _, hs, cs, _ = shared.value
+        often = Hashed(hs)
         base_lp, rid = np.log10(cs + 1.0) - floor, TaskContext.get().partitionId() << 33
         for batch in batches:
             buf, offs = text_buffers(batch.column(3))
             for a, b in slices(offs, 4 << 20):
                 low, rows = LOWER[buf[offs[a] : offs[b]]], b - a
-                start, end, doc = word_spans(low, offs[a : b + 1] - offs[a])
-                h = np.concatenate([signed(word_hashes(low, start, end)), np.full(rows, END_HASH)])
+                _, _, doc, h = hashed_words(low, offs[a : b + 1] - offs[a])
+                h = np.concatenate([signed(h), np.full(rows, END_HASH)])
                 doc = np.concatenate([doc, np.arange(rows)])
-                at, hit = find(hs, h)
+                at, hit = often.find(h)
                 got, owner = at[hit], doc[hit]
                 base, known = (np.bincount(owner, x[got], rows) for x in (base_lp, (cs > 0).astype(float)))
-                order = np.argsort(doc[~hit], kind="stable")
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(doc[~hit], minlength=rows))]), pa.int32()), pa.array(h[~hit][order]))
+                rest = np.flatnonzero(~hit)  # words in order of documents: ends are all in the table
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(doc[rest], minlength=rows))]), pa.int32()), pa.array(h[rest]))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.arange(rid, rid + rows)), *(batch.column(i).slice(a, rows) for i in range(3)), pa.array(np.bincount(doc, minlength=rows).astype(np.int64)), pa.array(base), pa.array(known.astype(np.int64)), lists],
                     ["rid", "id", "train", "who", "n", "base", "known", "rest"],
