@@ -21,6 +21,8 @@ agree on the rung they share.
 
 The document frequencies are shuffled as partial counts; only terms of the rungs
 written out, a few dozen a document whatever its length, are joined with the lexicon.
+Each step's shuffle files and tables go when the next one no longer reads them, so the
+disk holds one step, not all of them.
 
 Defined results: null text is empty; a text without terms has a hash of the whole
 text as fingerprint, like only to itself; ids may be of any ordered type; a null id
@@ -116,7 +118,7 @@ def following(keys: DataFrame) -> tuple[DataFrame, str]:
     """(k, h, n, nk, nh) and its stored ranges' path: each key's next one by descending id, nulls last, then by h; the
     last one's is the first. Ids are dealt to ranges, so no task orders more than a range;
     only the ranges' heads meet."""
-    keys, path = save(keys.repartitionByRange(F.col("id").desc_nulls_last(), "h").withColumn("b", -F.spark_partition_id()), "keys")
+    keys, path = save(keys.repartitionByRange(F.col("id").desc_nulls_last(), "h").withColumn("b", -F.spark_partition_id()), "keys", tidy=True)
     w = Window.partitionBy("b").orderBy(F.col("id").desc_nulls_last(), "h")
     led = keys.select("*", F.lead("k").over(w).alias("nk"), F.lead("h").over(w).alias("nh"), F.row_number().over(w).alias("r"))
     heads = led.where("r = 1").select("b", "k", "h")  # one row a range, whatever the number of rows
@@ -133,11 +135,11 @@ def compare(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", par
     spark = docs.sparkSession
     text = F.coalesce(column(text_col).cast("string"), F.lit(""))
     base = docs.select(column(id_col).alias("id"), F.coalesce(column(id_col).cast("string"), F.lit("\x00")).alias("k"), text.alias("text")).withColumn("h", F.xxhash64("text"))
-    lex, _ = save(lexicon(docs, text), "lexicon")  # its shuffle goes before the texts are shuffled
+    lex, p_lex = save(lexicon(docs, text), "lexicon", tidy=True)  # its shuffle goes before the texts are shuffled
 
     keys = base.groupBy("k", "h", "id").agg(F.max(F.length("text")).alias("n"), F.count("*").alias("m"))
     led, p_keys = following(keys)
-    pairs, p_pairs = save(led, "pairs")
+    pairs, p_pairs = save(led, "pairs", tidy=True)
     drop(spark, p_keys)
     texts = base.select("k", "h", "text")  # both joins below read one exchange of these
     single = texts
@@ -153,7 +155,8 @@ def compare(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", par
     both = both.select("k", "h", "nk", "nh", F.length("text").alias("n"), F.sha2("edited", 256).alias("edited_sha256"), F.sha2("text", 256).alias("sha"), terms.alias("x"), more.alias("y"))
     both = both.withColumn("lx", _level(F.size("x"))).withColumn("ly", _level(F.size("y")))
     rows = both.select(F.monotonically_increasing_id().alias("rid"), "k", "h", "nk", "nh", "n", "edited_sha256", "sha", "lx", "ly", _sample(F.col("x"), F.col("lx")).alias("x"), _sample(F.col("y"), F.col("ly")).alias("y"))
-    rows, _ = save(rows, "drafts")
+    rows, p_rows = save(rows, "drafts", tidy=True)
+    drop(spark, p_pairs)
 
     # sampled terms that are counted; a term of both texts is joined once
     found = rows.select("rid", F.explode(F.array_union("x", "y")).alias("t")).join(lex, "t").groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("df", "t", "band"))).alias("in"))
@@ -162,7 +165,8 @@ def compare(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", par
     picks = lambda c, lv: (chosen(F.col(c), F.col("in")).alias(f"{c}1"), chosen(_sample(F.col(c), F.col(lv) + 1), F.col("in")).alias(f"{c}2"))
     prints = prints.select("k", "h", "nk", "nh", "n", "edited_sha256", "sha", "lx", "ly", *picks("x", "lx"), *picks("y", "ly"))
     prints = prints.select("k", "h", "nk", "nh", "n", "edited_sha256", fingerprint(F.col("x1"), F.col("x2"), F.col("lx"), F.col("sha")).alias("f"), fingerprint(F.col("y1"), F.col("y2"), F.col("ly"), F.col("edited_sha256")).alias("e"))
-    prints, _ = save(prints, "prints")
+    prints, _ = save(prints, "prints", tidy=True)
+    drop(spark, p_lex, p_rows)
     nexts = prints.select(F.col("k").alias("nk"), F.col("h").alias("nh"), F.col("f").alias("g")).groupBy("nk", "nh").agg(F.max("g").alias("g"))
     out = prints.join(nexts, ["nk", "nh"])
     id_type = docs.select(column(id_col)).schema[0].dataType
