@@ -114,7 +114,7 @@ def tail_class(low: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
 
 
 def hashed_words(low: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, document, hash) of every word, by parts of whole documents: hashing takes 50 times their bytes."""
+    """(start, end, document, hash) of every word, by parts of whole documents: hashing takes many times their bytes."""
     parts = []
     for a, b in slices(offs, PART):
         part = low[offs[a] : offs[b]]
