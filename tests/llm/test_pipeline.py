@@ -96,3 +96,10 @@ def test_long_texts_are_cut_whole(spark, monkeypatch):
             if starts[t[i : i + 400]] > 1:
                 gone |= set(range(i, i + 400))
         assert r.text == "".join(c for i, c in enumerate(t) if i not in gone) and r.n_removed == len(gone) > 2000
+
+
+def test_one_byte_repeated_over_whole_pieces_goes_whole(spark):
+    texts = ["x" * (k * repeats.PIECE + 399 + more) for k, more in ((1, 0), (1, -1), (2, 0))]
+    texts = [t.replace("x", c) for t, c in zip(texts, "xyz", strict=True)]  # no text repeats another's strings
+    out = repeats.remove_repeats(_frame(spark, texts), length=400).collect()
+    assert {r.doc_id: (r.n_removed, r.n_spans, r.text) for r in out} == {i: (len(t), 1, "") for i, t in enumerate(texts)}
