@@ -1,9 +1,10 @@
 """Vector search operators: narrowing, codebooks, encoding, tables, scans, rescoring.
 
-Every scan works on Arrow batches with a bounded model (codebook, lookup tables or
-query block) in the closure and keeps each batch's best rows only, under the total
-order (score, then id); one shuffle by query then picks the final ones. Nothing is
-collected but models of fixed size.
+Every scan scores ROWS rows by STEP queries at a time and keeps a task's best rows of
+each query only, under the total order (score, then id); one shuffle by query then picks
+the final ones. A score is a product of two rows, so of whole numbers it is exact in the
+narrowest type that holds all its sums. Nothing is collected but the codebook and blocks
+of queries, whose size is bounded by what a scan keeps of them.
 """
 
 from __future__ import annotations
@@ -15,8 +16,10 @@ from pyspark.sql import functions as F
 
 #: Fixed scale and limit of the int8 narrowing (see narrow()).
 SCALE, PEAK = 40.0, 127
-#: Queries that are scored in one scan.
-BLOCK = 2048
+#: Queries that are scored in one scan at most, and best rows that it keeps in a task at most.
+BLOCK, KEPT = 1 << 16, 1 << 21
+#: Rows and queries that are scored at a time.
+ROWS, STEP = 4096, 512
 
 
 def let(value: Column, body) -> Column:
@@ -51,33 +54,131 @@ def matrix(col: pa.Array) -> np.ndarray:
     return flat.reshape(len(col), -1) if len(col) else np.zeros((0, 0))
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, r: int) -> np.ndarray:
-    """Places of the r largest scores, ties by smaller id."""
-    if len(ids) > r:
-        cut = np.partition(scores, len(ids) - r)[len(ids) - r]
-        near = np.flatnonzero(scores >= cut)
-    else:
-        near = np.arange(len(ids))
-    return near[np.lexsort((ids[near], -scores[near]))[:r]]
+class Best:
+    """The best r rows so far of each of n queries, ties by smaller id; new ones wait until as many have come."""
+
+    def __init__(self, n: int, r: int, kind=np.int64):
+        self.n, self.r, self.warm = n, r, False
+        self.q, self.score, self.ids = np.zeros(0, np.int64), np.zeros(0, kind), np.zeros(0, np.int64)
+        self.least = np.full(n, np.iinfo(np.int64).min if kind == np.int64 else -np.inf, kind)
+        self.last = np.full(n, np.iinfo(np.int64).max)
+        self.waiting: list[tuple] = []
+
+    def offer(self, s: np.ndarray, ids: np.ndarray, exact=None, slack: np.ndarray | int = 0) -> None:
+        """Scores [query, row]; if a query's are off by up to its ``slack``, exact(query, row) gives those of places."""
+        least, slack = self.least.astype(s.dtype), np.asarray(slack, s.dtype)
+        if s.dtype.kind == "f":
+            least = np.nextafter(least, s.dtype.type(-np.inf)) - slack
+        if not self.warm and len(ids) > self.r:
+            cut = np.partition(s, len(ids) - self.r, axis=1)[:, len(ids) - self.r]
+            least = np.maximum(least, cut - 2 * slack)
+        at = np.flatnonzero(s >= least[:, None])
+        q, c = np.divmod(at, len(ids))
+        score = (s.ravel()[at] if exact is None else exact(q, c)).astype(self.score.dtype)
+        better = (score > self.least[q]) | (score == self.least[q]) & (ids[c] < self.last[q])
+        self.waiting.append((q[better], score[better], ids[c[better]]))
+        if sum(len(w[0]) for w in self.waiting) >= self.n * self.r:
+            self.merge()
+
+    def merge(self) -> None:
+        q, score, ids = (np.concatenate(x) for x in zip((self.q, self.score, self.ids), *self.waiting, strict=True))
+        self.waiting = []
+        order = np.lexsort((ids, -score, q))
+        q = q[order]
+        keep = np.arange(len(q)) - np.searchsorted(q, np.arange(self.n))[q] < self.r
+        self.q, self.score, self.ids = q[keep], score[order[keep]], ids[order[keep]]
+        size = np.bincount(self.q, minlength=self.n)
+        full, end = size == self.r, np.cumsum(size) - 1
+        self.least[full], self.last[full], self.warm = self.score[end[full]], self.ids[end[full]], bool(full.all())
+
+
+def narrowest(x: np.ndarray) -> np.ndarray:
+    """The same values in the smallest type that holds them."""
+    for kind in (np.int8, np.int16, np.int32, np.float32):
+        with np.errstate(invalid="ignore"):
+            y = x.astype(kind)
+        if (y == x).all():
+            return y
+    return x
+
+
+def _pieces(batches, size: int):
+    """(ids, vectors) of ``size`` rows each but the last, whatever the batches' sizes."""
+    ids, x, n = [], [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids, x, n = [*ids, batch.column(0).to_numpy()], [*x, matrix(batch.column(1))], n + batch.num_rows
+        if n >= size:
+            ids, x = np.concatenate(ids), np.concatenate(x)
+            for at in range(0, n - n % size, size):
+                yield ids[at : at + size], x[at : at + size]
+            ids, x, n = [ids[n - n % size :]], [x[n - n % size :]], n % size
+    if n:
+        yield np.concatenate(ids), np.concatenate(x)
+
+
+def product(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """left @ right.T of whole numbers, in the narrowest type in which no sum is rounded."""
+    most = float(np.abs(left).max(0, initial=0).astype(float) @ np.abs(right).max(0, initial=0).astype(float))
+    kind = np.float32 if most < 1 << 24 else np.float64 if most < 1 << 53 else np.int64
+    return left.astype(kind) @ right.astype(kind).T
+
+
+def far(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
+    """Inner products, or negated squared distances, of pairs of rows, summed in the order of the components."""
+    out = np.zeros(len(a))
+    for t in range(a.shape[1]):
+        out += a[:, t] * b[:, t] if metric == "ip" else -((a[:, t] - b[:, t]) ** 2)
+    return out
 
 
-def _scan(corpus: DataFrame, vec: str, qids: np.ndarray, score, r: int, kind: str = "long") -> DataFrame:
-    """(qid, vec_id, score, rank): best r rows of each query; score(block) -> [query, row]."""
+def ranked(found: DataFrame, r: int, grouped: bool = False) -> DataFrame:
+    """(qid, vec_id, score, rank): the best r of each query's lists, or with a column code of each query and group."""
+    if not grouped:
+        found = found.drop("code")
+    rank = F.row_number().over(Window.partitionBy("qid", *["code"] * grouped).orderBy(F.desc("score"), "vec_id"))
+    return (found.repartition("qid") if grouped else found).withColumn("rank", rank).where(F.col("rank") <= r)
 
-    def run(batches):
-        for batch in batches:
-            ids = batch.column(0).to_numpy()
-            s = score(matrix(batch.column(1)), ids)
-            if not len(ids):
-                continue
-            picks = [_best(s[i], ids, r) for i in range(len(qids))]
-            n = [len(p) for p in picks]
-            flat = np.concatenate(picks)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, n)), pa.array(ids[flat]), pa.array(np.concatenate([s[i][p] for i, p in enumerate(picks)]).astype(np.int64 if kind == "long" else np.float64))], ["qid", "vec_id", "score"])
 
-    found = corpus.select("vec_id", vec).mapInArrow(run, f"qid long, vec_id long, score {kind}")
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= r)
+def lists(corpus: DataFrame, vec: str, qids: np.ndarray, left, right, r: int, exact=None, by=None, groups: int = 1) -> DataFrame:
+    """(qid, vec_id, score, code): a task's best r rows of each query by left() [query, f] times right(rows) [row, f], of
+    whole numbers; exact(query, row vectors) scores floats, for which the product is off by its rounding.
+    ``by``: the group (code) of each row, below ``groups``; the best r of each are kept."""
+    kind = np.int64 if exact is None else np.float64
+
+    def run(batches):
+        all_ = left()
+        best = [[Best(len(qids[at : at + STEP]), r, kind) for _ in range(groups)] for at in range(0, len(qids), STEP)]
+        for ids, x in _pieces(batches, ROWS * min(groups, 4)):
+            if exact is not None:
+                finite = np.isfinite(x).all(1)  # a row that is not is no nearer than any
+                ids, x = ids[finite], x[finite]
+            feature, code = right(x), None if by is None else by(x)
+            for g in range(groups):
+                mine = slice(None) if by is None else np.flatnonzero(code == g)
+                f, some = feature[mine], ids[mine]
+                if not len(some):
+                    continue
+                for b, part in enumerate(best):
+                    lo = b * STEP
+                    queries = all_[lo : lo + STEP]
+                    if exact is None:
+                        part[g].offer(product(queries, f), some)
+                        continue
+                    y, s = x[mine], queries.astype(np.float32) @ f.astype(np.float32).T
+                    slack = np.abs(queries) @ np.abs(f).max(0) * (f.shape[1] + 8) * 2.0**-23
+                    score = lambda q, c, lo=lo, y=y: np.concatenate([np.zeros(0), *(exact(lo + q[i : i + (1 << 16)], y[c[i : i + (1 << 16)]]) for i in range(0, len(q), 1 << 16))])
+                    part[g].offer(s, some, score, slack)
+        for b, part in enumerate(best):
+            for g, one in enumerate(part):
+                one.merge()
+                code = pa.array(np.full(len(one.q), g, np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(qids[b * STEP + one.q]), pa.array(one.ids), pa.array(one.score), code], ["qid", "vec_id", "score", "code"])
+
+    # as a task keeps its best rows only, few tasks for all cores leave less to shuffle
+    some = corpus.select("vec_id", vec).coalesce(4 * corpus.sparkSession.sparkContext.defaultParallelism)
+    return some.mapInArrow(run, f"qid long, vec_id long, score {'long' if exact is None else 'double'}, code int")
 
 
 def query_block(queries: DataFrame, vec: str) -> tuple[np.ndarray, np.ndarray]:
@@ -86,21 +187,22 @@ def query_block(queries: DataFrame, vec: str) -> tuple[np.ndarray, np.ndarray]:
     return got.column(0).to_numpy(), matrix(got.column(1)).astype(np.float64)
 
 
-def query_blocks(queries: DataFrame, vec: str):
-    """Blocks (ids, vectors) of about BLOCK queries, dealt by a hash of the id; each takes one scan."""
-    parts = -(-queries.count() // BLOCK)
+def query_blocks(queries: DataFrame, vec: str, each: int = 1):
+    """Blocks (ids, vectors) of at most about BLOCK queries, of which ``each`` rows are kept, dealt by a hash of the id;
+    each takes one scan."""
+    parts = -(-queries.count() // max(1, min(BLOCK, KEPT // each)))
     for b in range(parts):
         yield query_block(queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(parts)) == b) if parts > 1 else queries, vec)
 
 
-def in_blocks(queries: DataFrame, vec: str, scan) -> DataFrame:
-    """The union of scan(ids, vectors) over blocks of queries."""
+def in_blocks(queries: DataFrame, vec: str, scan, each: int, kind: str = "long") -> DataFrame:
+    """The union of the lists of scan(ids, vectors) over blocks of queries."""
     out = None
-    for qids, q in query_blocks(queries, vec):
-        one = scan(qids, q)
+    for qids, q in query_blocks(queries, vec, each):
+        one = scan(qids, narrowest(q))
         out = one if out is None else out.unionByName(one)
     if out is None:
-        out = queries.sparkSession.createDataFrame([], "qid long, vec_id long, score long, rank int")
+        out = queries.sparkSession.createDataFrame([], f"qid long, vec_id long, score {kind}, code int")
     return out
 
 
@@ -108,14 +210,20 @@ def exact_search(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "i
     """Exact top-k by inner product, or by negated squared distance; ``exact``: of integers."""
 
     def scan(qids, q):
-        def score(x, ids):
-            x = x.astype(np.float64).reshape(len(ids), -1)
-            s = q @ x.T  # of integers exact: below 2**53
-            return s if metric == "ip" else 2 * s - (x * x).sum(1)[None, :] - (q * q).sum(1)[:, None]
+        kind = np.int64 if exact else np.float64
 
-        return _scan(corpus, vec, qids, score, k, "long" if exact else "double")
+        def left():
+            a = q.astype(kind)
+            return a if metric == "ip" else np.column_stack([2 * a, np.full(len(a), -1), -(a * a).sum(1)])
 
-    return in_blocks(queries, vec, scan)
+        def right(x):
+            a = x.astype(kind)
+            return a if metric == "ip" else np.column_stack([a, (a * a).sum(1), np.ones(len(a), kind)])
+
+        floats = None if exact else lambda at, rows: far(q[at].astype(np.float64), rows.astype(np.float64), metric)
+        return lists(corpus, vec, qids, left, right, k, floats)
+
+    return ranked(in_blocks(queries, vec, scan, k, "long" if exact else "double"), k)
 
 
 class Codebook:
@@ -185,23 +293,30 @@ def encode(corpus: DataFrame, book: Codebook, vec: str = "v") -> DataFrame:
     return corpus.select("vec_id", vec).mapInArrow(run, "vec_id long, codes array<int>")
 
 
-def adc_scan(codes: DataFrame, queries: DataFrame, book: Codebook, r: int, metric: str = "l2", vec: str = "v", shift: tuple[int, int, int] | None = None) -> DataFrame:
+def adc_scan(codes: DataFrame, queries: DataFrame, book: Codebook, r: int, metric: str = "l2", vec: str = "v", shift: tuple[int, int, int] | None = None, by: int | None = None) -> DataFrame:
     """Compressed scan to r candidates a query; a code beyond the table adds nothing.
-    ``shift``: (subspace, centroid, amount) added to the score of all rows with that code."""
+    ``shift``: (subspace, centroid, amount) added to the score of all rows with that code.
+    ``by``: a subspace, of whose every code the best r are kept, with a column code.
+
+    What the tables add up to is the product with the centroids of the codes, side by side."""
 
     def scan(qids, q):
-        tables = book.tables(q, metric)
-        if shift:
-            tables[:, shift[0], shift[1]] += shift[2]
+        def left():
+            a = q.astype(np.int64)
+            parts = [a] if metric == "ip" else [2 * a, np.full((len(a), 1), -1)]
+            return np.column_stack(parts + ([np.full((len(a), 1), shift[2])] if shift else []))
 
-        def score(x, ids):
-            c = x.astype(np.int64).reshape(len(ids), book.m)
-            ok, c = (c >= 0) & (c < book.k), np.clip(c, 0, book.k - 1)
-            return sum(tables[:, j][:, c[:, j]] * ok[:, j] for j in range(book.m))
+        def right(x):
+            c = x.astype(np.int64).reshape(len(x), book.m)
+            ok = (c >= 0) & (c < book.k)
+            w = (book.w[np.arange(book.m), np.clip(c, 0, book.k - 1)] * ok[:, :, None]).reshape(len(c), book.m * book.ds)
+            parts = [w] if metric == "ip" else [w, (w * w).sum(1)]
+            return np.column_stack(parts + ([c[:, shift[0]] == shift[1]] if shift else []))
 
-        return _scan(codes, "codes", qids, score, r)
+        code = None if by is None else lambda x: x.reshape(len(x), book.m)[:, by]
+        return lists(codes, "codes", qids, left, right, r, None, code, 1 if by is None else book.k)
 
-    return in_blocks(queries, vec, scan)
+    return ranked(in_blocks(queries, vec, scan, r * (1 if by is None else book.k)), r, by is not None)
 
 
 def rerank(candidates: DataFrame, records: DataFrame, queries: DataFrame, k: int, vec: str = "v", metric: str = "ip", tags: tuple[str, ...] = ()) -> DataFrame:
@@ -232,14 +347,18 @@ def score_histogram(corpus: DataFrame, queries: DataFrame, vec: str = "v") -> Da
     """(score, n) of all queries' integer inner products with all rows: counts only leave a task."""
     out = None
     for _, q in query_blocks(queries, vec):
+        q = narrowest(q)
 
         def run(batches, q=q):
-            for batch in batches:
-                x = matrix(batch.column(0)).astype(np.float64)
-                score, n = np.unique((q @ x.reshape(len(batch), -1).T).astype(np.int64), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(score), pa.array(n)], ["score", "n"])
-
-        one = corpus.select(vec).mapInArrow(run, "score long, n long")
+            score, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+            for _, x in _pieces(batches, ROWS):
+                for at in range(0, len(q), STEP):
+                    s, one = np.unique(product(q[at : at + STEP].astype(np.int64), x.astype(np.int64)).astype(np.int64), return_counts=True)
+                    score, place = np.unique(np.concatenate([score, s]), return_inverse=True)
+                    n = np.bincount(place, np.concatenate([n, one]), len(score)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(score), pa.array(n)], ["score", "n"])
+
+        one = corpus.select("vec_id", vec).mapInArrow(run, "score long, n long")
         out = one if out is None else out.unionByName(one)
     return out.groupBy("score").agg(F.sum("n").alias("n"))
 
