@@ -6,10 +6,14 @@ import functools
 import itertools
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _MASK = (1 << 64) - 1
+#: Marks of rows of a clean list and of the truth in place of a code.
+_WAS, _TRUE = -1, -2
 
 
 def xorshift(state: int, count: int, shifts: tuple[int, int, int] = (12, 25, 27), multiplier: int = 0x2545F4914F6CDD1D) -> list[int]:
@@ -173,14 +177,51 @@ def shift_sweep(few: DataFrame, clean: DataFrame, truth: DataFrame, k: int, delt
     rows the list of ``depth`` loses, and new rows of that centroid in it.
 
     A shift changes the scores of one code only, so a shifted list is drawn from the best of that code and the best of
-    the others: few (qid, vec_id, score, code) has the best ``depth`` rows of each code."""
-    sweep = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.lit(s).alias("s")) for c in range(k) for s in (1, -1)]))
-    marks = truth.select("qid", "vec_id", F.lit(True).alias("true_")).join(clean.select("qid", "vec_id", F.lit(True).alias("was")), ["qid", "vec_id"], "full")
-    moved = few.join(marks, ["qid", "vec_id"], "left").withColumn("g", sweep).select("g.*", "qid", "vec_id", "code", "true_", "was", (F.col("score") + F.when(F.col("code") == F.col("g.c"), F.col("g.s") * delta).otherwise(0)).alias("score"))
-    top = moved.withColumn("r", F.row_number().over(Window.partitionBy("c", "s", "qid").orderBy(F.desc("score"), "vec_id"))).where(F.col("r") <= depth)
-    after = top.groupBy("c", "s", "qid").agg(F.count_if("true_").alias("after"), F.count_if(F.col("was").isNull() & (F.col("code") == F.col("c"))).alias("intruders"))
-    before = marks.groupBy("qid").agg(F.count_if(F.col("true_") & F.col("was")).alias("before"))
-    return after.join(before, "qid").select("qid", "c", "s", F.greatest(F.lit(0), F.col("before") - F.col("after")).alias("lost"), "intruders")
+    the others: few (qid, vec_id, score, code) has the best ``depth`` rows of each code. A query's rows meet in one
+    place, and all its shifts are made there, one query at a time."""
+    parts = [few.select("qid", "vec_id", F.col("score").cast("long").alias("score"), F.col("code").cast("int").alias("code"))]
+    parts += [x.select("qid", "vec_id", F.lit(None).cast("long").alias("score"), F.lit(mark).alias("code")) for x, mark in ((clean, _WAS), (truth, _TRUE))]
+    # dealt anew by a key of its own: a union passes for partitioned as its parts are, which need not be alike at run time
+    rows = functools.reduce(DataFrame.unionByName, parts).withColumn("deal", F.xxhash64("qid")).repartition("deal").sortWithinPartitions("qid", "vec_id").drop("deal")
+    at, sign = np.repeat(np.arange(k), 2), np.tile([1, -1], k)
+
+    def one(ids, score, code):
+        was, true = ids[code == _WAS], ids[code == _TRUE]
+        ids, score, code = (x[code >= 0] for x in (ids, score, code))
+        if not len(ids) or not len(was) + len(true):
+            return None
+        moved = -(score[None] + (sign * delta)[:, None] * (code[None] == at[:, None]))
+        top = np.argsort(moved, axis=1, kind="stable")[:, :depth]  # ids rise
+        new = ~np.isin(ids, was)[top] & (code[top] == at[:, None])
+        lost = np.isin(true, was).sum() - np.isin(ids, true)[top].sum(1)
+        return np.maximum(0, lost), new.sum(1)
+
+    def run(batches):
+        left = None
+        for batch in itertools.chain(batches, [None]):
+            whole = left
+            if batch is not None:
+                table = pa.table({"qid": batch.column(0), "vec_id": batch.column(1), "score": pc.fill_null(batch.column(2), 0), "code": batch.column(3)})
+                whole = table if left is None else pa.concat_tables([left, table])
+            if whole is None or not len(whole):
+                continue
+            qid, ids, score, code = (c.to_numpy() for c in whole.columns)
+            ends = np.append(np.flatnonzero(np.diff(qid)) + 1, len(qid))
+            if batch is not None:  # its last query may go on in the next
+                ends = ends[:-1]
+            begin, out = 0, []
+            for end in ends.tolist():
+                got = one(ids[begin:end], score[begin:end], code[begin:end])
+                if got is not None:
+                    out.append((qid[begin], *got))
+                begin = end
+            left = whole.slice(begin)
+            if out:
+                q, lost, new = zip(*out, strict=True)
+                cells = [np.repeat(np.array(q), 2 * k), np.tile(at, len(q)).astype(np.int32), np.tile(sign, len(q)).astype(np.int32), np.concatenate(lost).astype(np.int64), np.concatenate(new).astype(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cells], ["qid", "c", "s", "lost", "intruders"])
+
+    return rows.mapInArrow(run, "qid long, c int, s int, lost long, intruders long")
 
 
 def exposure(seen: DataFrame) -> DataFrame:

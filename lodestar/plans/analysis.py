@@ -161,9 +161,10 @@ def _shifted(spark, sf):
     """D.shift_sweep() of the fixture, then truth, the clean list and the codes of subspace J."""
     corpus, queries, book, codes = _setup(spark, sf)
     depth, mine = TOP * 2, F.get("codes", F.lit(J))
-    lists = [V.adc_scan(codes.where(mine == c), queries, book, depth).select("qid", "vec_id", "score", F.lit(c).alias("code")) for c in range(K)]
-    truth, clean = V.exact_search(corpus, queries, TOP), V.adc_scan(codes, queries, book, depth)
-    seen = D.shift_sweep(functools.reduce(DataFrame.unionByName, lists), clean, truth, K, DELTA, depth)
+    few = V.adc_scan(codes, queries, book, depth, by=J).drop("rank")
+    best = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id"))
+    truth, clean = V.exact_search(corpus, queries, TOP), few.drop("code").withColumn("rank", best).where(F.col("rank") <= depth)
+    seen = D.shift_sweep(few, clean, truth, K, DELTA, depth)
     return seen, truth, clean, codes.select("vec_id", mine.alias("c"))
 
 

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestar.operators import codes as C
+from lodestar.operators import damage
 from lodestar.operators import vectors as V
 
 
@@ -103,3 +104,15 @@ def test_equal_floats_are_ranked_by_id(spark):
     rows = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, v array<double>").repartition(1)
     got = V.exact_search(rows, rows.where("vec_id = 0"), 20, "l2", exact=False).orderBy("rank").collect()
     assert [r.vec_id for r in got] == np.flatnonzero((x == x[0]).all(1))[:20].tolist() and {r.score for r in got} == {0.0}
+
+
+def test_a_shift_sweep_multiplies_no_rows(spark):
+    few = spark.createDataFrame([(q, v, 50 - v, v % 4) for q in range(40) for v in range(12)], "qid long, vec_id long, score long, code int").repartition(3, "qid")
+    clean, truth = few.where("vec_id < 3"), few.where("vec_id in (0, 5)")
+    seen = damage.shift_sweep(few, clean, truth, 4, 100, 3)
+    plan = seen._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Window" not in plan
+    # one centroid raised: its rows alone; lowered: the next ones of the others
+    for r in seen.collect():
+        now = [v for v in range(12) if v % 4 == r.c][:3] if r.s == 1 else [v for v in range(12) if v % 4 != r.c][:3]
+        assert (r.lost, r.intruders) == (max(0, 1 - len({0, 5} & set(now))), sum(v > 2 and v % 4 == r.c for v in now))
