@@ -133,12 +133,10 @@ def far(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     return out
 
 
-def ranked(found: DataFrame, r: int, grouped: bool = False) -> DataFrame:
-    """(qid, vec_id, score, rank): the best r of each query's lists, or with a column code of each query and group."""
-    if not grouped:
-        found = found.drop("code")
-    rank = F.row_number().over(Window.partitionBy("qid", *["code"] * grouped).orderBy(F.desc("score"), "vec_id"))
-    return (found.repartition("qid") if grouped else found).withColumn("rank", rank).where(F.col("rank") <= r)
+def ranked(found: DataFrame, r: int, *keys: str) -> DataFrame:
+    """(keys, qid, vec_id, score, rank): the best r of each query's lists, or of each query and value of the keys."""
+    rank = F.row_number().over(Window.partitionBy(*keys, "qid").orderBy(F.desc("score"), "vec_id"))
+    return found.select(*keys, "qid", "vec_id", "score").withColumn("rank", rank).where(F.col("rank") <= r)
 
 
 def lists(corpus: DataFrame, vec: str, qids: np.ndarray, left, right, r: int, exact=None, by=None, groups: int = 1) -> DataFrame:
@@ -296,7 +294,13 @@ def encode(corpus: DataFrame, book: Codebook, vec: str = "v") -> DataFrame:
 def adc_scan(codes: DataFrame, queries: DataFrame, book: Codebook, r: int, metric: str = "l2", vec: str = "v", shift: tuple[int, int, int] | None = None, by: int | None = None) -> DataFrame:
     """Compressed scan to r candidates a query; a code beyond the table adds nothing.
     ``shift``: (subspace, centroid, amount) added to the score of all rows with that code.
-    ``by``: a subspace, of whose every code the best r are kept, with a column code.
+    ``by``: a subspace, of whose every code the best r are kept, with a column code."""
+    found = adc_lists(codes, queries, book, r, metric, vec, shift, by)
+    return ranked(found, r) if by is None else ranked(found.repartition("qid"), r, "code")
+
+
+def adc_lists(codes: DataFrame, queries: DataFrame, book: Codebook, r: int, metric: str = "l2", vec: str = "v", shift: tuple[int, int, int] | None = None, by: int | None = None) -> DataFrame:
+    """(qid, vec_id, score, code): what each task of adc_scan() finds, for ranked().
 
     What the tables add up to is the product with the centroids of the codes, side by side."""
 
@@ -316,18 +320,30 @@ def adc_scan(codes: DataFrame, queries: DataFrame, book: Codebook, r: int, metri
         code = None if by is None else lambda x: x.reshape(len(x), book.m)[:, by]
         return lists(codes, "codes", qids, left, right, r, None, code, 1 if by is None else book.k)
 
-    return ranked(in_blocks(queries, vec, scan, r * (1 if by is None else book.k)), r, by is not None)
+    return in_blocks(queries, vec, scan, r if by is None else r * book.k)
 
 
-def rerank(candidates: DataFrame, records: DataFrame, queries: DataFrame, k: int, vec: str = "v", metric: str = "ip", tags: tuple[str, ...] = ()) -> DataFrame:
-    """Exact scores of candidates whose record is stored; absent ones drop, nothing fills their place.
-    ``metric``: ip of integers, or l2: negated squared distances of floats. ``tags``: columns that tell lists apart."""
+def scored(pairs: DataFrame, records: DataFrame, queries: DataFrame, vec: str = "v", metric: str = "ip", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(keep, qid, vec_id, score): exact scores of pairs whose record is stored."""
     far = F.aggregate(F.zip_with("q", "v", lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda s, x: s - x)
     dot = F.aggregate(F.zip_with("q", "v", lambda a, b: a.cast("long") * b), F.lit(0).cast("long"), lambda s, x: s + x)
     q = queries.select(F.col("vec_id").alias("qid"), F.col(vec).alias("q"))
-    joined = candidates.select(*tags, "qid", "vec_id").join(records.select("vec_id", F.col(vec).alias("v")), "vec_id").join(q, "qid").select(*tags, "qid", "vec_id", (dot if metric == "ip" else far).alias("score"))
-    rank = F.row_number().over(Window.partitionBy(*tags, "qid").orderBy(F.desc("score"), "vec_id"))
-    return joined.withColumn("rank", rank).where(F.col("rank") <= k)
+    met = pairs.select(*keep, "qid", "vec_id").join(records.select("vec_id", F.col(vec).alias("v")), "vec_id").join(q, "qid")
+    return met.select(*keep, "qid", "vec_id", (dot if metric == "ip" else far).alias("score"))
+
+
+def rerank(candidates: DataFrame, records: DataFrame, queries: DataFrame, k: int, vec: str = "v", metric: str = "ip", tags: tuple[str, ...] = ()) -> DataFrame:
+    """Exact scores of candidates whose record is stored; absent ones drop, nothing fills their place.
+    ``metric``: ip of integers, or l2: negated squared distances of floats. ``tags``: columns that tell lists apart."""
+    return ranked(scored(candidates, records, queries, vec, metric, tags), k, *tags)
+
+
+def rerank_lists(found: DataFrame, n: int, records: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """rerank() of n lists, up to 63, with a column list, its number: found (qid, vec_id, mask) has a bit for each list
+    that a row is in. What several lists hold is scored once."""
+    pairs = scored(found.groupBy("qid", "vec_id").agg(F.bit_or("mask").alias("mask")), records, queries, keep=("mask",))
+    each = F.explode(F.filter(F.lit(list(range(n))), lambda i: F.getbit(F.col("mask"), i) == 1)).alias("list")
+    return ranked(pairs.select(each, "qid", "vec_id", "score"), k, "list")
 
 
 def search(corpus: DataFrame, codes: DataFrame, queries: DataFrame, book: Codebook, k: int, r: int, metric: str = "l2") -> DataFrame:

@@ -252,29 +252,32 @@ def _fault_sql(channels: str) -> str:
 
 
 def _fault_sweep(spark, sf, *channels: str):
-    """(channel, dose, recall, loss): one compressed scan a dose, one exact scoring of all their candidates."""
+    """(channel, dose, recall, loss): one compressed scan a damaged codebook or payload, one of the rest; one exact
+    scoring of all their candidates."""
     corpus, queries, book, codes = _setup(spark, sf)
     n = corpus.count()
-    lists = []
-    for channel, dose in DOSES:
-        if channel not in ("clean", *channels):
-            continue
-        now, stored, faults = book, codes, FAULTS[:dose]
-        if channel == "codebook bits":
-            now = V.Codebook(D.flip_book(book.w, faults))
-        elif channel == "sector loss":
-            now = V.Codebook(D.kill_unit(book.w, FAULTS[0][0], SECTOR)[0])
-        elif channel == "payload bits":
-            stored = D.flip_stored(codes, faults, n, M, CODE_BITS)
-        found = V.adc_scan(stored, queries, now, R).select("qid", "vec_id")
+    doses = [d for d in DOSES if d[0] in ("clean", *channels)]
+    # scans (codes, codebook), and the mask of the doses that each serves: the first one's blocks drop out of some
+    scans, masks, dropped = [(codes, book)], [0], F.lit(0).cast("long")
+    for i, (channel, dose) in enumerate(doses):
+        bit, faults = 1 << i, FAULTS[:dose]
         if channel == "block drops":
             gone = sorted({place % -(-n // PER_BLOCK) for place, _ in faults}) if n else []
-            found = found.where(~F.expr(f"vec_id div {PER_BLOCK}").isin(gone))
-        lists.append(found.select(F.lit(channel).alias("channel"), F.lit(dose).alias("dose"), "qid", "vec_id"))
-    tags = ("channel", "dose")
-    first = V.rerank(functools.reduce(DataFrame.unionByName, lists), corpus, queries, TOP, tags=tags)
-    doses = spark.createDataFrame([d for d in DOSES if d[0] in ("clean", *channels)], "channel string, dose int")
-    got = D.recall_after(first, V.exact_search(corpus, queries, TOP), doses)
+            dropped = dropped + F.when(F.expr(f"vec_id div {PER_BLOCK}").isin(gone), bit).otherwise(0)
+        if channel in ("clean", "block drops"):
+            masks[0] |= bit
+            continue
+        masks.append(bit)
+        if channel == "payload bits":
+            scans.append((D.flip_stored(codes, faults, n, M, CODE_BITS), book))
+        else:
+            scans.append((codes, V.Codebook(D.flip_book(book.w, faults) if channel == "codebook bits" else D.kill_unit(book.w, FAULTS[0][0], SECTOR)[0])))
+    lists = [V.adc_lists(stored, queries, now, R).withColumn("mask", F.lit(mask).cast("long")) for (stored, now), mask in zip(scans, masks, strict=True)]
+    found = V.ranked(functools.reduce(DataFrame.unionByName, lists), R, "mask")
+    found = found.withColumn("mask", F.when(F.col("mask") == masks[0], F.col("mask") - dropped).otherwise(F.col("mask")))
+    names = spark.createDataFrame([(i, *d) for i, d in enumerate(doses)], "list int, channel string, dose int")
+    first = V.rerank_lists(found, len(doses), corpus, queries, TOP).join(F.broadcast(names), "list")  # a row a dose
+    got = D.recall_after(first, V.exact_search(corpus, queries, TOP), names.select("channel", "dose"))
     clean = F.max(F.when(F.col("channel") == "clean", F.col("recall"))).over(Window.partitionBy())  # a row a dose
     return got.withColumn("loss", F.round(clean - F.col("recall"), 6)).withColumn("recall", F.round("recall", 6))
 

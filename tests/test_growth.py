@@ -116,3 +116,16 @@ def test_a_shift_sweep_multiplies_no_rows(spark):
     for r in seen.collect():
         now = [v for v in range(12) if v % 4 == r.c][:3] if r.s == 1 else [v for v in range(12) if v % 4 != r.c][:3]
         assert (r.lost, r.intruders) == (max(0, 1 - len({0, 5} & set(now))), sum(v > 2 and v % 4 == r.c for v in now))
+
+
+def test_candidates_of_many_lists_are_scored_once(spark, corpus):
+    x, rows = corpus
+    queries = rows.where("vec_id in (0, 450)")
+    lists = [[(q, v) for q in (0, 450) for v in range(lo, lo + 40)] for lo in (1, 1, 20)]
+    marked = [(*pair, 1 << i) for i, found in enumerate(lists) for pair in found]
+    found = spark.createDataFrame(marked, "qid long, vec_id long, mask long")
+    got = V.rerank_lists(found, 3, rows.where("vec_id <> 7"), queries, 5)
+    for i, pairs in enumerate(lists):
+        want = V.rerank(spark.createDataFrame(pairs, "qid long, vec_id long"), rows.where("vec_id <> 7"), queries, 5)
+        cols = ["qid", "vec_id", "score", "rank"]
+        assert sorted(got.where(F.col("list") == i).select(cols).collect()) == sorted(want.select(cols).collect())
